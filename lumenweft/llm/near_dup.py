@@ -4,7 +4,7 @@ A document is a weighted set of shingles of ``SHINGLE`` words (a text of fewer
 words, but not none, is one shingle).  A shingle's weight is its term weight
 1 + ln(tf) times a document-frequency weight
 
-    1 + idf / idf_max,     idf = ln((N + 1) / (df + 1)),  idf_max = ln(N + 1)
+    1 + DF_SHARE * idf / idf_max,   idf = ln((N + 1) / (df + 1)),  idf_max = ln(N + 1)
 
 with df counted over all documents in ``DF_BUCKETS`` hashed buckets (the usual
 hashing trick; its size is fixed, its error relative to N is the same at any
@@ -22,9 +22,10 @@ similarity; at 0.8 they share a band with probability 1 - 3e-5.
 Verification is exact.  Equal texts collapse first.  Within a band's bucket
 every member is compared with the bucket's least document by weighted Jaccard
 on the texts.  Buckets that these links leave in several components are opened
-again: members of unlike components are compared by their samples, in blocks of
-bounded size, and the pairs that could reach the threshold are verified.  So no
-group is expanded into all its pairs, and no bucket is capped.
+again, one of each set of members: in blocks of bounded size, the similarity of
+members of unlike components is a product of their sparse shingle matrices, and
+a spanning forest of the links leaves the kernel.  So no group is expanded into
+its pairs, no bucket is capped and no link between components is lost.
 
 Defined cases: equal texts are duplicates, also empty ones and those without
 words; a null text or a null doc_id has no duplicates; rows with the same doc_id
@@ -44,6 +45,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 from .components import components
 from .decontaminate import words_of
+from .metric_join import _forest
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -52,10 +54,12 @@ DF_BITS = 18
 DF_BUCKETS = 1 << DF_BITS
 #: Counts of one row of the table on its way.
 SLICE = 8192
-#: Samples that must agree before a pair is verified: 0.8 less more than five standard deviations.
-LEAST_AGREEING = 44
+#: How much more a shingle that no other document has can weigh than one that all have.
+DF_SHARE = 0.5
 #: The most members of a bucket that one comparison holds, on either side.
-BLOCK = 2048
+BLOCK = 1024
+#: Columns of the shingle matrix multiplied at a time.
+COLUMNS = 2048
 _GRID = 1 / 16  # of ln w
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,10 +121,10 @@ def df_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def df_weights(counts: np.ndarray, documents: int) -> np.ndarray:
-    """1 + idf / idf_max for each bucket."""
+    """1 + DF_SHARE * idf / idf_max for each bucket."""
     top = np.log(max(2.0, documents + 1.0))
     idf = np.log((documents + 1.0) / (counts + 1.0))
-    return (1 + np.maximum(0, idf) / top).astype(np.float32)
+    return (1 + DF_SHARE * np.maximum(0, idf) / top).astype(np.float32)
 
 
 class Sampler:
@@ -189,32 +193,31 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, weights) -> DataFrame:
-    """id, digest of the text, keys of its bands and its samples (16 bits each); no keys without words."""
+    """id, digest of the text and keys of its bands; no keys without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(weights.value)
         for batch in batches:
-            keys, samples = [], []
+            keys = []
             for text in batch.column(2):
                 found, tf = shingles(text.as_py())
-                if len(found):
-                    values = sampler.samples(found, sampler.levels(found, tf))
-                    keys.append(band_keys(values))
-                    samples.append((values & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                else:
-                    keys.append(np.zeros(0, np.int64))
-                    samples.append(b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.binary())], ["id", "digest", "keys", "samples"])
+                keys.append(band_keys(sampler.samples(found, sampler.levels(found, tf))) if len(found) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
 
     named = docs.select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    return named.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "id long, digest string, keys array<long>, samples binary")
+    return named.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "id long, digest string, keys array<long>")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, digest and text of the wanted (doc_id, digest), one row of each."""
+    texts = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    return texts.join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
     """Of the pairs (a, da, b, db: ids and digests) those whose texts are similar enough."""
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("da").alias("digest")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("db").alias("digest"))).distinct()
-    texts = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    texts = checkpointed(texts.join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]))
+    texts = checkpointed(_texts(docs, wanted))
     left = texts.select(F.col("doc_id").alias("a"), F.col("digest").alias("da"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("digest").alias("db"), F.col("text").alias("tb"))
     both = pairs.join(right, ["b", "db"]).join(left, ["a", "da"]).select("a", "b", "ta", "tb")
@@ -239,36 +242,83 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights, threshold: float) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def _open_again(banded: DataFrame, samples: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket but of different components whose samples could mean the threshold."""
+def packed(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Hash (58 bits) and level (6 bits) of each shingle, sorted."""
+    return np.sort((found >> np.uint64(6)) << np.uint64(6) | np.minimum(levels, 63).astype(np.uint64))
+
+
+def similarities(sets: list[np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard of all packed sets with each other.
+
+    A weight is a stack of layers, one for each level that its shingle has in
+    any set, so that the sum of lesser weights is a product of 0/1 matrices.
+    """
+    n = len(sets)
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    columns, place = np.unique(flat, return_inverse=True)
+    shingle = columns >> np.uint64(6)
+    weight = np.exp((columns & np.uint64(63)).astype(np.float64) * _GRID)
+    total = np.bincount(row, weight[place], n)
+    fresh = np.r_[True, shingle[1:] != shingle[:-1]]
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(columns)), 0))
+    layer = weight - np.where(fresh, 0, np.r_[0, weight[:-1]])
+    # a set has the layers of its shingle up to its own level
+    depth = place - first[place] + 1
+    row, column = np.repeat(row, depth), np.repeat(place, depth) - (np.arange(depth.sum()) - np.repeat(np.cumsum(depth) - depth, depth))
+    shared = np.bincount(column, minlength=len(columns)) > 1
+    number = np.cumsum(shared) - 1
+    on = shared[column]
+    row, column, layer = row[on], number[column[on]], layer[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    low = np.zeros((n, n))
+    for at in range(0, len(layer), COLUMNS):
+        b, e = np.searchsorted(column, (at, at + COLUMNS))
+        width = min(COLUMNS, len(layer) - at)
+        x = np.zeros((n, width))
+        x[row[b:e], column[b:e] - at] = 1
+        low += (x * layer[at : at + width]) @ x.T
+    np.fill_diagonal(low, total)
+    return low / (total[:, None] + total[None, :] - low)
+
+
+def _open_again(banded: DataFrame, linked: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
+    """Edges (a, b), a spanning forest in each block, between members of unlike components of one bucket."""
     labels = linked.select(F.col("node").alias("id"), "component")
-    # members other than the hub: those were compared with the hub already
-    hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 2")
-    rest = banded.join(hubs, "key").where("id <> hub").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    open_ = rest.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").join(samples, "id")
-    k = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    spread = open_.withColumn("k", k).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("k", "j").alias("i"), F.greatest("k", "j").alias("j"), "k", "id", "c", "samples")
+    labelled = banded.join(labels, "id", "left").select("key", "id", "digest", F.coalesce("component", "id").alias("c"))
+    # two members were compared already; of buckets with the same members one is enough
+    buckets = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("id", "digest")).alias("x"), F.min("id").alias("first"))
+    mixed = buckets.where("m > 2 AND lo < hi").groupBy("m", "x", "first").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    rest = checkpointed(labelled.join(mixed, "key"))
+    texts = _texts(docs, rest.select(F.col("id").alias("doc_id"), "digest").distinct())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(weights.value)
+        for batch in batches:
+            sets = []
+            for text in batch.column(2):
+                found, tf = shingles(text.as_py())
+                sets.append(packed(found, sampler.levels(found, tf)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "digest", "set"])
+
+    sets = texts.mapInArrow(pack, "id long, digest string, set binary")
+    spread = rest.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("k", "j").alias("i"), F.greatest("k", "j").alias("j"), "k", "id", "digest", "c").join(sets, ["id", "digest"])
 
     def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         ids, c, k = t["id"].to_numpy(), t["c"].to_numpy(), t["k"].to_numpy()
-        s = np.frombuffer(b"".join(t["samples"].to_pylist()), np.uint16).reshape(len(ids), SAMPLES)
-        order = np.argsort(ids)
-        ids, c, k, s = ids[order], c[order], k[order], s[order]
-        out_a, out_b = [], []
-        for x in range(len(ids)):
-            if k[x] != i:
-                continue
-            others = np.nonzero((c != c[x]) & ((k == j) if i != j else (np.arange(len(ids)) > x)))[0]
-            near = others[(s[others] == s[x]).sum(1) >= LEAST_AGREEING]
-            out_a.append(np.minimum(ids[x], ids[near]))
-            out_b.append(np.maximum(ids[x], ids[near]))
-        flat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
-        return pa.table({"a": flat(out_a), "b": flat(out_b)})
-
-    return spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        near = similarities([np.frombuffer(x.as_buffer(), np.uint64) for x in t["set"]]) >= threshold
+        near &= (c[:, None] != c[None, :]) & (k == i)[:, None] & (k == j)[None, :]
+        a, b = np.nonzero(near)
+        label = _forest(np.arange(len(ids)), a, b)
+        on = label != np.arange(len(ids))
+        return pa.table({"a": ids[label[on]], "b": ids[on]})
+
+    compared = spread.select("key", "i", "j", "k", "id", "c", "set")
+    return compared.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -276,21 +326,17 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     counts, documents = df_counts(docs)
     weights = docs.sparkSession.sparkContext.broadcast(df_weights(counts, documents))
     sketches = checkpointed(_sketches(docs, weights))
-    classes = checkpointed(sketches.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
+    classes = checkpointed(sketches.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
     banded = classes.select("id", "digest", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    stars = banded.join(hubs, "key").where("id <> hub.id").select(F.col("hub.id").alias("a"), F.col("hub.digest").alias("da"), F.col("id").alias("b"), F.col("digest").alias("db")).distinct()
-    stars = checkpointed(stars)
+    hubs = banded.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
+    banded = checkpointed(banded.join(hubs, "key"))
+    stars = banded.where("id <> hub.id").select(F.col("hub.id").alias("a"), F.col("hub.digest").alias("da"), F.col("id").alias("b"), F.col("digest").alias("db")).distinct()
     edges = checkpointed(_verified(stars, docs, weights, threshold))
     linked = checkpointed(components(edges))
-    again = _open_again(banded.select("key", "id").distinct(), classes.select("id", "samples").dropDuplicates(["id"]), linked)
-    again = checkpointed(again.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    if not again.isEmpty():
-        names = classes.groupBy("id").agg(F.min("digest").alias("digest"))
-        named = again.join(names.select(F.col("id").alias("a"), F.col("digest").alias("da")), "a").join(names.select(F.col("id").alias("b"), F.col("digest").alias("db")), "b")
-        more = checkpointed(_verified(named, docs, weights, threshold))
+    more = checkpointed(_open_again(banded.select("key", "id", "digest"), linked, docs, weights, threshold))
+    if not more.isEmpty():
         linked = components(edges.unionByName(more))
-    # a doc_id with several texts links their classes
+    # a doc_id with several texts is one document
     copies = sketches.select(F.col("id").alias("doc_id"), "digest").distinct().join(classes.select("digest", "id"), "digest")
     roots = copies.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("class_id"))
     everyone = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(roots, "doc_id", "left")

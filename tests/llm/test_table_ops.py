@@ -179,6 +179,17 @@ def test_samples_agree_as_often_as_documents_are_similar():
     assert abs(np.mean(errors)) < 0.025 and np.std(errors) < 0.09
 
 
+def test_similarities_of_a_block():
+    rng = np.random.default_rng(8)
+    f = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2))
+    sides = []
+    for _ in range(12):
+        m = rng.random(len(f)) > 0.3
+        sides.append((f[m], rng.integers(0, 30, m.sum())))
+    got = near_dup.similarities([near_dup.packed(*s) for s in sides])
+    assert np.allclose(got, [[near_dup.similarity(a, b) for b in sides] for a in sides])
+
+
 def test_samples_do_not_depend_on_order():
     rng = np.random.default_rng(3)
     sampler = near_dup.Sampler(np.ones(near_dup.DF_BUCKETS, np.float32))
