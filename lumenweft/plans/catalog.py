@@ -393,8 +393,12 @@ def _(spark, d):
     return r6(bench.parse_logs(_log_frame(spark, d)).select("run_id", "steady_state_fps"), "steady_state_fps", digits=4)
 
 
-_T = "t(df, t) AS (VALUES " + ", ".join(f"({k}, {bench.student_t(k)!r}::DOUBLE)" for k in range(1, 60)) + ")"
-_AGG = f"WITH {fx.SAMPLES}, {_T}, a AS (SELECT run, metric, count(*)::INT AS n_samples, avg(value) AS mean, stddev_samp(value) AS stddev, median(value) AS median FROM samples GROUP BY run, metric)"
+_Z = 1.959963984540054
+_TCRIT = (
+    "CASE n_samples - 1 " + " ".join(f"WHEN {k} THEN {bench.student_t(k)!r}::DOUBLE" for k in range(1, 101))
+    + f" ELSE {_Z} + {(_Z**3 + _Z) / 4!r}::DOUBLE / (n_samples - 1) + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r}::DOUBLE / ((n_samples - 1) * (n_samples - 1)) END"
+)
+_AGG = f"WITH {fx.SAMPLES}, a AS (SELECT run, metric, count(*)::INT AS n_samples, avg(value) AS mean, stddev_samp(value) AS stddev, median(value) AS median FROM samples GROUP BY run, metric)"
 
 
 @query("q_metric_aggregate", _AGG + " SELECT run, metric, n_samples, round(mean, 6) AS mean, round(stddev, 6) AS stddev, round(median, 6) AS median FROM a")
@@ -403,47 +407,42 @@ def _(spark, d):
     return r6(agg.drop("ci95_lo", "ci95_hi"), "mean", "stddev", "median")
 
 
-@query("q_ci95", _AGG + " SELECT run, metric, round(mean - t * stddev / sqrt(n_samples), 5) AS ci95_lo, round(mean + t * stddev / sqrt(n_samples), 5) AS ci95_hi FROM a JOIN t ON t.df = n_samples - 1")
+@query("q_ci95", _AGG + f" SELECT run, metric, round(mean - t * stddev / sqrt(n_samples), 5) AS ci95_lo, round(mean + t * stddev / sqrt(n_samples), 5) AS ci95_hi FROM (SELECT *, {_TCRIT} AS t FROM a)")
 def _(spark, d):
     return r6(bench.aggregate_samples(fx.samples(spark, d), ["run", "metric"]).select("run", "metric", "ci95_lo", "ci95_hi"), "ci95_lo", "ci95_hi", digits=5)
 
 
-def _two_runs(spark, d) -> DataFrame:
-    return fx.samples(spark, d).where("run in ('view', 'click') and n <= 4")
-
-
 @query(
     "q_permutation_test",
-    f"""WITH {fx.SAMPLES}, s AS (SELECT run, metric, value, (n - 1 + CASE WHEN run = 'view' THEN 4 ELSE 0 END)::INT AS i FROM samples WHERE run IN ('view', 'click') AND n <= 4),
-masks AS (SELECT unnest(range(256)) AS m), splits AS (SELECT m FROM masks WHERE bit_count(m) = 4),
-stat AS (SELECT metric, m, avg(value) FILTER ((m >> i) & 1 = 1) - avg(value) FILTER ((m >> i) & 1 = 0) AS d FROM s, splits GROUP BY metric, m),
+    f"""WITH {fx.PAIRED}, splits AS (SELECT unnest(range(256))::INT AS m), stat AS (
+  SELECT metric, m, avg(value) FILTER ((m >> i) & 1 = 1) - avg(value) FILTER ((m >> i) & 1 = 0) AS d FROM paired, splits WHERE bit_count(m) = 4 GROUP BY metric, m),
 seen AS (SELECT metric, d AS o FROM stat WHERE m = 15)
 SELECT metric, round(least(1, 2 * least(avg((d <= o + 1e-9)::INT), avg((d >= o - 1e-9)::INT))), 6) AS p_raw FROM stat JOIN seen USING (metric) GROUP BY metric""",
 )
 def _(spark, d):
-    return r6(bench.compare_runs(_two_runs(spark, d), "click", "view").select("metric", "p_raw"), "p_raw")
+    return r6(bench.compare_runs(fx.paired_runs(spark, d), "a", "b").select("metric", "p_raw"), "p_raw")
 
 
-_CMP = f"WITH {fx.SAMPLES}, c AS (SELECT metric, avg(value) FILTER (run = 'click') AS mean_a, avg(value) FILTER (run = 'view') AS mean_b FROM samples WHERE n <= 4 GROUP BY metric)"
+_CMP = f"WITH {fx.PAIRED}, c AS (SELECT metric, avg(value) FILTER (run = 'a') AS mean_a, avg(value) FILTER (run = 'b') AS mean_b FROM paired GROUP BY metric)"
 
 
-@query("q_compare_runs", _CMP + " SELECT metric, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round((mean_b - mean_a) / mean_a * 100, 6) AS delta_pct FROM c")
+@query("q_compare_runs", _CMP + " SELECT metric, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round((mean_b - mean_a) / mean_a * 100, 6) + 0.0 AS delta_pct FROM c")
 def _(spark, d):
-    out = bench.compare_runs(_two_runs(spark, d), "click", "view").select("metric", "mean_a", "mean_b", "delta_pct")
+    out = bench.compare_runs(fx.paired_runs(spark, d), "a", "b").select("metric", "mean_a", "mean_b", "delta_pct")
     return r6(out, "mean_a", "mean_b", "delta_pct")
 
 
-_PVALUES = "p AS (SELECT event_id AS i, event_type AS family, round((value % 10) / 200.0::DOUBLE, 6) AS p FROM events WHERE event_id < 60)"
+_PVALUES = "p AS (SELECT event_id AS i, event_type AS family, round((value % 10) / 20000.0::DOUBLE, 9) AS p FROM events)"
 _HOLM = f"WITH {_PVALUES}, s AS (SELECT *, least(1, p * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, i) + 1)) AS a FROM p), h AS (SELECT family, i, p, max(a) OVER (PARTITION BY family ORDER BY p, i ROWS UNBOUNDED PRECEDING) AS p_holm FROM s)"
 
 
 def _pvalues(spark, d) -> DataFrame:
-    return fx.table(spark, d, "events").where("event_id < 60").select(F.col("event_id").alias("i"), F.col("event_type").alias("family"), F.round((F.col("value") % 10) / 200.0, 6).alias("p"))
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("i"), F.col("event_type").alias("family"), F.round((F.col("value") % 10) / 20000.0, 9).alias("p"))
 
 
-@query("q_holm", _HOLM + " SELECT family, i, p, round(p_holm, 6) AS p_holm FROM h")
+@query("q_holm", _HOLM + " SELECT family, i, p, round(p_holm, 9) AS p_holm FROM h")
 def _(spark, d):
-    return r6(bench.holm(_pvalues(spark, d), "p", "i", ["family"]), "p_holm")
+    return r6(bench.holm(_pvalues(spark, d), "p", "i", ["family"]), "p_holm", digits=9)
 
 
 @query("q_verdict", _HOLM + " SELECT family, i, CASE WHEN abs(i % 7 - 3) / 2.0 < 1.5 THEN 'EQUIVALENT' WHEN p_holm < 0.01 AND abs(i % 7 - 3) / 2.0 > 1.5 THEN 'DIFFERENT' ELSE 'UNCLEAR' END AS verdict FROM h")
@@ -502,9 +501,9 @@ def _(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.md5(b).alias("b64"), F.decode(F.unbase64(b), "utf-8").alias("back"))
 
 
-@query("q_safe_label", "SELECT doc_id, coalesce(nullif(regexp_replace(substring(text, 1, 30), '[^a-zA-Z0-9_-]', '_', 'g'), ''), 'unlabeled') AS label FROM documents")
+@query("q_safe_label", "SELECT doc_id, coalesce(nullif(regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g'), ''), 'unlabeled') AS label FROM documents")
 def _(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", media.safe_label(F.substring("text", 1, 30)).alias("label"))
+    return fx.table(spark, d, "documents").select("doc_id", media.safe_label(F.col("text")).alias("label"))
 
 
 @query("q_result_name", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M-%SZ') || '_abc123_' || event_type || '_' || event_id || '.json' AS file_name FROM events")
@@ -801,11 +800,11 @@ def _(spark, d):
     return r6(toned.select(*KEY, "r", "g", "b"), "r", "g", "b", digits=4)
 
 
-@query("h_combined_lut", f"WITH {fx.FULL_PX} SELECT frame_id, y, x, 0 AS beyond FROM full_px WHERE frame_id < 4")
+@query("h_combined_lut", f"WITH {fx.FULL_PX} SELECT frame_id, y, x, 0 AS beyond FROM full_px")
 def _(spark, d):
     """A precomputed table against the direct way, at the zone's centre depth: within 0.05 of it on a 17-point grid."""
     qualifiers = [lut.Qualifier(weight=0.0)] * 6
-    px = transfer.to_unit(fx.full_px(spark, d)).where("frame_id < 4").select(*KEY, "r", "g", "b", F.lit(0.45).alias("depth"))
+    px = transfer.to_unit(fx.full_px(spark, d)).select(*KEY, "r", "g", "b", F.lit(0.45).alias("depth"))
     direct = lut.grade_zoned(px, _lut(spark), SIZE, BOUNDS, qualifiers, PARAMS, KEY).select(*KEY, *[F.col(c).alias(f"{c}d") for c in "rgb"])
     whole = lut.build_combined(spark, _lut(spark), SIZE, 17, BOUNDS, qualifiers, PARAMS).where("zone = 1").drop("zone")
     sampled = lut.sample_lut(px.select(*KEY, "r", "g", "b"), whole, 17, KEY)

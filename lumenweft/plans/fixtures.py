@@ -92,23 +92,29 @@ DEPTH = TILE + """, depth AS (
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark samples: run is the event type, the sample's index and three metrics from the value."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    first = table(spark, sf_dir, "events").where(F.col("event_id") < 40).withColumn("n", n)
+    """Benchmark samples: run is the event type, three metrics from the value."""
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), (F.lit(a) + F.col("value") * b).alias("value")) for m, a, b in SAMPLE_METRICS])
-    return first.select(F.col("event_type").alias("run"), "n", F.explode(entries).alias("e")).select("run", "n", "e.metric", F.round("e.value", 6).alias("value"))
+    each = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("run"), F.explode(entries).alias("e"))
+    return each.select("event_id", "run", "e.metric", F.round("e.value", 6).alias("value"))
 
 
 SAMPLE_METRICS = (("steady_state_fps", 40.0, 0.5), ("wall_ms_per_frame", 200.0, 1.0), ("decode_thread_wall_ms_per_frame", 20.0, 0.125))
 SAMPLES = """samples AS (
-  SELECT event_type AS run, n, metric, round(a + value * b, 6) AS value
-  FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS n FROM events WHERE event_id < 40),
-    (VALUES ('steady_state_fps', 40.0::DOUBLE, 0.5::DOUBLE), ('wall_ms_per_frame', 200.0, 1.0), ('decode_thread_wall_ms_per_frame', 20.0, 0.125)) m(metric, a, b)
+  SELECT event_id, event_type AS run, metric, round(a + value * b, 6) AS value
+  FROM events, (VALUES ('steady_state_fps', 40.0::DOUBLE, 0.5::DOUBLE), ('wall_ms_per_frame', 200.0, 1.0), ('decode_thread_wall_ms_per_frame', 20.0, 0.125)) m(metric, a, b)
 )"""
 
 
+def paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small comparisons over all events: eight in a row are one metric, four samples of run a and four of run b."""
+    e = F.col("event_id")
+    run = F.when(e % 8 < 4, "a").otherwise("b")
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("m"), F.expr("event_id div 8").cast("string")).alias("metric"), run.alias("run"), (e % 8).alias("i"), "value")
+
+
+PAIRED = "paired AS (SELECT 'm' || (event_id // 8) AS metric, CASE WHEN event_id % 8 < 4 THEN 'a' ELSE 'b' END AS run, (event_id % 8)::INT AS i, value FROM events)"
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe documents: clip_id and json."""
     e = F.col("event_id")

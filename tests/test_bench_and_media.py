@@ -279,3 +279,16 @@ def test_late_frames_and_state(spark, tmp_path):
         streams.run_to_end(q, streams.parquet_sink(str(tmp_path / "out")), str(tmp_path / "state"))
     got = sorted((r.clip_id, r.frame_id, round(r.distance, 3)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("c", 1, 0.0), ("c", 2, 0.333), ("c", 3, 0.0)]
+
+
+def test_timed_runs_and_their_comparison(spark, tmp_path):
+    from lumenweft.plans import bench_cli
+
+    paths = [bench_cli.run(spark, "q_to_8bit", "/root/testdata/sf0.001", str(tmp_path), label=f"run {k}", samples=2) for k in range(2)]
+    assert paths[0].name.endswith("_run_0.json")
+    text = bench_cli.compare(spark, *map(str, paths))
+    assert "run 0" in text and text.count("\n|") == 8
+    assert bench_cli.proxy_size("960x540 and more") == (960, 540)
+    for bad in ((1, 30, 8), (5, 8, 8)):
+        with pytest.raises(ValueError):
+            bench_cli.check_run(*bad)
