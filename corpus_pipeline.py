@@ -13,29 +13,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenweft.llm import byte_bpe, decontaminate, near_dup, quality_pu, toxicity
-from lumenweft.llm.common import table
+from lumenweft.llm.common import shared_folder, table
+from lumenweft.sources.shipping import shipped
 
 
+@shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return quality_pu.keep_good(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@shipped
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network lets pass."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return near_dup.keep_one(docs)
 
 
+@shipped
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@shipped
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document left."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -56,10 +62,9 @@ ORACLE_SQL = None
 _RUNS = itertools.count()
 
 
+@shipped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each is written as Parquet in the shared folder and read again."""
-    from lumenweft.llm.common import shared_folder
-
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{next(_RUNS)}"
     for k, (_, stage) in enumerate(STAGES):
