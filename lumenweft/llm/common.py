@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> list:
+    """At most n rows, those with the least hashes of (seed, key); the same rows however df is laid out.
+
+    A bound on the hash that about 2 n rows pass keeps what each task sends to
+    the driver small; where fewer than n pass, all rows compete.
+    """
+    rank = F.xxhash64(F.lit(seed), F.col(key))
+    order = df.withColumn("__rank", rank)
+    total = df.count()
+    first = lambda some: [r for r in some.orderBy("__rank", key).limit(n).drop("__rank").collect()]
+    if total > 4 * n:
+        found = first(order.where(F.col("__rank") <= int(-(2**63) + 2**64 * (2 * n / total))))
+        if len(found) == n:
+            return found
+    return first(order)
+
+
 def byte_bound(df: DataFrame, column: str) -> int:
     """Total bytes of a text column: what a broadcast of it would hold."""
-    from pyspark.sql import functions as F
-
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)

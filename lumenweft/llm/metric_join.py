@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, hash_sample, table
 from .components import components
 
 COSINE = 0.9
@@ -102,7 +102,7 @@ def link_block(ids: np.ndarray, copies: np.ndarray, units: np.ndarray, own: int,
 
 
 def _pivots(classes: DataFrame, most: int) -> np.ndarray:
-    rows = classes.orderBy(F.xxhash64(F.lit(31), "id"), "id").limit(most).select("unit").collect()
+    rows = hash_sample(classes.select("id", "unit"), "id", most, 31)
     return np.array([np.frombuffer(r.unit) for r in rows])
 
 

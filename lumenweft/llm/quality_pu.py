@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash_sample, table
 
 POSITIVES = 6000
 UNLABELLED = 10000
@@ -166,16 +166,14 @@ def _sampled_features(docs: DataFrame, ids: DataFrame) -> dict[int, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, negatives: int = NEGATIVES) -> dict:
     """Train on at most the given numbers of rows; the model is a dict of small arrays."""
-    order = F.xxhash64(F.lit(11), "doc_id")
     learn = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
     shares = {r.quality: r.n for r in learn.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     good, bad = shares.get(1, 0), shares.get(0, 0)
     prior = good / (good + bad) if good + bad else 1.0
     if not good or not bad:
         return {"constant": prior}
-    rows = [learn.where(f"quality = {q}").orderBy(order, "doc_id").limit(n) for q, n in ((1, positives), (0, negatives))]
-    known = {r.doc_id: r.quality for part in rows for r in part.collect()}
-    others = [r.doc_id for r in docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.lit(12), "doc_id"), "doc_id").limit(unlabelled).collect()]
+    known = {r.doc_id: r.quality for q, n in ((1, positives), (0, negatives)) for r in hash_sample(learn.where(f"quality = {q}"), "doc_id", n, 11)}
+    others = [r.doc_id for r in hash_sample(docs.select("doc_id").where(F.col("doc_id").isNotNull()), "doc_id", unlabelled, 12)]
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in {*known, *others}], "doc_id long")
     x = _sampled_features(docs, ids)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash_sample, table
 from .quality_pu import fold_of, platt
 
 WINDOW, STRIDE = 64, 32
@@ -314,8 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, toxic: int = TOXIC, other: int =
     learn = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
     known = {}
     for kind, most in ((1, toxic), (0, other)):
-        rows = learn.where(f"toxic = {kind}").orderBy(F.xxhash64(F.lit(21), "doc_id"), "doc_id").limit(most).collect()
-        known |= {r.doc_id: kind for r in rows}
+        known |= {r.doc_id: kind for r in hash_sample(learn.where(f"toxic = {kind}"), "doc_id", most, 21)}
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in known], "doc_id long")
     found = {r.doc_id: r.text for r in docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").toLocalIterator()}
