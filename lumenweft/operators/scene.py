@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import lag, running_sum
+
 BINS, THRESHOLD = 64, 0.15
 
 
@@ -33,8 +35,7 @@ def scene_distances(pixels: DataFrame, clip: list[str] | None = None) -> DataFra
     """frame_id and its distance from the frame before, per clip."""
     clip = clip or []
     frames = histogram_arrays(pixels, [*clip, "frame_id"])
-    before = F.lag("hist").over(Window.partitionBy(*clip).orderBy("frame_id"))
-    pairs = frames.withColumn("before", before).where(F.col("before").isNotNull())
+    pairs = lag(frames, "hist", clip, "frame_id", "before").where(F.col("before").isNotNull())
     return pairs.select(*clip, "frame_id", distance(F.col("before"), F.col("hist"), F.col("pixels")).alias("distance"))
 
 
@@ -46,7 +47,9 @@ def scene_cuts(pixels: DataFrame, threshold: float = THRESHOLD, clip: list[str]
 def scene_segments(pixels: DataFrame, threshold: float = THRESHOLD, clip: list[str] | None = None) -> DataFrame:
     """Segment numbers from 0, with their first and last frames."""
     clip = clip or []
-    frames = pixels.select(*clip, "frame_id").distinct().join(scene_distances(pixels, clip), [*clip, "frame_id"], "left")
-    cut = (F.coalesce("distance", F.lit(0.0)) > threshold).cast("long")
-    numbered = frames.withColumn("segment", F.sum(cut).over(Window.partitionBy(*clip).orderBy("frame_id")))
+    frames = histogram_arrays(pixels, [*clip, "frame_id"])
+    moved = lag(frames, "hist", clip, "frame_id", "before")
+    far = F.when(F.col("before").isNotNull(), distance(F.col("before"), F.col("hist"), F.col("pixels"))).otherwise(F.lit(0.0))
+    cuts = moved.select(*clip, "frame_id", (far > threshold).cast("long").alias("cut"))
+    numbered = running_sum(cuts, "cut", clip, "frame_id", "segment")
     return numbered.groupBy(*clip, "segment").agg(F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"), F.count("*").alias("frames"))

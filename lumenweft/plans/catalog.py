@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, media
-from ..operators import bench, diagnostics, lut, protocol, resample, scene, transfer
+from ..operators import bench, diagnostics, lut, protocol, resample, scene, sequence, transfer
 from ..sources import frames as frame_files
 from . import fixtures as fx
 
@@ -847,21 +847,12 @@ def _(spark, d):
     return o.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
-    """The last right row at or before each left row: union and a running last value, one shuffle, no fan-out."""
-    side = lambda df, k: df.select(*by, at, F.lit(k).alias("__k"), *[(F.struct(*values) if k == 0 else F.lit(None)).alias("__v")], *([F.lit(None).alias("__row")] if k == 0 else [F.struct(*[c for c in left.columns if c not in (*by, at)]).alias("__row")]))
-    both = side(right, 0).unionByName(side(left, 1))
-    upto = Window.partitionBy(*by).orderBy(at, "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = both.withColumn("__v", F.last("__v", ignorenulls=True).over(upto)).where("__k = 1")
-    return filled.select(*by, at, "__row.*", *[F.col(f"__v.{v}").alias(v) for v in values])
-
-
 @query("x_as_of_join", "SELECT e.event_id, e.user_id, p.price FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN (SELECT user_id, ts, event_id AS price FROM events WHERE event_type = 'view') p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def _(spark, d):
     e = fx.table(spark, d, "events")
     left = e.where("event_type = 'click'").select("user_id", "ts", "event_id")
     right = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("price"))
-    return as_of(left, right, ["user_id"], "ts", ["price"]).select("event_id", "user_id", "price")
+    return sequence.as_of(left, right, ["user_id"], "ts", ["price"]).select("event_id", "user_id", "price")
 
 
 @query("x_interval_join", "SELECT a.event_id AS click_id, b.event_id AS buy_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR")

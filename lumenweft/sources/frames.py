@@ -14,10 +14,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..operators import sequence
+
 SCHEMA = "clip_id string, frame_id long, width int, height int, pixels binary"
 
 
@@ -164,7 +166,7 @@ def split_records(payloads: DataFrame, size: int) -> DataFrame:
 
 def renumber(frames: DataFrame, by: list[str], order: str = "frame_id", out: str = "pts") -> DataFrame:
     """Dense numbers from 0 in frame order."""
-    return frames.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long") - 1)
+    return sequence.renumber(frames, by, order, out)
 
 
 def batches(frames: DataFrame, by: list[str], size: int, order: str = "frame_id") -> DataFrame:
