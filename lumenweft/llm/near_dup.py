@@ -55,7 +55,7 @@ DF_BUCKETS = 1 << DF_BITS
 #: Counts of one row of the table on its way.
 SLICE = 8192
 #: How much more a shingle that no other document has can weigh than one that all have.
-DF_SHARE = 0.5
+DF_SHARE = 0.25
 #: The most members of a bucket that one comparison holds, on either side.
 BLOCK = 1024
 #: Columns of the shingle matrix multiplied at a time.
