@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted names and what they mean.
@@ -167,19 +167,24 @@ def verdict_label(v: Column) -> Column:
     return F.when(v == "EQUIVALENT", "≈ (within ROPE)").when(v == "DIFFERENT", "**DIFFERENT**").otherwise("unclear")
 
 
-def video_info(json: Column) -> Column:
-    """Struct of a probe document's metadata; an error where streams, a video stream or its size are missing."""
-    doc = F.from_json(json, PROBE_SCHEMA)
-    video = F.try_element_at(F.filter(doc["streams"], lambda s: s["codec_type"] == "video"), F.lit(1))
-    need = lambda c, what: F.coalesce(c, F.raise_error(F.lit(what)).cast("int"))
-    fps = parse_rational(F.coalesce(video["r_frame_rate"], F.lit("30")))
+def with_video_info(df: DataFrame, json: str, out: str = "info") -> DataFrame:
+    """``out`` is a struct of a probe document's metadata; an error where streams, a video stream or its size are missing.
+
+    In stages, so that a document is parsed once.
+    """
+    df = df.withColumn("__doc", F.from_json(json, PROBE_SCHEMA))
+    doc = F.col("__doc")
+    streams = F.when(doc["streams"].isNull(), F.raise_error(F.lit("no streams")).cast("string")).otherwise(F.lit(None))
+    df = df.withColumn("__v", F.try_element_at(F.filter(doc["streams"], lambda s: s["codec_type"] == "video"), F.lit(1)))
+    v = F.col("__v")
     duration = F.coalesce(doc["format"]["duration"].try_cast("double"), F.lit(0.0))
-    return F.when(doc["streams"].isNull(), F.raise_error(F.lit("no streams"))).when(video.isNull(), F.raise_error(F.lit("no video stream"))).otherwise(
-        F.struct(
-            need(video["width"], "missing width").alias("width"), need(video["height"], "missing height").alias("height"),
-            fps.alias("fps"), duration.alias("duration_secs"), frame_count(video["nb_frames"], duration, fps).alias("frame_count"),
-            F.exists(doc["streams"], lambda s: s["codec_type"] == "audio").alias("has_audio"),
-            F.coalesce(video["codec_name"], F.lit("unknown")).alias("codec_name"), F.coalesce(video["pix_fmt"], F.lit("")).alias("pix_fmt"),
-            bit_depth(video["bits_per_raw_sample"], F.coalesce(video["pix_fmt"], F.lit(""))).alias("bits_per_component"),
-        )
+    df = df.withColumns({"__fps": parse_rational(F.coalesce(v["r_frame_rate"], F.lit("30"))), "__duration": duration, "__error": F.coalesce(streams, F.when(v.isNull(), F.raise_error(F.lit("no video stream")).cast("string")))})
+    need = lambda c, what: F.coalesce(c, F.raise_error(F.lit(what)).cast("int"))
+    info = F.struct(
+        F.when(F.col("__error").isNull(), need(v["width"], "missing width")).alias("width"), need(v["height"], "missing height").alias("height"),
+        F.col("__fps").alias("fps"), F.col("__duration").alias("duration_secs"), frame_count(v["nb_frames"], F.col("__duration"), F.col("__fps")).alias("frame_count"),
+        F.exists(doc["streams"], lambda s: s["codec_type"] == "audio").alias("has_audio"),
+        F.coalesce(v["codec_name"], F.lit("unknown")).alias("codec_name"), F.coalesce(v["pix_fmt"], F.lit("")).alias("pix_fmt"),
+        bit_depth(v["bits_per_raw_sample"], F.coalesce(v["pix_fmt"], F.lit(""))).alias("bits_per_component"),
     )
+    return df.withColumn(out, info).drop("__doc", "__v", "__fps", "__duration", "__error")

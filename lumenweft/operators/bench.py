@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -9,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import media
 
@@ -97,6 +99,11 @@ def tail_lines(lines: DataFrame, n: int = 50, by: list[str] | None = None, order
     return lines.withColumn("__rn", F.row_number().over(last)).where(F.col("__rn") <= n).drop("__rn")
 
 
+@functools.lru_cache(64)
+def _splits(n: int, k: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), k)))
+
+
 def permutation_p(a: np.ndarray, b: np.ndarray, resamples: int = RESAMPLES, seed: int = 0) -> float:
     """Two-sided p of the difference of means, twice the lesser tail.
 
@@ -109,8 +116,7 @@ def permutation_p(a: np.ndarray, b: np.ndarray, resamples: int = RESAMPLES, seed
     slack = 1e-12 * max(1e-300, np.abs(both).max())  # equal sums of other order count as equal
     total = both.sum()
     if math.comb(n, k) <= resamples:
-        picks = np.array(list(itertools.combinations(range(n), k)))
-        sums = both[picks].sum(1)
+        sums = both[_splits(n, k)].sum(1)
         extra = 0
     else:
         rng = np.random.default_rng(seed)
@@ -124,19 +130,22 @@ def permutation_p(a: np.ndarray, b: np.ndarray, resamples: int = RESAMPLES, seed
 def compare_runs(samples: DataFrame, base: str, other: str, *, resamples: int = RESAMPLES) -> DataFrame:
     """Metric, means, delta in percent and p of two runs; samples: (run, metric, value).
 
-    A metric's samples are few (one row per timed run), so a group fits a task.
+    A metric's samples are few (one row per timed run), so they fit an array;
+    the test runs over Arrow batches of metrics.
     """
 
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = (group.value[group.run == r].sort_values().to_numpy() for r in (base, other))
-        if len(a) < 2 or len(b) < 2:
-            raise ValueError("a comparison needs at least two samples of each run")
-        mean_a, mean_b = a.mean(), b.mean()
-        delta = (mean_b - mean_a) / mean_a * 100 if mean_a else 0.0 if mean_b == 0 else math.inf
-        return pd.DataFrame([(group.metric.iloc[0], mean_a, mean_b, delta, permutation_p(a, b, resamples))], columns=["metric", "mean_a", "mean_b", "delta_pct", "p_raw"])
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([permutation_p(np.asarray(x), np.asarray(y), resamples) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    pairs = samples.where(F.col("run").isin(base, other)).select("run", "metric", F.col("value").cast("double").alias("value"))
-    return pairs.groupBy("metric").applyInPandas(test, "metric string, mean_a double, mean_b double, delta_pct double, p_raw double")
+    p_of = F.pandas_udf(test, T.DoubleType())
+    v = F.col("value").cast("double")
+    side = lambda run: F.sort_array(F.collect_list(F.when(F.col("run") == run, v)))
+    both = samples.where(F.col("run").isin(base, other)).groupBy("metric").agg(
+        side(base).alias("__a"), side(other).alias("__b"), F.avg(F.when(F.col("run") == base, v)).alias("mean_a"), F.avg(F.when(F.col("run") == other, v)).alias("mean_b")
+    )
+    few = F.least(F.size("__a"), F.size("__b")) < 2
+    checked = both.withColumn("__a", F.when(few, F.raise_error(F.lit("a comparison needs at least two samples of each run")).cast("array<double>")).otherwise(F.col("__a")))
+    return checked.select("metric", "mean_a", "mean_b", media.pct_delta(F.col("mean_a"), F.col("mean_b")).alias("delta_pct"), p_of("__a", "__b").alias("p_raw"))
 
 
 def holm(df: DataFrame, p: str = "p_raw", order: str = "metric", by: list[str] | None = None, out: str = "p_holm") -> DataFrame:

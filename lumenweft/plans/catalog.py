@@ -137,6 +137,28 @@ def _(spark, d):
     return far.select(*KEY, beyond.alias("beyond"))
 
 
+_LINE = (
+    "px AS (SELECT l_returnflag, (l_partkey * 7919 + l_suppkey * 31) % 65536 / 65535.0::DOUBLE AS r, (l_orderkey * 104729 + l_linenumber) % 65536 / 65535.0::DOUBLE AS g, "
+    "round(l_extendedprice * 100)::BIGINT % 65536 / 65535.0::DOUBLE AS b, l_quantity / 5.0 - 5.0 AS d_l, l_discount * 100.0 - 5.0 AS d_a, l_tax * 100.0 - 4.0 AS d_b FROM lineitem)"
+)
+
+
+@query(
+    "q_transfer_lineitem",
+    f"WITH {_LINE}, {lab_ctes('px', 'l_returnflag, d_l, d_a, d_b', 'lab')}, moved AS (SELECT l_returnflag, lab_l + d_l AS lab_l, lab_a + d_a AS lab_a, lab_b + d_b AS lab_b FROM lab), {rgb_ctes('moved', 'l_returnflag', 'back')}, u AS (SELECT l_returnflag, {U16} FROM back) "
+    "SELECT l_returnflag, count(*) AS n, sum(r16)::BIGINT AS r16, sum(g16)::BIGINT AS g16, sum(b16)::BIGINT AS b16 FROM u GROUP BY l_returnflag",
+)
+def _(spark, d):
+    """The transfer as a pixel load of its own: one pixel and one delta per line item, summed."""
+    c = F.col
+    px = fx.table(spark, d, "lineitem").select(
+        "l_returnflag", ((c("l_partkey") * 7919 + c("l_suppkey") * 31) % 65536 / 65535.0).alias("r"), ((c("l_orderkey") * 104729 + c("l_linenumber")) % 65536 / 65535.0).alias("g"),
+        (F.round(c("l_extendedprice") * 100).cast("long") % 65536 / 65535.0).alias("b"), (c("l_quantity") / 5.0 - 5.0).alias("d_l"), (c("l_discount") * 100.0 - 5.0).alias("d_a"), (c("l_tax") * 100.0 - 4.0).alias("d_b"),
+    )
+    done = transfer.add_delta(px)
+    return done.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.sum(f"{x}16").alias(f"{x}16") for x in "rgb"])
+
+
 @query("q_to_8bit", f"WITH {fx.PX} SELECT frame_id, y, x, r16 >> 8 AS r, g16 >> 8 AS g, b16 >> 8 AS b FROM px")
 def _(spark, d):
     return fx.px(spark, d).select(*KEY, *[color.u8_from_u16(F.col(f"{c}16")).alias(c) for c in "rgb"])
@@ -330,13 +352,13 @@ _PROBE = """WITH p AS (
 
 @query("q_probe_json", _PROBE + " SELECT clip_id, width, height, round(fps, 6) AS fps, duration_secs, frame_count, true AS has_audio, codec_name, pix_fmt, bits FROM v")
 def _(spark, d):
-    info = fx.probes(spark, d).select("clip_id", media.video_info(F.col("json")).alias("i"))
+    info = media.with_video_info(fx.probes(spark, d), "json", "i")
     return r6(info.select("clip_id", "i.width", "i.height", "i.fps", "i.duration_secs", "i.frame_count", "i.has_audio", "i.codec_name", "i.pix_fmt", F.col("i.bits_per_component").alias("bits")), "fps")
 
 
 @query("q_detect_encoding", _PROBE + " SELECT clip_id, e.enc AS encoding, e.enc IN ('ilog', 'dlog-m') AS ten_bit, CASE WHEN e.enc = 'srgb' THEN 'h264' ELSE 'prores' END AS codec FROM v, LATERAL (SELECT CASE WHEN codec_name = 'prores' THEN 'ilog' WHEN bits >= 10 AND codec_name IN ('hevc', 'h265') THEN 'dlog-m' ELSE 'srgb' END AS enc) e")
 def _(spark, d):
-    info = fx.probes(spark, d).select("clip_id", media.video_info(F.col("json")).alias("i"))
+    info = media.with_video_info(fx.probes(spark, d), "json", "i")
     enc = info.select("clip_id", media.detect_encoding(F.col("i.codec_name"), F.col("i.bits_per_component")).alias("encoding"))
     return enc.select("clip_id", "encoding", media.is_10bit(F.col("encoding")).alias("ten_bit"), media.default_codec(F.col("encoding")).alias("codec"))
 

@@ -133,7 +133,7 @@ def test_proxy(spark, dims, want):
 @pytest.mark.parametrize("doc,why", [("{}", "no streams"), ('{"streams":[{"codec_type":"audio"}]}', "no video"), ('{"streams":[{"codec_type":"video","height":2}]}', "width")])
 def test_probe_errors(spark, doc, why):
     with pytest.raises(Exception, match=why):
-        spark.createDataFrame([(doc,)], "j string").select(media.video_info(F.col("j"))).collect()
+        media.with_video_info(spark.createDataFrame([(doc,)], "j string"), "j").collect()
 
 
 @pytest.mark.parametrize("filters", [None, [0, 1], [2, 1], [1, 2]])
