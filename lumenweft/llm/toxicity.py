@@ -50,8 +50,8 @@ EVIDENCE_BITS, EMBED_BITS, EMBED = 18, 13, 4
 INPUT = KINDS + 2 * EMBED + 1
 #: Distinct words whose inputs one worker remembers.
 MEMO_WORDS = 200_000
-#: Factor of the calibrated log-odds: wrong labels flatten the curve, more so the fewer toxic documents there are.
-SHARPEN = 2.0
+#: An epoch goes over at least so many windows; few documents are taken repeatedly.
+LEAST_WINDOWS = 4000
 #: Windows scored at a time.
 BLOCK = 2048
 
@@ -281,7 +281,7 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
             chosen.append(best)
             if not toxic[d] and len(own) > 1:
                 chosen.append(own[int(rng.integers(len(own)))])
-        chosen = chosen * max(1, math.ceil(1500 / len(chosen)))
+        chosen = chosen * max(1, math.ceil(LEAST_WINDOWS / len(chosen)))
         labels = np.array([toxic[spans[i][0]] for i in chosen], np.float32)
         up = 0.5 * len(labels) / max(1, labels.sum())
         down = 0.5 * len(labels) / max(1, len(labels) - labels.sum())
@@ -307,8 +307,7 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
     final = scores(list(range(len(spans))))
     best = np.array([final[by_doc[d]].max() for d in by_doc])
     truth = np.array([toxic[d] for d in by_doc], np.float64)
-    slope, offset = platt(best.astype(np.float64), truth)
-    model["slope"], model["offset"] = SHARPEN * slope, SHARPEN * offset
+    model["slope"], model["offset"] = platt(best.astype(np.float64), truth)
     return model
 
 
