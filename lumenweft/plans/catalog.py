@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, media
-from ..operators import bench, diagnostics, lut, protocol, resample, scene, sequence, transfer
+from ..operators import bench, diagnostics, lut, protocol, resample, scene, sequence, transfer, transfer_arrow
 from ..sources import frames as frame_files
 from . import fixtures as fx
 
@@ -159,6 +159,13 @@ def _(spark, d):
     return done.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.sum(f"{x}16").alias(f"{x}16") for x in "rgb"])
 
 
+@query("q_oklab_transfer_arrow", SQL["q_oklab_transfer"])
+def _(spark, d):
+    """The same over Arrow batches."""
+    rows = transfer.to_unit(fx.px(spark, d)).select(*KEY, "r", "g", "b").join(fx.delta(spark, d), KEY)
+    return transfer_arrow.grade_rows(rows, "arrow").select(*KEY, "r16", "g16", "b16")
+
+
 @query("q_to_8bit", f"WITH {fx.PX} SELECT frame_id, y, x, r16 >> 8 AS r, g16 >> 8 AS g, b16 >> 8 AS b FROM px")
 def _(spark, d):
     return fx.px(spark, d).select(*KEY, *[color.u8_from_u16(F.col(f"{c}16")).alias(c) for c in "rgb"])

@@ -128,3 +128,14 @@ def test_qualifiers_see_what_came_before(spark):
     assert all(abs(a - b) < 1e-12 for x, y in zip(idle, px.collect()) for a, b in zip(x, y))
     moved = lut.apply_qualifiers(px, [lut.Qualifier()] * 4 + [lut.Qualifier(80, 1, 0, 200), lut.Qualifier(0, 1, -0.5, 200)]).collect()
     assert moved[0] != px.first() and abs(moved[1].r - 0.5) < 1e-12
+
+
+def test_both_engines_agree(spark):
+    from lumenweft.operators import transfer_arrow
+    from lumenweft.plans import fixtures as fx
+
+    rows = transfer.to_unit(fx.px(spark, "/root/testdata/sf0.001")).select("frame_id", "y", "x", "r", "g", "b").join(fx.delta(spark, "/root/testdata/sf0.001"), ["frame_id", "y", "x"])
+    sides = [transfer_arrow.grade_rows(rows, e).select("frame_id", "y", "x", "r16", "g16", "b16").collect() for e in ("sql", "arrow")]
+    assert sorted(map(tuple, sides[0])) == sorted(map(tuple, sides[1])) and len(sides[0]) == 1000
+    with pytest.raises(ValueError):
+        transfer_arrow.grade_rows(rows, "gpu")
