@@ -94,3 +94,10 @@ def accuracy(a: DataFrame, b: DataFrame, key: list[str], value: str, by: list[st
     out = both.withColumn("__d", d).groupBy(*by).agg(F.max("__d").alias("max_diff"), F.sort_array(F.collect_list("__d")).alias("__s"), F.avg(F.col("__d") * F.col("__d")).alias("mse"))
     p99 = F.element_at("__s", F.least(F.floor(F.size("__s") * 0.99), F.size("__s") - 1).cast("int") + 1)
     return out.select(*by, "max_diff", p99.alias("p99"), "mse", (10.0 * F.log10(4.0 / F.greatest("mse", F.lit(1e-10)))).alias("psnr"))
+
+
+def check_same_pixels(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """one row that says so, or an error, where two relations do not hold the same keys."""
+    alone = a.select(*key).exceptAll(b.select(*key)).unionByName(b.select(*key).exceptAll(a.select(*key)))
+    n = alone.agg(F.count("*").alias("n"))
+    return n.select(F.when(F.col("n") == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("frames differ in "), F.col("n").cast("string"), F.lit(" pixels"))).cast("boolean")).alias("same"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -158,3 +158,12 @@ def build_combined(spark, lut: DataFrame, size: int, grid: int, bounds: list[flo
     graded = grade_zoned(pixels, lut, size, bounds, qualifiers, params, ["at_zone", "at_r", "at_g", "at_b"])
     named = {"at_zone": "zone", "at_r": "ri", "at_g": "gi", "at_b": "bi"}
     return graded.select(*[F.col(a).alias(b) for a, b in named.items()], *[F.col(c).alias(f"l{c}") for c in "rgb"])
+
+
+def box_blur(pixels: DataFrame, value: str, radius: int = 30, passes: int = 1) -> DataFrame:
+    """Mean over 2 radius + 1 pixels of the row, then of the column; fewer at the edges."""
+    for _ in range(passes):
+        for line, along in ((["frame_id", "y"], "x"), (["frame_id", "x"], "y")):
+            near = Window.partitionBy(*line).orderBy(along).rowsBetween(-radius, radius)
+            pixels = pixels.withColumn(value, F.avg(value).over(near))
+    return pixels

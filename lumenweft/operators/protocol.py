@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -161,3 +162,31 @@ def png_pixels(payload: pd.Series) -> pd.DataFrame:
     """Size and interleaved RGB bytes of a binary column of images."""
     images = [decode_png(b) for b in payload]
     return pd.DataFrame({"width": [i.shape[1] for i in images], "height": [i.shape[0] for i in images], "pixels": [i.tobytes() for i in images]})
+
+
+@F.pandas_udf(T.BinaryType())
+def png_of(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """Images of interleaved RGB bytes; write the column as a table or file by file."""
+    rows = zip(pixels, width, height, strict=True)
+    return pd.Series([None if p is None else encode_png(np.frombuffer(p, np.uint8).reshape(int(h), int(w), 3)) for p, w, h in rows])
+
+
+@dataclass(frozen=True)
+class ServiceOptions:
+    """How an inference service is started."""
+
+    python: str = "python"
+    module: str = "service"
+    weights: str | None = None
+    models_dir: str | None = None
+    depth_model: str | None = None
+    skip_enhance: bool = False
+    skip_depth: bool = False
+    startup_timeout_s: int = 120
+
+    def arguments(self) -> list[str]:
+        """The command; leaving a model out goes before naming it."""
+        out = [self.python, "-m", self.module]
+        out += ["--no-enhance"] if self.skip_enhance else [x for k, v in (("--weights", self.weights), ("--models-dir", self.models_dir)) if v for x in (k, v)]
+        out += ["--no-depth"] if self.skip_depth else ["--depth-model", self.depth_model] if self.depth_model else []
+        return out

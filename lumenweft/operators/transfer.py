@@ -87,6 +87,30 @@ def _plane(channel: str):
     return F.transform("px", lambda p: p[channel])
 
 
+class LazyModel:
+    """A model that each worker builds when it first meets a batch, and keeps for its life."""
+
+    _built: dict[str, Model] = {}
+
+    def __init__(self, name: str, build: Callable[[], Model]):
+        self.name, self.build = name, build
+
+    def __call__(self, batch: np.ndarray) -> np.ndarray:
+        if self.name not in self._built:
+            self._built[self.name] = self.build()
+        return self._built[self.name](batch)
+
+    @classmethod
+    def unload(cls, name: str) -> None:
+        cls._built.pop(name, None)
+
+
+def check_capacity(frames: DataFrame, width: int, height: int) -> DataFrame:
+    """An error for a frame larger than the capacity asked for."""
+    fits = (F.col("width") <= width) & (F.col("height") <= height)
+    return frames.withColumn("width", F.when(fits, F.col("width")).otherwise(F.raise_error(F.lit("frame beyond the capacity")).cast("int")))
+
+
 def pack_frames(pixels: DataFrame) -> DataFrame:
     """Planar frames out of pixel rows with r, g, b; a frame is bounded, so a row may hold one."""
     cell = F.struct("y", "x", "r", "g", "b")

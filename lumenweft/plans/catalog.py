@@ -841,6 +841,20 @@ def _(spark, d):
     return sampled.join(direct, KEY).select(*KEY, far.alias("beyond"))
 
 
+_BLUR = "WITH {}, a AS (SELECT frame_id, y, x, avg(v) OVER (PARTITION BY frame_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM tile) "
+
+
+@query("h_box_blur", _BLUR.format(fx.TILE) + "SELECT frame_id, y, x, round(avg(v) OVER (PARTITION BY frame_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) + 0.0 AS v FROM a")
+def _(spark, d):
+    return r6(lut.box_blur(fx.tile(spark, d), "v", 2), "v", digits=9)
+
+
+@query("q_same_pixels", "SELECT true AS same")
+def _(spark, d):
+    px = fx.px(spark, d)
+    return diagnostics.check_same_pixels(px, transfer.transfer(px, fx.delta(spark, d)), KEY)
+
+
 # ---- relational surface -----------------------------------------------------
 
 
@@ -859,11 +873,11 @@ def _(spark, d):
     return count("left_semi", "with").unionByName(count("left_anti", "without"))
 
 
-@query("x_full_outer", "SELECT coalesce(a.k, b.k) AS k, a.n AS suppliers, b.n AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 9000 GROUP BY 1) a FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9800 GROUP BY 1) b ON a.k = b.k")
+@query("x_full_outer", "SELECT coalesce(c_custkey, o.k) AS k, c_nationkey AS nation, o.n AS orders FROM customer FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) o ON c_custkey = o.k")
 def _(spark, d):
-    a = fx.table(spark, d, "supplier").where("s_acctbal > 9000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
-    b = fx.table(spark, d, "customer").where("c_acctbal > 9800").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
-    return a.join(b, "k", "full")
+    o = fx.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"))
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
+    return c.join(o, "k", "full").select("k", "nation", "orders")
 
 
 _RANGES = [(0, 1000), (1000, 50000), (50000, 200000), (200000, 1000000)]

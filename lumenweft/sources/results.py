@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import platform
 import subprocess
@@ -180,5 +179,14 @@ def interpreter() -> str:
     return sys.executable
 
 
-def finite(x: float) -> bool:
-    return math.isfinite(x)
+def env_number(name: str, default: float, env: Mapping[str, str] | None = None) -> float:
+    """A number from the environment; the default where it is unset or no number."""
+    try:
+        return float((os.environ if env is None else env)[name])
+    except (KeyError, ValueError):
+        return default
+
+
+def scene_threshold(env: Mapping[str, str] | None = None) -> float:
+    """$LUMENWEFT_SCENE_THRESHOLD or 0.15."""
+    return env_number("LUMENWEFT_SCENE_THRESHOLD", 0.15, env)

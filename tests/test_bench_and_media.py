@@ -292,3 +292,20 @@ def test_timed_runs_and_their_comparison(spark, tmp_path):
     for bad in ((1, 30, 8), (5, 8, 8)):
         with pytest.raises(ValueError):
             bench_cli.check_run(*bad)
+
+
+def test_service_options():
+    o = protocol.ServiceOptions(depth_model="d", skip_depth=True)
+    assert "--no-depth" in o.arguments() and "--depth-model" not in o.arguments()
+    assert protocol.ServiceOptions(weights="w", depth_model="d").arguments()[3:] == ["--weights", "w", "--depth-model", "d"]
+
+
+def test_environment_numbers():
+    assert results.scene_threshold({"LUMENWEFT_SCENE_THRESHOLD": "0.3"}) == 0.3
+    assert results.scene_threshold({"LUMENWEFT_SCENE_THRESHOLD": "x"}) == results.scene_threshold({}) == 0.15
+
+
+def test_image_column(spark):
+    df = spark.createDataFrame([(bytes(range(12)), 2, 2), (None, 1, 1)], "p binary, w int, h int")
+    out = df.select(protocol.png_of("p", "w", "h").alias("png")).collect()
+    assert protocol.decode_png(bytes(out[0].png)).ravel().tolist() == list(range(12)) and out[1].png is None

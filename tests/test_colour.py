@@ -139,3 +139,26 @@ def test_both_engines_agree(spark):
     assert sorted(map(tuple, sides[0])) == sorted(map(tuple, sides[1])) and len(sides[0]) == 1000
     with pytest.raises(ValueError):
         transfer_arrow.grade_rows(rows, "gpu")
+
+
+def test_unlike_frames_and_capacity(spark):
+    a, b = frames(spark, 1, size=4), frames(spark, 1, size=3)
+    assert diagnostics.check_same_pixels(a, a, ["frame_id", "y", "x"]).first().same
+    with pytest.raises(Exception, match="frames differ in 7 pixels"):
+        diagnostics.check_same_pixels(a, b, ["frame_id", "y", "x"]).collect()
+    packed = transfer.pack_frames(transfer.to_unit(a))
+    assert transfer.check_capacity(packed, 4, 4).count() == 1
+    with pytest.raises(Exception, match="capacity"):
+        transfer.check_capacity(packed, 3, 4).collect()
+
+
+def test_a_worker_builds_its_model_once(spark):
+    model = transfer.LazyModel("double", lambda: lambda batch: batch)
+    assert transfer.run_model(transfer.pack_frames(transfer.to_unit(frames(spark, 9, 8, 7, size=2))), model, batch_size=1).count() == 3
+    calls = []
+    local = transfer.LazyModel("count", lambda: calls.append(1) or (lambda b: b))
+    local(np.zeros(1)), local(np.zeros(1))
+    assert calls == [1]
+    transfer.LazyModel.unload("count")
+    local(np.zeros(1))
+    assert calls == [1, 1]
