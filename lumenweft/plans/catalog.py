@@ -303,7 +303,6 @@ def _(spark, d):
     return r6(flat.join(diagnostics.flat_blocks(b).drop("flat_pct"), "frame_id"), "flat_pct", "mean_var", "min_var", "max_var")
 
 
-_BOUNDS = f"WITH {fx.DEPTH}, q AS (SELECT frame_id, [quantile_cont(depth, i / 4.0) FOR i IN [0]] FROM depth GROUP BY frame_id)"
 _ZONES = f"WITH {fx.DEPTH}, q AS (SELECT frame_id, round(quantile_cont(depth, 0.25), 9) AS b1, round(quantile_cont(depth, 0.5), 9) AS b2, round(quantile_cont(depth, 0.75), 9) AS b3, max(depth) AS b4 FROM depth GROUP BY frame_id)"
 
 
