@@ -73,7 +73,7 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         high, low = np.maximum(a[differ], b[differ]), np.minimum(a[differ], b[differ])
         parent = np.arange(len(label))
         np.minimum.at(parent, high, low)
-        while (up := parent[parent]).tolist() != parent.tolist() if len(parent) < 64 else not np.array_equal(up := parent[parent], parent):
+        while not np.array_equal(up := parent[parent], parent):
             parent = up
         label = parent[label]
 
