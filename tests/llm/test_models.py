@@ -118,3 +118,16 @@ def test_every_window_is_scored():
             covered |= set(range(s, s + toxicity.WINDOW))
         assert set(range(n)) <= covered
     assert toxicity.starts(0) == []
+
+
+def test_hash_sample_is_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from lumenweft.llm.common import hash_sample
+
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("__other", F.lit(1))
+    order = [r.doc_id for r in df.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").collect()]
+    for n in (1, 7, 200, 900, 5000):
+        assert [r.doc_id for r in hash_sample(df, "doc_id", n, 5)] == order[:n]
+    assert hash_sample(df.limit(0), "doc_id", 3, 5) == []
+    assert hash_sample(df, "doc_id", 7, 5)[0].asDict().keys() == {"doc_id", "__other"}
