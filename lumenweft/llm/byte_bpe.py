@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Distinct pieces of text whose ids one Python worker remembers.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 #: A string of at most this many bytes is a leaf of the tree.
 LEAF_BYTES = 16
 

@@ -57,9 +57,9 @@ SLICE = 8192
 #: How much more a shingle that no other document has can weigh than one that all have.
 DF_SHARE = 0.25
 #: The most members of a bucket that one comparison holds, on either side.
-BLOCK = 1024
+BLOCK = 768
 #: Columns of the shingle matrix multiplied at a time.
-COLUMNS = 2048
+COLUMNS = 1024
 _GRID = 1 / 16  # of ln w
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 

@@ -49,9 +49,11 @@ KINDS = 6
 EVIDENCE_BITS, EMBED_BITS, EMBED = 18, 13, 4
 INPUT = KINDS + 2 * EMBED + 1
 #: Distinct words whose inputs one worker remembers.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 #: An epoch goes over at least so many windows; few documents are taken repeatedly.
 LEAST_WINDOWS = 4000
+#: Texts taken out of Arrow at a time.
+SLICE = 512
 #: Windows scored at a time.
 BLOCK = 2048
 
@@ -398,6 +400,12 @@ class Scorer:
             owners.clear()
 
 
+def _scores(scorer: Scorer, texts: pa.Array) -> np.ndarray:
+    """Scores of an Arrow column, a slice of it in Python at a time."""
+    parts = [scorer(texts.slice(at, SLICE).to_pylist()) for at in range(0, len(texts), SLICE)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -405,7 +413,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(scorer, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     held = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -420,7 +428,7 @@ def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) < THRESHOLD))
+            yield batch.filter(pa.array(_scores(scorer, batch.column(at)) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
