@@ -44,6 +44,8 @@ CELL_ROWS, MOST_PIVOTS = 4096, 2048
 #: The most own vectors and guests that one join of blocks holds.
 OWN_BLOCK, GUEST_BLOCK = 16384, 65536
 _SLACK = 1e-9
+#: A dense group of so many rows in a block is counted as a ball; so many centres are tried.
+BALL_ROWS, BALL_TRIES = 512, 16
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,26 +80,69 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = parent[label]
 
 
+def _ball(units: np.ndarray, free: np.ndarray, half: float) -> np.ndarray | None:
+    """Of the free rows the largest ball of angle ``half`` about one of a few of them; None if it is small."""
+    at = np.nonzero(free)[0]
+    if len(at) < BALL_ROWS:
+        return None
+    centres = at[:: -(-len(at) // BALL_TRIES)]
+    near = units[at] @ units[centres].T >= np.cos(half)
+    best = int(near.sum(0).argmax())
+    inside = at[near[:, best]]
+    if len(inside) < BALL_ROWS:
+        return None
+    return np.concatenate([[centres[best]], inside[inside != centres[best]]])
+
+
 def link_block(ids: np.ndarray, copies: np.ndarray, units: np.ndarray, own: int, inside: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (copies counted) and forest label of each row.
 
     Rows below ``own`` are joined with those from ``own`` on, and with each
-    other where ``inside``.
+    other where ``inside``.  By the triangle inequality rows within half the
+    angle of one centre all link, and a row much nearer or farther than the
+    angle links with all or none of them: dense groups are counted, not compared.
     """
     n = len(ids)
     links, label = np.zeros(n, np.int64), np.arange(n)
-    step = max(1, (1 << 21) // max(1, n))
-    for at in range(0, own, step):
-        rows = np.arange(at, min(own, at + step))
-        begin = at if inside else own
-        near = units[rows] @ units[begin:].T >= cosine
-        if inside:
-            near &= np.arange(begin, n)[None, :] > rows[:, None]
-        i, j = np.nonzero(near)
-        if len(i):
-            i, j = rows[i], j + begin
-            links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
-            label = _forest(label, i, j)
+
+    def pairs(rows: np.ndarray, others: np.ndarray, upper: bool) -> None:
+        """Compare rows with others; where ``upper`` only with those of a greater index."""
+        nonlocal label
+        step = max(1, (1 << 21) // max(1, len(others)))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            rest = others[others > some[0]] if upper else others
+            near = units[some] @ units[rest].T >= cosine
+            if upper:
+                near &= rest[None, :] > some[:, None]
+            i, j = np.nonzero(near)
+            if len(i):
+                i, j = some[i], rest[j]
+                links[:] += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
+                label = _forest(label, i, j)
+
+    free = np.ones(own, bool)
+    limit = float(np.arccos(cosine))
+    slack = 1e-6  # far beyond rounding; what it leaves open is compared
+    while inside and (ball := _ball(units[:own], free, limit / 2 - slack)) is not None:
+        free[ball] = False
+        centre = units[ball[0]]
+        radius = float(np.arccos(np.clip(units[ball] @ centre, -1, 1)).max())
+        total = copies[ball].sum()
+        links[ball] += total - copies[ball]
+        label = _forest(label, np.full(len(ball) - 1, ball[0]), ball[1:])
+        rest = np.concatenate([np.nonzero(free)[0], np.arange(own, n)])
+        angle = np.arccos(np.clip(units[rest] @ centre, -1, 1))
+        whole = rest[angle <= limit - radius - slack]
+        if len(whole):
+            links[ball] += copies[whole].sum()
+            links[whole] += total
+            label = _forest(label, np.full(len(whole), ball[0]), whole)
+        pairs(rest[(angle > limit - radius - slack) & (angle < limit + radius + slack)], ball, False)
+    rows = np.nonzero(free)[0]
+    if inside:
+        pairs(rows, rows, True)
+    pairs(rows, np.arange(own, n), False)
     return links, label
 
 

@@ -101,6 +101,27 @@ def brute_links(rows, cosine=0.9):
     return [(a, b) for a, b in itertools.combinations(ok, 2) if len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= cosine]
 
 
+@pytest.mark.parametrize("ball", [3, 20, 10**6])
+@pytest.mark.parametrize("inside,own", [(True, 400), (True, 300), (False, 250)])
+def test_balls_count_what_comparison_counts(monkeypatch, ball, inside, own):
+    monkeypatch.setattr(metric_join, "BALL_ROWS", ball)
+    rng = np.random.default_rng(own + ball)
+    centres = rng.normal(0, 1, (9, 5))
+    spread = rng.choice([0.02, 0.12, 0.3], 9)
+    kind = rng.integers(0, 9, 400)
+    x = centres[kind] + rng.normal(0, 1, (400, 5)) * spread[kind][:, None]
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    ids, copies = np.arange(400) * 3, rng.integers(1, 4, 400)
+    links, label = metric_join.link_block(ids, copies, units, own, inside, 0.9)
+    near = units @ units.T >= 0.9
+    i = np.arange(400)
+    met = (i[:, None] != i[None, :]) & ((i[:, None] < own) | (i[None, :] < own)) & (inside | ((i[:, None] < own) != (i[None, :] < own)))
+    near &= met
+    assert (links == near @ copies).all()
+    want = brute_components(range(400), [tuple(map(int, p)) for p in zip(*np.nonzero(near))])
+    assert label.tolist() == [want[k] for k in range(400)]
+
+
 @pytest.mark.parametrize("cell_rows,block", [(4096, 16384), (8, 16384), (30, 7)])
 def test_range_join(spark, monkeypatch, cell_rows, block):
     monkeypatch.setattr(metric_join, "OWN_BLOCK", block)
