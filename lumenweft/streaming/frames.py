@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -64,6 +66,10 @@ class PreviousFrame(StatefulProcessor):
         return None
 
 
+# the planner's own Python process does not see shipped sources, so the class travels by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def stream_distances(histograms: DataFrame) -> DataFrame:
     """Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
     return histograms.groupBy("clip_id").transformWithStateInPandas(PreviousFrame(), "clip_id string, frame_id long, distance double", outputMode="Append", timeMode="None")
