@@ -1,10 +1,13 @@
 """Two-pass external shuffle into shards, in DataFrame operations only.
 
-Pass one scatters the rows uniformly into buckets small enough for memory: the
-shard comes from ``key`` by rendezvous hashing, the bucket within the shard
-from a second seeded hash.  Pass two gathers each bucket, Fisher-Yates
-shuffles it and lays the buckets end to end, which gives every row a gapless
-slot in its shard.
+Pass one scatters the whole rows uniformly into buckets small enough for memory,
+by number of rows and by bytes: the shard comes from ``key`` by rendezvous
+hashing, the bucket within the shard from a second seeded hash.  Pass two
+gathers each bucket, Fisher-Yates shuffles it and lays the buckets end to end,
+which gives every row a gapless slot in its shard.  Buckets are dealt to tasks
+in ranges, so the shards are written where the buckets were gathered and the
+rows move once (twice where the planner finds the table of offsets, one row a
+bucket, too large to broadcast).
 
 Law ``key``: the shard is the index whose seeded hash with the key is greatest
 (ties: the smaller index).  One more shard adds one candidate, so a row either
@@ -12,8 +15,9 @@ stays or moves to the new shard.
 
 The Fisher-Yates fold swaps within an array that is sorted first and draws
 from a hash of (seed, bucket, step), so a lost task gives the same order again.
-A bucket that outgrew its bound (one key on very many rows) is split by row
-number into as many parts as it needs; every part stays bounded.
+A bucket that outgrew its bound (one key on very many rows, very long rows) is
+split by row number into as many parts as it needs; a part holds about the rows
+and bytes of a bucket, or one row that is longer.
 
 Defined cases: a null key is a key of its own; a null text has no bytes; rows
 that are equal in all columns are each kept and are interchangeable; an empty
@@ -22,13 +26,18 @@ table gives no rows; further columns ride along.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import shared_folder, table
 
-#: Rows that one bucket holds on average; the unit of memory in pass two.
+#: Rows and bytes that one bucket holds on average; the unit of memory in pass two.
 BUCKET_ROWS = 256
+BUCKET_BYTES = 512 << 10
+_RUNS = itertools.count()
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -54,52 +63,83 @@ def fisher_yates(n: Column, seed: Column) -> Column:
     return F.aggregate(steps, F.sequence(F.lit(1), n), swap)
 
 
-def shuffle_into_shards(df: DataFrame, key: str, shards: int, *, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """shard int, slot long, grown_shard int (with one more shard) and ``row``, a struct of all columns of df.
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and nested values by their length, 8 for every other column."""
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.StructType)):
+            c = c.cast("string")
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            continue
+        total = total + F.coalesce(F.octet_length(c), F.lit(0))
+    return total
 
-    The columns must be of types that can be ordered.
-    """
-    total = df.select(key).count()
-    per_shard = max(1, -(-total // (shards * bucket_rows)))
+
+def scatter(df: DataFrame, key: str, shards: int, *, seed: int, bucket_rows: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Pass one: the rows with their shard and bucket, the sizes of the buckets, and the columns that name a bucket."""
+    total, volume = df.select(row_bytes(df).alias("bytes")).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    per_shard = max(1, -(-total // (shards * bucket_rows)), -(-volume // (shards * bucket_bytes)))
     k = F.col(f"`{key}`")
     parts = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        row_bytes(df).alias("bytes"),
         rendezvous(k, shards, seed).alias("shard"),
         rendezvous(k, shards + 1, seed).alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit(seed + 1), k), F.lit(per_shard)).alias("bucket"),
     )
-    # pass one: the sizes of the buckets, and how many parts a crowded one needs
-    sizes = parts.groupBy("shard", "bucket").count()
-    crowded = sizes.where(F.col("count") > 8 * bucket_rows).select("shard", "bucket", F.ceil(F.col("count") / bucket_rows).alias("parts"))
+    # the sizes of the buckets, and how many parts a crowded one needs
+    measured = [F.count("*").alias("count"), F.sum("bytes").alias("bytes")]
+    sizes = parts.groupBy("shard", "bucket").agg(*measured)
+    needed = F.ceil(F.greatest(F.col("count") / bucket_rows, F.col("bytes") / bucket_bytes))
+    crowded = sizes.where((F.col("count") > 8 * bucket_rows) | (F.col("bytes") > 4 * bucket_bytes)).select("shard", "bucket", needed.alias("parts"))
     if crowded.isEmpty():
-        at = ["shard", "bucket"]
-    else:
-        at = ["shard", "bucket", "part"]
-        numbered = parts.withColumn("nth", F.monotonically_increasing_id())
-        parts = numbered.join(crowded, ["shard", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("nth"), F.coalesce("parts", F.lit(1)))).drop("nth", "parts")
-        sizes = parts.groupBy(*at).count()
+        return parts, sizes, ["shard", "bucket"]
+    numbered = parts.withColumn("nth", F.monotonically_increasing_id())
+    parts = numbered.join(crowded, ["shard", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("nth"), F.coalesce("parts", F.lit(1)))).drop("nth", "parts")
+    at = ["shard", "bucket", "part"]
+    return parts, parts.groupBy(*at).agg(*measured), at
+
+
+def shuffle_into_shards(df: DataFrame, key: str, shards: int, *, seed: int = 17, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """shard int, slot long, grown_shard int (with one more shard) and ``row``, a struct of all columns of df.
+
+    The columns must be of types that can be ordered.
+    """
+    parts, sizes, at = scatter(df, key, shards, seed=seed, bucket_rows=bucket_rows, bucket_bytes=bucket_bytes)
     before = Window.partitionBy("shard").orderBy(*at[1:]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*at, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     # pass two: gather a bucket, put it in a fixed order, shuffle it, lay it at its offset
-    gathered = parts.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("row", "grown_shard"))).alias("rows"))
+    dealt = parts.select(*at, "row", "grown_shard").repartitionByRange(*at)
+    gathered = dealt.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("row", "grown_shard"))).alias("rows"))
     order = fisher_yates(F.size("rows"), F.xxhash64(F.lit(seed + 2), *at))
     laid = gathered.select(*at, "rows", order.alias("order")).join(offsets, at)
-    placed = laid.select("shard", "offset", "rows", F.posexplode("order").alias("pos", "nth"))
-    row = F.element_at("rows", F.col("nth"))
-    return placed.select("shard", (F.col("offset") + F.col("pos")).cast("long").alias("slot"), row["grown_shard"].alias("grown_shard"), row["row"].alias("row"))
+
+    def place(nth: Column, pos: Column) -> Column:
+        one = F.element_at("rows", nth)
+        return F.struct((F.col("offset") + pos).cast("long").alias("slot"), one["grown_shard"].alias("grown_shard"), one["row"].alias("row"))
+
+    return laid.select("shard", F.inline(F.transform("order", place)))
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
     """One folder per shard, the rows of a file in slot order; many files a shard, each of bounded size."""
-    spread = shuffled.select("shard", "slot", "row.*")
-    spread.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    shuffled.select("shard", "slot", "row.*").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    """Write the shards of whole documents and digest them as they were written."""
+    docs = table(spark, sf_dir, "documents")
+    shuffled = shuffle_into_shards(docs, "doc_id", shards)
+    path = f"{shared_folder(spark)}/shards-{spark.sparkContext.applicationId}-{next(_RUNS)}"
+    write_shards(shuffled, path)
+    written = spark.read.schema(shuffled.select("shard", "slot", "row.*").schema).parquet(path)
+    return written.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        rendezvous(F.col("doc_id"), shards + 1, 17).alias("grown_shard"),
     )
-    out = shuffle_into_shards(docs, "doc_id", shards)
-    return out.select("row.doc_id", "row.size", "row.text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

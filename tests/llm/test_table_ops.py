@@ -60,6 +60,35 @@ def test_shards(spark):
     assert two_pass_shuffle.shuffle_into_shards(table.limit(0), "doc_id", 4).count() == 0
 
 
+def test_shards_hold_whole_rows(spark, monkeypatch):
+    written = []
+    write = two_pass_shuffle.write_shards
+    monkeypatch.setattr(two_pass_shuffle, "write_shards", lambda df, path: (written.append(path), write(df, path)))
+    sf = "/root/testdata/sf0.001"
+    digests = two_pass_shuffle.query(spark, sf).collect()
+    (path,) = written
+    shards, docs = spark.read.parquet(path), spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(map(repr, shards.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    assert sorted((r.doc_id, r.shard, r.slot) for r in shards.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in digests)
+    # a file is one run of slots
+    for f in {r[0] for r in shards.select("_metadata.file_path").collect()}:
+        slots = [r.slot for r in spark.read.parquet(f).collect()]
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
+
+
+def test_buckets_are_bounded_in_bytes(spark):
+    rows = [(i, "t" * (20000 if i % 50 == 0 else i % 9)) for i in range(1000)] + [(3, "u" * 5000)] * 300
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    parts, sizes, at = two_pass_shuffle.scatter(table, "doc_id", 4, seed=17, bucket_rows=256, bucket_bytes=30000)
+    found = parts.groupBy(*at).agg({"bytes": "max", "*": "count"}).join(sizes.select(*at, "bytes"), at).collect()
+    assert sum(r["count(1)"] for r in found) == len(rows)
+    assert all(r["bytes"] <= 4 * 30000 for r in found)
+    out = two_pass_shuffle.shuffle_into_shards(table, "doc_id", 4, bucket_bytes=30000).collect()
+    assert sorted(tuple(r["row"]) for r in out) == sorted(rows)
+    for shard in range(4):
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+
+
 def test_fisher_yates_is_uniform(spark):
     from pyspark.sql import functions as F
 
