@@ -29,7 +29,10 @@ its pairs, no bucket is capped and no link between components is lost.
 
 Defined cases: equal texts are duplicates, also empty ones and those without
 words; a null text or a null doc_id has no duplicates; rows with the same doc_id
-count as one document; ties go to the least doc_id, which stays.  Further
+and the same text count as one; ties go to the least doc_id, then the least
+digest of the text, which stays.  Unlike texts of one doc_id are judged each by
+itself, so none is lost: :func:`keep_one` keeps rows by doc_id and text, and
+:func:`near_duplicates` calls a doc_id kept if any of its texts is.  Further
 columns are ignored by :func:`near_duplicates` and kept by :func:`keep_one`.
 """
 
@@ -39,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
@@ -208,19 +211,19 @@ def _sketches(docs: DataFrame, weights) -> DataFrame:
     return named.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "id long, digest string, keys array<long>")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, digest and text of the wanted (doc_id, digest), one row of each."""
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and text of the wanted nodes."""
+    named = classes.select("node", F.col("id").alias("doc_id"), "digest").join(wanted, "node", "left_semi")
     texts = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    return texts.join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return texts.join(named, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("node", "text")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
-    """Of the pairs (a, da, b, db: ids and digests) those whose texts are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id"), F.col("da").alias("digest")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("db").alias("digest"))).distinct()
-    texts = checkpointed(_texts(docs, wanted))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("digest").alias("da"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("digest").alias("db"), F.col("text").alias("tb"))
-    both = pairs.join(right, ["b", "db"]).join(left, ["a", "da"]).select("a", "b", "ta", "tb")
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, weights, threshold: float) -> DataFrame:
+    """Of the pairs (a, b: nodes) those whose texts are similar enough."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = checkpointed(_texts(docs, classes, wanted))
+    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(weights.value)
@@ -283,70 +286,81 @@ def similarities(sets: list[np.ndarray]) -> np.ndarray:
     return low / (total[:, None] + total[None, :] - low)
 
 
-def _open_again(banded: DataFrame, linked: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
+def _open_again(banded: DataFrame, linked: DataFrame, docs: DataFrame, classes: DataFrame, weights, threshold: float) -> DataFrame:
     """Edges (a, b), a spanning forest in each block, between members of unlike components of one bucket."""
-    labels = linked.select(F.col("node").alias("id"), "component")
-    labelled = banded.join(labels, "id", "left").select("key", "id", "digest", F.coalesce("component", "id").alias("c"))
+    labelled = banded.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     # two members were compared already; of buckets with the same members one is enough
-    buckets = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("id", "digest")).alias("x"), F.min("id").alias("first"))
+    buckets = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("first"))
     mixed = buckets.where("m > 2 AND lo < hi").groupBy("m", "x", "first").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     rest = checkpointed(labelled.join(mixed, "key"))
-    texts = _texts(docs, rest.select(F.col("id").alias("doc_id"), "digest").distinct())
+    texts = _texts(docs, classes, rest.select("node").distinct())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(weights.value)
         for batch in batches:
             sets = []
-            for text in batch.column(2):
+            for text in batch.column(1):
                 found, tf = shingles(text.as_py())
                 sets.append(packed(found, sampler.levels(found, tf)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "digest", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    sets = texts.mapInArrow(pack, "id long, digest string, set binary")
-    spread = rest.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("k", "j").alias("i"), F.greatest("k", "j").alias("j"), "k", "id", "digest", "c").join(sets, ["id", "digest"])
+    sets = texts.mapInArrow(pack, "node long, set binary")
+    spread = rest.withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("k", "j").alias("i"), F.greatest("k", "j").alias("j"), "k", "node", "c").join(sets, "node")
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id").combine_chunks()
+        t = t.sort_by("node").combine_chunks()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        ids, c, k = t["id"].to_numpy(), t["c"].to_numpy(), t["k"].to_numpy()
+        nodes, c, k = t["node"].to_numpy(), t["c"].to_numpy(), t["k"].to_numpy()
         near = similarities([np.frombuffer(x.as_buffer(), np.uint64) for x in t["set"]]) >= threshold
         near &= (c[:, None] != c[None, :]) & (k == i)[:, None] & (k == j)[None, :]
         a, b = np.nonzero(near)
-        label = _forest(np.arange(len(ids)), a, b)
-        on = label != np.arange(len(ids))
-        return pa.table({"a": ids[label[on]], "b": ids[on]})
+        label = _forest(np.arange(len(nodes)), a, b)
+        on = label != np.arange(len(nodes))
+        return pa.table({"a": nodes[label[on]], "b": nodes[on]})
 
-    compared = spread.select("key", "i", "j", "k", "id", "c", "set")
+    compared = spread.select("key", "i", "j", "k", "node", "c", "set")
     return compared.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of the group) and kept, one row per doc_id of the input."""
+def _texts_judged(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id and digest of each text of a doc_id, class_id (least doc_id of the texts near it) and whether the row stays."""
     counts, documents = df_counts(docs)
     weights = docs.sparkSession.sparkContext.broadcast(df_weights(counts, documents))
     sketches = checkpointed(_sketches(docs, weights))
-    classes = checkpointed(sketches.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
-    banded = classes.select("id", "digest", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
+    # a text is a node, numbered in the order of its least doc_id and its digest
+    classes = sketches.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    classes = checkpointed(classes.repartitionByRange("id", "digest").sortWithinPartitions("id", "digest").withColumn("node", F.monotonically_increasing_id()))
+    banded = classes.select("node", F.explode("keys").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
     banded = checkpointed(banded.join(hubs, "key"))
-    stars = banded.where("id <> hub.id").select(F.col("hub.id").alias("a"), F.col("hub.digest").alias("da"), F.col("id").alias("b"), F.col("digest").alias("db")).distinct()
-    edges = checkpointed(_verified(stars, docs, weights, threshold))
+    stars = banded.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    edges = checkpointed(_verified(stars, docs, classes, weights, threshold))
     linked = checkpointed(components(edges))
-    more = checkpointed(_open_again(banded.select("key", "id", "digest"), linked, docs, weights, threshold))
+    more = checkpointed(_open_again(banded.select("key", "node"), linked, docs, classes, weights, threshold))
     if not more.isEmpty():
         linked = components(edges.unionByName(more))
-    # a doc_id with several texts is one document
-    copies = sketches.select(F.col("id").alias("doc_id"), "digest").distinct().join(classes.select("digest", "id"), "digest")
-    roots = copies.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("class_id"))
-    everyone = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(roots, "doc_id", "left")
-    return everyone.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("class_id", "doc_id") == F.col("doc_id")).alias("kept"))
+    firsts = classes.select(F.col("node").alias("component"), F.col("id").alias("class_id"))
+    moved = linked.where("node <> component").join(firsts, "component").select("node", "class_id")
+    rooted = classes.select("node", "digest", "id").join(moved, "node", "left").select("digest", "id", "class_id")
+    copies = sketches.select(F.col("id").alias("doc_id"), "digest").distinct().join(rooted, "digest")
+    first = F.col("class_id").isNull() & (F.col("doc_id") == F.col("id"))
+    return copies.select("doc_id", "digest", F.coalesce("class_id", "id").alias("class_id"), first.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (least doc_id of the group) and kept, one row per doc_id of the input."""
+    judged = _texts_judged(docs, threshold).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("stays").alias("stays"))
+    everyone = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("text").isNull()).alias("bare")).join(judged, "doc_id", "left")
+    kept = F.col("bare") | F.coalesce("stays", F.lit(True))
+    return everyone.select("doc_id", F.when(kept, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all their columns, that are the first of their group; rows without doc_id all stay."""
-    gone = near_duplicates(docs, threshold=threshold).where("NOT kept").select("doc_id")
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """The rows, all their columns, whose text is the first of its group; rows without doc_id all stay."""
+    gone = _texts_judged(docs, threshold).where("NOT stays").select("doc_id", F.col("digest").alias("__digest"))
+    named = docs.where("doc_id IS NOT NULL").withColumn("__digest", F.md5(F.col("text").cast("binary")))
+    named = named.join(gone, ["doc_id", "__digest"], "left_anti").dropDuplicates(["doc_id", "__digest"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -214,6 +214,22 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dup.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [768, 2])
+def test_unlike_texts_of_one_doc_id_all_survive(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(120)) for x in "abcd")
+    near = lambda t: t.replace("60", "sixty")
+    rows = [(7, a), (7, b), (9, a), (3, b), (1, c), (1, d), (1, None), (1, None), (2, near(c)), (4, near(d)), (5, near(a)), (7, a)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.kept) for r in near_dup.near_duplicates(table).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True), 4: (1, False), 5: (5, True), 7: (3, False), 9: (5, False)}
+    kept = [tuple(r) for r in near_dup.keep_one(table).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, c), (1, d), (1, None), (3, b), (5, near(a))], key=repr)
+    first = spark.createDataFrame(rows[:4], "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dup.keep_one(first).collect()) == sorted([(3, b), (7, a)])
+    assert {r.doc_id: (r.class_id, r.kept) for r in near_dup.near_duplicates(first).collect()} == {3: (3, True), 7: (7, True), 9: (7, False)}
+
+
 def test_samples_agree_as_often_as_documents_are_similar():
     rng = np.random.default_rng(2)
     sampler = near_dup.Sampler(near_dup.df_weights(rng.integers(0, 500, near_dup.DF_BUCKETS), 1000))
