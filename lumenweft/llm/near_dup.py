@@ -6,9 +6,11 @@ words, but not none, is one shingle).  A shingle's weight is its term weight
 
     1 + DF_SHARE * idf / idf_max,   idf = ln((N + 1) / (df + 1)),  idf_max = ln(N + 1)
 
-with df counted over all documents in ``DF_BUCKETS`` hashed buckets (the usual
-hashing trick; its size is fixed, its error relative to N is the same at any
-N).  Shared passages weigh less than a document's own words, yet copies of one
+with df counted over all documents in ``DF_BUCKETS`` hashed buckets, less the
+count that a bucket has of other shingles: the median over the buckets, so that
+a shingle of one document weighs about the same at any N.  What is left is the
+spread of the buckets about their median; counts are exact only while the
+shingles are few against the buckets.  Shared passages weigh less than a document's own words, yet copies of one
 document in a large group stay similar.  Weights are rounded to a geometric
 grid, in the sampling as in the verification.
 
@@ -124,9 +126,10 @@ def df_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def df_weights(counts: np.ndarray, documents: int) -> np.ndarray:
-    """1 + DF_SHARE * idf / idf_max for each bucket."""
+    """1 + DF_SHARE * idf / idf_max for each bucket, its count less the median bucket's."""
     top = np.log(max(2.0, documents + 1.0))
-    idf = np.log((documents + 1.0) / (counts + 1.0))
+    own = np.maximum(counts - np.floor(np.median(counts)), np.minimum(counts, 1))
+    idf = np.log((documents + 1.0) / (own + 1.0))
     return (1 + DF_SHARE * np.maximum(0, idf) / top).astype(np.float32)
 
 

@@ -230,6 +230,19 @@ def test_unlike_texts_of_one_doc_id_all_survive(spark, monkeypatch, block):
     assert {r.doc_id: (r.class_id, r.kept) for r in near_dup.near_duplicates(first).collect()} == {3: (3, True), 7: (7, True), 9: (7, False)}
 
 
+@pytest.mark.parametrize("documents", [200, 10_000, 10_000_000])
+def test_weights_follow_exact_document_frequencies(documents):
+    """500 shingles a document, each in a bucket with the shingles of others."""
+    rng = np.random.default_rng(5)
+    others = rng.poisson(500 * documents / near_dup.DF_BUCKETS, near_dup.DF_BUCKETS)
+    for df, bound in ((1, 0.05), (documents // 10, 0.01), (documents, 0.01)):
+        counts = others.copy()
+        counts[:2000] += df
+        got = near_dup.df_weights(counts, documents)[:2000].mean()
+        exact = 1 + near_dup.DF_SHARE * np.log((documents + 1) / (df + 1)) / np.log(documents + 1)
+        assert abs(got - exact) < bound, (df, got, exact)
+
+
 def test_samples_agree_as_often_as_documents_are_similar():
     rng = np.random.default_rng(2)
     sampler = near_dup.Sampler(near_dup.df_weights(rng.integers(0, 500, near_dup.DF_BUCKETS), 1000))
