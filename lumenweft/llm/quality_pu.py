@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table
+from .common import checkpointed, hash_sample, table
 
 POSITIVES = 6000
 UNLABELLED = 10000
@@ -172,6 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
     prior = good / (good + bad) if good + bad else 1.0
     if not good or not bad:
         return {"constant": prior}
+    # the prior is that of all labels, the rows are those that docs holds
+    learn = checkpointed(learn.join(docs.select("doc_id"), "doc_id", "left_semi"))
     known = {r.doc_id: r.quality for q, n in ((1, positives), (0, negatives)) for r in hash_sample(learn.where(f"quality = {q}"), "doc_id", n, 11)}
     others = [r.doc_id for r in hash_sample(docs.select("doc_id").where(F.col("doc_id").isNotNull()), "doc_id", unlabelled, 12)]
     spark = docs.sparkSession

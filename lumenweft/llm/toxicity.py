@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table
+from .common import checkpointed, hash_sample, table
 from .quality_pu import fold_of, platt
 
 WINDOW, STRIDE = 64, 32
@@ -314,8 +314,9 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, toxic: int = TOXIC, other: int = OTHER) -> dict:
-    """Train on a bounded sample of the labelled training rows."""
+    """Train on a bounded sample of the labelled training rows that docs holds."""
     learn = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
+    learn = checkpointed(learn.join(docs.select("doc_id"), "doc_id", "left_semi"))
     known = {}
     for kind, most in ((1, toxic), (0, other)):
         known |= {r.doc_id: kind for r in hash_sample(learn.where(f"toxic = {kind}"), "doc_id", most, 21)}

@@ -64,6 +64,16 @@ def test_models_without_labels_of_both_kinds(spark):
     assert quality_pu.score_documents(docs.limit(0), quality_pu.fit(docs.limit(0), marks)).count() == 0
 
 
+def test_samples_are_drawn_from_the_documents_at_hand(spark):
+    """Thousands of labels for documents that an earlier stage rejected do not use up the sample."""
+    texts = [("zorkish grumphole plain " if i % 2 else "calm quiet plain ") * 5 for i in range(60)]
+    docs, _ = small(spark, texts, [])
+    marks = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(6000)], "doc_id long, quality int, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, marks, toxic=12, other=12)).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > 0.7 > max(s for i, s in scores.items() if i % 2 == 0)
+    assert "constant" not in quality_pu.fit(docs, marks, positives=12, unlabelled=40, negatives=12)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(7)
     model = {k: (v.astype(np.float64) if isinstance(v, np.ndarray) else v) for k, v in toxicity.new_model(1).items()}
