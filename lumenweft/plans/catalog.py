@@ -703,13 +703,13 @@ def _(spark, d):
 
 @query("q_stream_scene_cuts", SQL["q_hist_distance"].replace("SELECT frame_id, round(distance, 6) AS distance FROM dist", "SELECT 'c' AS clip_id, frame_id, round(distance, 6) AS distance FROM dist WHERE distance > 0.15"))
 def _(spark, d):
-    """The state carries the last histogram from batch to batch."""
+    """Stateful distances; one trigger takes every file, so no state crosses batches here."""
     from ..streaming import frames as streams
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = scene.histogram_arrays(fx.scene_px(spark, d)).withColumn("clip_id", F.lit("c"))
     root, state = _staged(spark, rows, "cuts", 3)
-    # files in frame order: one clip's frames reach the state in order
+    # a trigger of one file could see the files out of frame order, and late frames are left out
     stream = streams.stream_rows(spark, f"{root}/in", rows.schema, files_per_trigger=1000)
     cuts = streams.stream_cuts(stream)
     streams.run_to_end(cuts, streams.parquet_sink(f"{root}/out"), state)
