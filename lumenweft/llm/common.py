@@ -16,7 +16,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir``; a private one is made only
-    where neither the setting nor the context names any (tests).
+    where neither the setting nor the context names any and Spark runs in one
+    process (tests).
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -25,10 +26,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> list:
     """At most n rows, those with the least hashes of (seed, key); the same rows however df is laid out.
 

@@ -13,15 +13,21 @@ Law ``key``: the shard is the index whose seeded hash with the key is greatest
 (ties: the smaller index).  One more shard adds one candidate, so a row either
 stays or moves to the new shard.
 
-The Fisher-Yates fold swaps within an array that is sorted first and draws
-from a hash of (seed, bucket, step), so a lost task gives the same order again.
-A bucket that outgrew its bound (one key on very many rows, very long rows) is
-split by row number into as many parts as it needs; a part holds about the rows
-and bytes of a bucket, or one row that is longer.
+The Fisher-Yates fold swaps within an array that is put in the order of the
+rows' hashes first (two of 64 bits over all columns, nulls told apart) and draws
+from a hash of (seed, bucket, step), so a lost task, or rows that arrive in
+another order, give the same slots again.  A swap copies the bucket's array of
+indexes, which is why a bucket is a few hundred rows.  A bucket that outgrew its
+bound (one key on very many rows, very long rows) is split by the rows' hashes
+into as many parts as it needs; its equal rows travel as one row with a number,
+in blocks no larger than a bucket, and are written out again where they are
+gathered.  Offsets are prefix sums in two levels, so that no task reads all
+buckets of a shard.
 
 Defined cases: a null key is a key of its own; a null text has no bytes; rows
 that are equal in all columns are each kept and are interchangeable; an empty
-table gives no rows; further columns ride along.
+table gives no rows; further columns of any type ride along; a column of the
+input named ``shard`` or ``slot`` is written with an underscore after its name.
 """
 
 from __future__ import annotations
@@ -76,55 +82,110 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def scatter(df: DataFrame, key: str, shards: int, *, seed: int, bucket_rows: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Pass one: the rows with their shard and bucket, the sizes of the buckets, and the columns that name a bucket."""
+def _row_hash(df: DataFrame, seed: int) -> Column:
+    """64 bits of all columns; nulls and nested values are told apart, equal rows are not."""
+    parts = []
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        if not isinstance(field.dataType, T.AtomicType):
+            c = F.to_json(F.struct(c), {"ignoreNullFields": "false"})
+        parts += [c, c.isNull()]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
+def _explode(n: Column, name: str, df: DataFrame, step: int = 1 << 16) -> DataFrame:
+    """A row for each of 0 .. n - 1, without an array longer than ``step``."""
+    some = df.withColumn("__n", n).withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {step}"))))
+    last = F.least(F.col("__n"), (F.col("__at") + 1) * step) - 1
+    return some.withColumn(name, F.explode(F.sequence(F.col("__at") * step, last))).drop("__n", "__at")
+
+
+def scatter(df: DataFrame, key: str, shards: int, *, seed: int, bucket_rows: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Pass one: entries with their shard, bucket and part, and the sizes of the parts.
+
+    An entry is a row, or ``n`` equal rows of a crowded bucket, with ``h1``,
+    ``h2`` and ``block`` for its place; all follow from the rows alone.
+    """
     total, volume = df.select(row_bytes(df).alias("bytes")).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     per_shard = max(1, -(-total // (shards * bucket_rows)), -(-volume // (shards * bucket_bytes)))
     k = F.col(f"`{key}`")
-    parts = df.select(
+    entries = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
         row_bytes(df).alias("bytes"),
         rendezvous(k, shards, seed).alias("shard"),
         rendezvous(k, shards + 1, seed).alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit(seed + 1), k), F.lit(per_shard)).alias("bucket"),
+        _row_hash(df, seed + 3).alias("h1"),
+        _row_hash(df, seed + 4).alias("h2"),
     )
-    # the sizes of the buckets, and how many parts a crowded one needs
-    measured = [F.count("*").alias("count"), F.sum("bytes").alias("bytes")]
-    sizes = parts.groupBy("shard", "bucket").agg(*measured)
+    sizes = entries.groupBy("shard", "bucket").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"))
     needed = F.ceil(F.greatest(F.col("count") / bucket_rows, F.col("bytes") / bucket_bytes))
     crowded = sizes.where((F.col("count") > 8 * bucket_rows) | (F.col("bytes") > 4 * bucket_bytes)).select("shard", "bucket", needed.alias("parts"))
+    single = [F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("n")]
     if crowded.isEmpty():
-        return parts, sizes, ["shard", "bucket"]
-    numbered = parts.withColumn("nth", F.monotonically_increasing_id())
-    parts = numbered.join(crowded, ["shard", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("nth"), F.coalesce("parts", F.lit(1)))).drop("nth", "parts")
-    at = ["shard", "bucket", "part"]
-    return parts, parts.groupBy(*at).agg(*measured), at
+        return entries.select("*", *single), sizes.withColumn("part", F.lit(0).cast("long"))
+    calm = entries.join(crowded, ["shard", "bucket"], "left_anti").select("*", *single)
+    same = entries.join(crowded, ["shard", "bucket"]).groupBy("shard", "bucket", "h1", "h2", "parts")
+    merged = same.agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("row", "bytes", "grown_shard")])
+    fit = F.greatest(F.lit(1), F.least(F.lit(bucket_rows), F.floor(F.lit(bucket_bytes) / F.greatest("bytes", F.lit(1)))))
+    cut = _explode(F.ceil(F.col("m") / F.col("fit")), "block", merged.withColumn("fit", fit))
+    cut = cut.withColumn("n", F.least(F.col("fit"), F.col("m") - F.col("block") * F.col("fit"))).withColumn("part", F.pmod(F.xxhash64("h1", "h2", "block"), "parts"))
+    entries = calm.unionByName(cut.select(*calm.columns))
+    return entries, entries.groupBy("shard", "bucket", "part").agg(F.sum("n").alias("count"), F.sum(F.col("n") * F.col("bytes")).alias("bytes"))
+
+
+def _offsets(sizes: DataFrame, span: int = 4096) -> DataFrame:
+    """The slot at which each part begins: sums within ranges of buckets, and over the ranges before."""
+    ranged = sizes.withColumn("range", F.expr(f"bucket div {span}"))
+    inside = Window.partitionBy("shard", "range").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = ranged.groupBy("shard", "range").agg(F.sum("count").alias("total"))
+    base = totals.select("shard", "range", F.coalesce(F.sum("total").over(before), zero).alias("base"))
+    placed = ranged.withColumn("within", F.coalesce(F.sum("count").over(inside), zero)).join(base, ["shard", "range"])
+    return placed.select("shard", "bucket", "part", (F.col("base") + F.col("within")).alias("offset"))
 
 
 def shuffle_into_shards(df: DataFrame, key: str, shards: int, *, seed: int = 17, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """shard int, slot long, grown_shard int (with one more shard) and ``row``, a struct of all columns of df.
-
-    The columns must be of types that can be ordered.
-    """
-    parts, sizes, at = scatter(df, key, shards, seed=seed, bucket_rows=bucket_rows, bucket_bytes=bucket_bytes)
-    before = Window.partitionBy("shard").orderBy(*at[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*at, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    # pass two: gather a bucket, put it in a fixed order, shuffle it, lay it at its offset
-    dealt = parts.select(*at, "row", "grown_shard").repartitionByRange(*at)
-    gathered = dealt.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("row", "grown_shard"))).alias("rows"))
-    order = fisher_yates(F.size("rows"), F.xxhash64(F.lit(seed + 2), *at))
-    laid = gathered.select(*at, "rows", order.alias("order")).join(offsets, at)
+    """shard int, slot long, grown_shard int (with one more shard) and ``row``, a struct of all columns of df."""
+    entries, sizes = scatter(df, key, shards, seed=seed, bucket_rows=bucket_rows, bucket_bytes=bucket_bytes)
+    at = ["shard", "bucket", "part"]
+    # pass two: gather a part, put it in a fixed order, shuffle it, lay it at its offset
+    dealt = entries.select(*at, "h1", "h2", "block", "n", "row", "grown_shard").repartitionByRange(*at)
+    gathered = dealt.groupBy(*at).agg(F.collect_list(F.struct("h1", "h2", "block", "n", "row", "grown_shard")).alias("rows"))
+    # the indexes of the entries in the order of their hashes, one for each row that an entry stands for
+    keys = F.sort_array(F.transform("rows", lambda r, i: F.struct(r["h1"], r["h2"], r["block"], i.alias("i"), r["n"].cast("int").alias("n"))))
+    single = F.transform(keys, lambda e: e["i"])
+    many = F.flatten(F.transform(keys, lambda e: F.array_repeat(e["i"], e["n"])))
+    sorted_ = gathered.select(*at, "rows", F.when(F.exists("rows", lambda r: r["n"] > 1), many).otherwise(single).alias("index"))
+    order = fisher_yates(F.size("index"), F.xxhash64(F.lit(seed + 2), *at))
+    laid = sorted_.select(*at, "rows", "index", order.alias("order")).join(_offsets(sizes), at)
 
     def place(nth: Column, pos: Column) -> Column:
-        one = F.element_at("rows", nth)
+        one = F.element_at("rows", F.element_at("index", nth) + 1)
         return F.struct((F.col("offset") + pos).cast("long").alias("slot"), one["grown_shard"].alias("grown_shard"), one["row"].alias("row"))
 
     return laid.select("shard", F.inline(F.transform("order", place)))
 
 
+def flat(shuffled: DataFrame) -> DataFrame:
+    """shard, slot and the row's own columns; those named shard or slot get an underscore after their name."""
+    own = shuffled.schema["row"].dataType.names
+    taken = {"shard", "slot"} | {n.lower() for n in own}
+    named = []
+    for n in own:
+        out = n
+        if n.lower() in ("shard", "slot"):
+            while out.lower() in taken:
+                out += "_"
+            taken.add(out.lower())
+        named.append(F.col("row").getField(n).alias(out))
+    return shuffled.select("shard", "slot", *named)
+
+
 def write_shards(shuffled: DataFrame, path: str) -> None:
     """One folder per shard, the rows of a file in slot order; many files a shard, each of bounded size."""
-    shuffled.select("shard", "slot", "row.*").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    flat(shuffled).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
@@ -133,7 +194,7 @@ def query(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
     shuffled = shuffle_into_shards(docs, "doc_id", shards)
     path = f"{shared_folder(spark)}/shards-{spark.sparkContext.applicationId}-{next(_RUNS)}"
     write_shards(shuffled, path)
-    written = spark.read.schema(shuffled.select("shard", "slot", "row.*").schema).parquet(path)
+    written = spark.read.schema(flat(shuffled).schema).parquet(path)
     return written.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
