@@ -9,8 +9,12 @@ or after the document's first word and end by its last) discard some, and the
 rest are verified word for word over a slice as long as the window.
 
 The documents are read twice, without a shuffle: once to count the words that
-the items use, once to match.  The items' index is broadcast in blocks of
-bounded size, and the blocks' results are united per document.
+the items use, once to match.  The items' index is broadcast where one block of
+bounded size holds it.  A larger benchmark is worked off block by block: the
+documents are written once with a number for each row, every block's hits are
+found in a pass of their own, written, and its broadcast given back before the
+next one is built, so that no process ever holds two; the blocks' hits are then
+united by row number.
 
 Defined cases: a null or empty text has no words, is never hit and not
 contaminated; an item without words has no window; repeated item ids count
@@ -23,17 +27,17 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_bound, table
+from .common import byte_bound, checkpointed, table
 
 WINDOW = 13
-#: Item text in one broadcast block; more items make more blocks.
-BLOCK_BYTES = 16 << 20
+#: Item text in one broadcast block (its index takes about 60 times that); more items make more blocks.
+BLOCK_BYTES = 4 << 20
 #: A-Z lower-cased; every ASCII byte that the word pattern leaves out is a space.
 _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
@@ -117,70 +121,100 @@ def _count_words(docs: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in rows.toLocalIterator()}  # at most the block's own words
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int) -> list:
-    """Broadcast indexes over all items, each built from at most about ``block_bytes`` of item text."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int) -> Iterator:
+    """Broadcast indexes over all items, one at a time, each built from about ``block_bytes`` of item text or one longer item."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).distinct()
     n = max(1, -(-byte_bound(items, "text") // block_bytes))
-    indexes = []
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = [(r.item_id, r.text) for r in part.toLocalIterator()]
         wanted = {w for _, t in rows for w in words_of(t)}
-        indexes.append(spark.sparkContext.broadcast(build_index(rows, _count_words(docs, wanted), size)))
-    return indexes
+        index = build_index(rows, _count_words(docs, wanted), size)
+        yield n, spark.sparkContext.broadcast(index)
 
 
+def _hits(numbered: DataFrame, index) -> DataFrame:
+    """Of one block: row, spans and items of the documents in which some window occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, spans, items = [], [], []
+            for row, text in zip(batch.column(0), batch.column(1), strict=True):
+                s, i = match(words_of(text.as_py()), index.value)
+                if s:
+                    rows.append(row.as_py())
+                    spans.append([{"begin": b, "end": e} for b, e in s])
+                    items.append(sorted(i))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))], ["__row", "spans", "items"])
+
+    return numbered.select("__row", "text").mapInArrow(run, "__row long, spans array<struct<begin: long, end: long>>, items array<long>")
+
+
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _matched(columns: list, spans_items: list[tuple]) -> list:
-    n, hit, k, sha, bad = zip(*spans_items, strict=True) if spans_items else ((),) * 5
-    return [*columns, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())]
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, verdict: Callable[[pa.RecordBatch, list[tuple]], pa.RecordBatch], schema) -> DataFrame:
+    """Apply ``verdict`` (a batch; number of words, spans and items of each of its documents) to all documents."""
+    names = docs.columns
+    at = names.index("text")
+    blocks = _blocks(docs, benchmark, window, block_bytes)
+    n, index = next(blocks)
+    if n == 1:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for text in batch.column(at):  # one document's words at a time
+                    words = words_of(text.as_py())
+                    found.append((len(words), *match(words, index.value)))
+                yield verdict(batch, found)
+
+        return docs.mapInArrow(run, schema)
+    numbered = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
+    hits = None
+    while index is not None:
+        some = checkpointed(_hits(numbered, index))
+        index.destroy()
+        hits = some if hits is None else hits.unionByName(some)
+        _, index = next(blocks, (n, None))
+    hits = hits.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(words_of(t.as_py())) for t in batch.column(at)]
+            spans = [merge([(x["begin"], x["end"]) for x in s or ()]) for s in batch.column(len(names)).to_pylist()]
+            items = [set(i or ()) for i in batch.column(len(names) + 1).to_pylist()]
+            yield verdict(pa.RecordBatch.from_arrays(batch.columns[: len(names)], names), list(zip(sizes, spans, items, strict=True)))
+
+    return numbered.join(hits, "__row", "left").select(*[F.col(f"`{c}`") for c in names], "__spans", "__items").mapInArrow(unite, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items."""
-    indexes = _blocks(docs, benchmark, window, block_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, spans, items = [], [], []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                s: list[tuple[int, int]] = []
-                i: set[int] = set()
-                for index in indexes:  # one block's index at a time
-                    more, owners = match(words, index.value)
-                    s, i = (merge(s + more), i | owners) if s else (more, i | owners)
-                rows.append(_verdict(len(words), s, i))
-                spans.append([{"begin": b, "end": e} for b, e in s])
-                items.append(sorted(i))
-            yield pa.RecordBatch.from_arrays(
-                [*_matched([batch.column(0)], rows), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {_RESULT}, spans array<struct<begin: long, end: long>>, items array<long>")
+    def verdict(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        n, hit, k, sha, bad = zip(*[_verdict(*f) for f in found], strict=True) if found else ((),) * 5
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()),
+                pa.array([[{"begin": b, "end": e} for b, e in s] for _, s, _ in found], _SPANS), pa.array([sorted(i) for *_, i in found], pa.list_(pa.int64())),
+            ],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
+        )
+
+    return _judged(docs.select("doc_id", "text"), benchmark, window, block_bytes, verdict, f"doc_id long, {_RESULT}, spans array<struct<begin: long, end: long>>, items array<long>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all their columns, that are not contaminated."""
-    indexes = _blocks(docs, benchmark, window, block_bytes)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for text in batch.column(at):
-                words = words_of(text.as_py())
-                spans: list[tuple[int, int]] = []
-                for index in indexes:
-                    spans = merge(spans + match(words, index.value)[0])
-                keep.append(not _verdict(len(words), spans, set())[4])
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def verdict(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        keep = [not _verdict(n, s, set())[4] for n, s, _ in found]
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return _judged(docs, benchmark, window, block_bytes, verdict, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
