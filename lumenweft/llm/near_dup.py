@@ -23,7 +23,8 @@ similarity; at 0.8 they share a band with probability 1 - 3e-5.
 
 Verification is exact.  Equal texts collapse first.  Within a band's bucket
 every member is compared with the bucket's least document by weighted Jaccard
-on the texts.  Buckets that these links leave in several components are opened
+on the texts; the members are dealt in salted parts of about ``PART`` to copies of
+that document, so that a document with very many members is no hot key.  Buckets that these links leave in several components are opened
 again, one of each set of members: in blocks of bounded size, the similarity of
 members of unlike components is a product of their sparse shingle matrices, and
 a spanning forest of the links leaves the kernel.  So no group is expanded into
@@ -32,10 +33,13 @@ its pairs, no bucket is capped and no link between components is lost.
 Defined cases: equal texts are duplicates, also empty ones and those without
 words; a null text or a null doc_id has no duplicates; rows with the same doc_id
 and the same text count as one; ties go to the least doc_id, then the least
-digest of the text, which stays.  Unlike texts of one doc_id are judged each by
-itself, so none is lost: :func:`keep_one` keeps rows by doc_id and text, and
-:func:`near_duplicates` calls a doc_id kept if any of its texts is.  Further
-columns are ignored by :func:`near_duplicates` and kept by :func:`keep_one`.
+digest of the text, which stays.  A doc_id with unlike texts links the classes
+of all of them, so that no link is lost: its documents share one class_id.  What
+stays is judged by text, so that no text is lost either: :func:`keep_one` keeps
+rows by doc_id and text, and :func:`near_duplicates` calls a doc_id kept if any
+of its texts is the first of its group (a class united by a doc_id alone thus
+keeps a document for each group of like texts).  Further columns are ignored by
+:func:`near_duplicates` and kept by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -63,6 +67,8 @@ SLICE = 8192
 DF_SHARE = 0.25
 #: The most members of a bucket that one comparison holds, on either side.
 BLOCK = 768
+#: Members compared with one copy of a bucket's least document.
+PART = 256
 #: Columns of the shingle matrix multiplied at a time.
 COLUMNS = 1024
 _GRID = 1 / 16  # of ln w
@@ -226,7 +232,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, weights, th
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = checkpointed(_texts(docs, classes, wanted))
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
+    salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    copied = left.join(parts, "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = salted.join(right, "b").join(copied, ["a", "part"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(weights.value)
@@ -353,10 +362,17 @@ def _texts_judged(docs: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of the group) and kept, one row per doc_id of the input."""
-    judged = _texts_judged(docs, threshold).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("stays").alias("stays"))
-    everyone = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("text").isNull()).alias("bare")).join(judged, "doc_id", "left")
-    kept = F.col("bare") | F.coalesce("stays", F.lit(True))
-    return everyone.select("doc_id", F.when(kept, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))
+    judged = checkpointed(_texts_judged(docs, threshold))
+    by_doc = judged.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("most"), F.max("stays").alias("stays"))
+    # a doc_id whose texts are of unlike classes links them
+    several = by_doc.where("class_id < most").select("doc_id")
+    named = judged.join(several, "doc_id")
+    united = components(named.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
+    by_doc = by_doc.join(united.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    found = by_doc.select("doc_id", F.coalesce("component", "class_id").alias("class_id"), "stays")
+    everyone = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("text").isNull()).alias("bare")).join(found, "doc_id", "left")
+    kept = F.coalesce(F.col("bare") | F.col("stays"), F.lit(True))
+    return everyone.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
