@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenweft.llm import components, merkle, metric_join, near_dup, two_pass_shuffle
 
@@ -35,8 +36,27 @@ def test_audit_finds_every_fault(spark):
 def test_only_differing_branches_are_opened(spark):
     a = pages(spark, [(i, "u", "h") for i in range(3000)])
     b = pages(spark, [(i, "u", "x" if i == 2050 else "h") for i in range(3000)])
-    trees = [merkle.tree(merkle.records(x), 2) for x in (a, b)]
-    assert [r.range for r in merkle.differing_ranges(*trees).collect()] == [2050 // 64]
+    sides = [merkle.records(x).withColumn("side", F.lit(s)) for s, x in enumerate((a, b))]
+    levels = merkle.tree(sides[0].unionByName(sides[1]))
+    assert [level.count() for level in levels] == [2 * 47, 2 * 3, 2]
+    assert [r.range for r in merkle.differing_ranges(levels).collect()] == [2050 // 64]
+    same = merkle.tree(sides[0].unionByName(sides[0].withColumn("side", F.lit(1))))
+    assert merkle.differing_ranges(same) is None
+
+
+@pytest.mark.parametrize("shift", [-700, -(2**63) + 64, 2**62 + 1, 2**63 - 1500])
+def test_ids_below_zero_and_beyond_doubles(spark, shift):
+    ids = [shift + i for i in range(1400)]
+    a = pages(spark, [(i, "u", "h") for i in ids])
+    b = pages(spark, [(i, "u", "x" if i in (ids[3], ids[900]) else "h") for i in ids if i != ids[650]])
+    found = {r.id: (r.range_begin, r.range_end, r.status) for r in merkle.audit(a, b).collect()}
+    assert found == {i: (i // 64 * 64, i // 64 * 64 + 63, s) for i, s in ((ids[3], "corrupt"), (ids[900], "corrupt"), (ids[650], "missing"))}
+
+
+def test_a_leaf_orders_its_records(spark):
+    rows = [(0, 1, 5, "ab"), (1, 1, 6, "ab")]
+    levels = merkle.leaves(spark.createDataFrame([(s, r, i, hashlib.sha256(d.encode()).hexdigest()) for s, r, i, d in rows], "side int, range long, id long, digest string"))
+    assert len({r.digest for r in levels.collect()}) == 2
 
 
 def test_shards(spark):
@@ -79,16 +99,49 @@ def test_shards_hold_whole_rows(spark, monkeypatch):
 def test_buckets_are_bounded_in_bytes(spark):
     rows = [(i, "t" * (20000 if i % 50 == 0 else i % 9)) for i in range(1000)] + [(3, "u" * 5000)] * 300
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    parts, sizes, at = two_pass_shuffle.scatter(table, "doc_id", 4, seed=17, bucket_rows=256, bucket_bytes=30000)
-    found = parts.groupBy(*at).agg({"bytes": "max", "*": "count"}).join(sizes.select(*at, "bytes"), at).collect()
-    assert sum(r["count(1)"] for r in found) == len(rows)
-    assert all(r["bytes"] <= 4 * 30000 for r in found)
+    entries, sizes = two_pass_shuffle.scatter(table, "doc_id", 4, seed=17, bucket_rows=256, bucket_bytes=30000)
+    at = ["shard", "bucket", "part"]
+    found = entries.groupBy(*at).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("b")).join(sizes, at).collect()
+    assert sum(r["n"] for r in found) == len(rows)
+    assert all(r["n"] == r["count"] and r["b"] == r["bytes"] <= 4 * 30000 for r in found)
     out = two_pass_shuffle.shuffle_into_shards(table, "doc_id", 4, bucket_bytes=30000).collect()
     assert sorted(tuple(r["row"]) for r in out) == sorted(rows)
     for shard in range(4):
         assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
 
 
+def test_slots_do_not_depend_on_how_rows_arrive(spark):
+    rows = [(i % 3, "t" * (i % 5)) for i in range(700)] + [(1, "same")] * 900 + [(None, None)] * 500 + [(1, None)] * 10
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = []
+    for some in (table, table.repartition(7), table.orderBy(F.rand(3)), table.coalesce(1)):
+        out = two_pass_shuffle.shuffle_into_shards(some, "doc_id", 3, bucket_rows=16)
+        runs.append(sorted((r.shard, r.slot, tuple(r["row"]), r.grown_shard) for r in out.collect()))
+        assert sorted((tuple(r["row"]) for r in out.collect()), key=repr) == sorted(rows, key=repr)
+    assert all(r == runs[0] for r in runs)
+    for shard in range(3):
+        assert [r[1] for r in runs[0] if r[0] == shard] == list(range(sum(r[0] == shard for r in runs[0])))
+    # no part holds more than a bucket's bound, although one row is there 900 times
+    entries, sizes = two_pass_shuffle.scatter(table, "doc_id", 3, seed=17, bucket_rows=16, bucket_bytes=1 << 20)
+    assert entries.agg(F.max("n")).first()[0] <= 16 and sizes.agg(F.max("count")).first()[0] <= 8 * 16
+
+
+def test_any_column_rides_along(spark, tmp_path):
+    schema = "doc_id long, shard int, Slot string, shard_ string, m map<string,int>, a array<struct<x:int,y:string>>"
+    rows = [(i, i % 2, f"s{i}", "z", {"k": i, "l": None}, [(i, None), (None, "y")]) for i in range(300)]
+    table = spark.createDataFrame(rows, schema)
+    shuffled = two_pass_shuffle.shuffle_into_shards(table, "doc_id", 4, bucket_rows=8)
+    path = str(tmp_path / "shards")
+    two_pass_shuffle.write_shards(shuffled, path)
+    back = spark.read.parquet(path)
+    assert sorted(back.columns) == sorted(["doc_id", "shard", "slot", "shard__", "Slot_", "shard_", "m", "a"])
+    got = back.select("doc_id", "shard__", "Slot_", "shard_", "m", "a").collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, (tuple(r) for r in table.collect())))
+    for shard in range(4):
+        slots = sorted(r.slot for r in back.where(F.col("shard") == shard).collect())
+        assert slots == list(range(len(slots)))
+
+
 def test_fisher_yates_is_uniform(spark):
     from pyspark.sql import functions as F
 
@@ -192,6 +245,46 @@ def near_texts(seed=6):
     return [" ".join(t) for t in texts]
 
 
+def weighted_classes(texts):
+    """Classes by exact document frequencies over tuples of words; nothing of the operator is used."""
+    import math
+    import re
+    from collections import Counter
+
+    sets = []
+    for text in texts:
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        size = min(5, len(words))
+        sets.append(Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else Counter())
+    df = Counter(s for c in sets for s in c)
+    n = sum(map(bool, sets))
+
+    def weight(shingle, tf):
+        idf = math.log((n + 1) / (df[shingle] + 1)) / math.log(n + 1)
+        return math.exp(round(math.log((1 + math.log(tf)) * (1 + 0.25 * idf)) * 16) / 16)
+
+    weighed = [{s: weight(s, tf) for s, tf in c.items()} for c in sets]
+    links = []
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if texts[a] is None or texts[b] is None:
+            continue
+        low = sum(min(w, weighed[b][s]) for s, w in weighed[a].items() if s in weighed[b])
+        whole = sum(weighed[a].values()) + sum(weighed[b].values()) - low
+        if texts[a] == texts[b] or (whole and low / whole >= 0.8):
+            links.append((a, b))
+    return brute_components(range(len(texts)), links)
+
+
+@pytest.mark.parametrize("seed,block,part", [(6, 768, 256), (7, 4, 3), (8, 768, 2)])
+def test_classes_against_exact_frequencies(spark, monkeypatch, seed, block, part):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "PART", part)
+    texts = ["", "", None, "!!", "one two", "One, two!", *near_texts(seed)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(table).collect()} == weighted_classes(texts)
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 5)
     texts = ["", "", None, None, "!!", "!!", "one two", "One, two!", *near_texts()]
@@ -222,12 +315,19 @@ def test_unlike_texts_of_one_doc_id_all_survive(spark, monkeypatch, block):
     rows = [(7, a), (7, b), (9, a), (3, b), (1, c), (1, d), (1, None), (1, None), (2, near(c)), (4, near(d)), (5, near(a)), (7, a)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.class_id, r.kept) for r in near_dup.near_duplicates(table).collect()}
-    assert got == {1: (1, True), 2: (1, False), 3: (3, True), 4: (1, False), 5: (5, True), 7: (3, False), 9: (5, False)}
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True), 4: (1, False), 5: (3, True), 7: (3, False), 9: (3, False)}
     kept = [tuple(r) for r in near_dup.keep_one(table).collect()]
     assert sorted(kept, key=repr) == sorted([(1, c), (1, d), (1, None), (3, b), (5, near(a))], key=repr)
     first = spark.createDataFrame(rows[:4], "doc_id long, text string")
     assert sorted(tuple(r) for r in near_dup.keep_one(first).collect()) == sorted([(3, b), (7, a)])
-    assert {r.doc_id: (r.class_id, r.kept) for r in near_dup.near_duplicates(first).collect()} == {3: (3, True), 7: (7, True), 9: (7, False)}
+    assert {r.doc_id: (r.class_id, r.kept) for r in near_dup.near_duplicates(first).collect()} == {3: (3, True), 7: (3, True), 9: (3, False)}
+
+
+def test_a_doc_id_with_two_texts_links_their_classes(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    table = spark.createDataFrame([(1, a), (3, b), (5, a), (5, b), (8, "alone here")], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.kept) for r in near_dup.near_duplicates(table).collect()}
+    assert got == {1: (1, True), 3: (1, True), 5: (1, False), 8: (8, True)}
 
 
 @pytest.mark.parametrize("documents", [200, 10_000, 10_000_000])
