@@ -6,8 +6,8 @@ hashing, the bucket within the shard from a second seeded hash.  Pass two
 gathers each bucket, Fisher-Yates shuffles it and lays the buckets end to end,
 which gives every row a gapless slot in its shard.  Buckets are dealt to tasks
 in ranges, so the shards are written where the buckets were gathered and the
-rows move once (twice where the planner finds the table of offsets, one row a
-bucket, too large to broadcast).
+rows move once (twice where the table of offsets, one row a bucket, is longer
+than ``BROADCAST_ROWS``).
 
 Law ``key``: the shard is the index whose seeded hash with the key is greatest
 (ties: the smaller index).  One more shard adds one candidate, so a row either
@@ -38,11 +38,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder, table
+from .common import checkpointed, shared_folder, table
 
 #: Rows and bytes that one bucket holds on average; the unit of memory in pass two.
 BUCKET_ROWS = 256
 BUCKET_BYTES = 512 << 10
+#: The most rows of four numbers each that are broadcast; a longer table is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _RUNS = itertools.count()
 
 
@@ -100,6 +102,11 @@ def _explode(n: Column, name: str, df: DataFrame, step: int = 1 << 16) -> DataFr
     return some.withColumn(name, F.explode(F.sequence(F.col("__at") * step, last))).drop("__n", "__at")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, marked for broadcast where its count allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def scatter(df: DataFrame, key: str, shards: int, *, seed: int, bucket_rows: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Pass one: entries with their shard, bucket and part, and the sizes of the parts.
 
@@ -122,8 +129,10 @@ def scatter(df: DataFrame, key: str, shards: int, *, seed: int, bucket_rows: int
     needed = F.ceil(F.greatest(F.col("count") / bucket_rows, F.col("bytes") / bucket_bytes))
     crowded = sizes.where((F.col("count") > 8 * bucket_rows) | (F.col("bytes") > 4 * bucket_bytes)).select("shard", "bucket", needed.alias("parts"))
     single = [F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("n")]
+    crowded = checkpointed(crowded)
     if crowded.isEmpty():
         return entries.select("*", *single), sizes.withColumn("part", F.lit(0).cast("long"))
+    crowded = _small(crowded)
     calm = entries.join(crowded, ["shard", "bucket"], "left_anti").select("*", *single)
     same = entries.join(crowded, ["shard", "bucket"]).groupBy("shard", "bucket", "h1", "h2", "parts")
     merged = same.agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("row", "bytes", "grown_shard")])
@@ -150,6 +159,7 @@ def shuffle_into_shards(df: DataFrame, key: str, shards: int, *, seed: int = 17,
     """shard int, slot long, grown_shard int (with one more shard) and ``row``, a struct of all columns of df."""
     entries, sizes = scatter(df, key, shards, seed=seed, bucket_rows=bucket_rows, bucket_bytes=bucket_bytes)
     at = ["shard", "bucket", "part"]
+    offsets = _small(checkpointed(_offsets(sizes)))
     # pass two: gather a part, put it in a fixed order, shuffle it, lay it at its offset
     dealt = entries.select(*at, "h1", "h2", "block", "n", "row", "grown_shard").repartitionByRange(*at)
     gathered = dealt.groupBy(*at).agg(F.collect_list(F.struct("h1", "h2", "block", "n", "row", "grown_shard")).alias("rows"))
@@ -159,7 +169,7 @@ def shuffle_into_shards(df: DataFrame, key: str, shards: int, *, seed: int = 17,
     many = F.flatten(F.transform(keys, lambda e: F.array_repeat(e["i"], e["n"])))
     sorted_ = gathered.select(*at, "rows", F.when(F.exists("rows", lambda r: r["n"] > 1), many).otherwise(single).alias("index"))
     order = fisher_yates(F.size("index"), F.xxhash64(F.lit(seed + 2), *at))
-    laid = sorted_.select(*at, "rows", "index", order.alias("order")).join(_offsets(sizes), at)
+    laid = sorted_.select(*at, "rows", "index", order.alias("order")).join(offsets, at)
 
     def place(nth: Column, pos: Column) -> Column:
         one = F.element_at("rows", F.element_at("index", nth) + 1)
