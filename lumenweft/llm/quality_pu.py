@@ -1,16 +1,20 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are the labelled good documents of the training rows; the
-unlabelled web text is a sample of the documents whatever their labels.  A
-small network over features of the whole text is trained in numpy to minimise
-the non-negative unbiased risk (Kiryo et al. 2017)
+unlabelled web text is a sample of the documents whatever their labels.  Labels
+of bad documents are not used at all.  A small network over features of the
+whole text is trained in numpy to minimise the non-negative unbiased risk (Kiryo
+et al. 2017)
 
     pi R_p(+) + max(0, R_u(-) - pi R_p(-))
 
-with the logistic loss; pi, the class prior, is estimated as the share of good
-documents among the labelled training rows.  The margin is turned into a
-probability by two parameters fitted on training labels (Platt), so that 0.7
-means 0.7.
+with the logistic loss.  The class prior pi is estimated from the positives and
+the unlabelled text by best-bin estimation (Garg et al. 2021): a network tells
+the two apart on one half, and of all thresholds on the other half the one with
+the least upper bound of q_u / q_p gives pi, q being the shares above it; both
+halves take their turn.  The margin is turned into a probability by the slope
+and offset that minimise the unbiased risk, -pi mean_p z + mean_u log(1 + e^z),
+so calibration needs no labelled negatives either.
 
 Training rows are those whose crc32(doc_id as text) mod 4 is not 2.  At most
 ``POSITIVES`` and ``UNLABELLED`` rows, drawn by a hash of doc_id, are used; all
@@ -18,8 +22,8 @@ documents are scored.  Scoring is one pass without a shuffle.
 
 Defined cases: a null or empty text has the features of no characters and gets
 a score like any other; ties and repeated rows score alike; a null doc_id is
-not held out; without labels of both kinds every document scores the prior (1
-if there are no labels at all).  Further columns are ignored by
+not held out; without a labelled good document among the training rows there is
+nothing to learn and every document scores 1.  Further columns are ignored by
 :func:`score_documents` and kept by :func:`keep_good`.
 """
 
@@ -37,7 +41,6 @@ from .common import checkpointed, hash_sample, table
 
 POSITIVES = 6000
 UNLABELLED = 10000
-NEGATIVES = 2000
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
@@ -86,12 +89,13 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: int = 24, epochs: int = 60, seed: int = 5) -> dict:
-    """Weights of a one-layer network that minimises the non-negative unbiased risk."""
+def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, *, hidden: int = 24, epochs: int = 60, seed: int = 5) -> dict:
+    """Weights of a one-layer network that minimises the non-negative unbiased risk; without a prior it tells the two samples apart."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = ((np.clip((x - mean) / scale, -6, 6)).astype(np.float64) for x in (positive, unlabelled))
+    decay = 2 / len(both)  # a prior on the weights, the weaker the more rows there are
     w = {"a": rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], hidden)), "b": np.zeros(hidden), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(1)}
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     t, size = 0, 256
@@ -109,16 +113,18 @@ def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hi
             sig = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
             # logistic loss: l+ = log(1 + e^-g), l- = log(1 + e^g); their slopes are sig - 1 and sig
             low = np.logaddexp(0, g)
-            negative = low[n:].mean() - prior * low[:n].mean()
             slope = np.zeros(len(x))
-            if negative >= 0:
+            if prior is None:
+                slope[:n] = (sig[:n] - 1) / n
+                slope[n:] = sig[n:] / (len(x) - n)
+            elif low[n:].mean() - prior * low[:n].mean() >= 0:
                 slope[:n] = prior * (sig[:n] - 1) / n - prior * sig[:n] / n
                 slope[n:] = sig[n:] / (len(x) - n)
             else:  # step back where the estimated negative risk is below what is possible
                 slope[:n] = prior * sig[:n] / n
                 slope[n:] = -sig[n:] / (len(x) - n)
             back = np.outer(slope, w["c"]) * (1 - h * h)
-            grad = {"a": x.T @ back + 1e-4 * w["a"], "b": back.sum(0), "c": h.T @ slope + 1e-4 * w["c"], "d": np.array([slope.sum()])}
+            grad = {"a": x.T @ back + decay * w["a"], "b": back.sum(0), "c": h.T @ slope + decay * w["c"], "d": np.array([slope.sum()])}
             t += 1
             for k in w:
                 first[k] = 0.9 * first[k] + 0.1 * grad[k]
@@ -132,17 +138,35 @@ def margin(model: dict, x: np.ndarray) -> np.ndarray:
     return np.tanh(z @ model["a"] + model["b"]) @ model["c"] + model["d"][0]
 
 
-def platt(values: np.ndarray, labels: np.ndarray, *, steps: int = 300) -> tuple[float, float]:
-    """slope >= 0 and offset of a logistic curve, by damped Newton steps."""
-    slope, offset, n = 1.0, 0.0, len(values)
-    target = np.where(labels > 0, 1 - 1 / (labels.sum() + 2), 1 / (n - labels.sum() + 2))
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, *, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The class prior from the scores of two samples that trained nothing."""
+    at = np.sort(positive)
+    q_p = 1 - np.arange(len(at)) / len(at)
+    q_u = 1 - np.searchsorted(np.sort(unlabelled), at, "left") / len(unlabelled)
+    slack = (1 + gamma) * (np.sqrt(np.log(4 / delta) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / delta) / (2 * len(at))))
+    best = int(np.argmin((q_u + slack) / q_p))
+    return float(q_u[best] / q_p[best])
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of good documents in the unlabelled sample, each half judged by a network of the other."""
+    found = []
+    for k in (0, 1):
+        model = train_nnpu(positive[k::2], unlabelled[k::2], None, epochs=20)
+        found.append(best_bin(margin(model, positive[1 - k :: 2]), margin(model, unlabelled[1 - k :: 2])))
+    return float(np.clip(np.mean(found), 0.01, 0.99))
+
+
+def calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, ridge: float = 1e-2, steps: int = 200) -> tuple[float, float]:
+    """slope > 0 and offset that minimise the unbiased logistic risk of slope * margin + offset, by damped Newton steps."""
+    slope, offset = 1.0, 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(slope * values + offset, -30, 30)))
-        e, v = p - target, p * (1 - p) + 1e-6
-        grad = np.array([(e * values).sum() + 1e-2 * (slope - 1), e.sum()])
-        hess = np.array([[(v * values * values).sum() + 1e-2, (v * values).sum()], [(v * values).sum(), v.sum()]]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        slope, offset = max(0.05, slope - np.clip(step[0], -1, 1)), offset - np.clip(step[1], -1, 1)
+        p = 1 / (1 + np.exp(-np.clip(slope * unlabelled + offset, -30, 30)))
+        v = p * (1 - p)
+        grad = np.array([(p * unlabelled).mean() - prior * positive.mean() + ridge * (slope - 1), p.mean() - prior + ridge * offset])
+        hess = np.array([[(v * unlabelled**2).mean(), (v * unlabelled).mean()], [(v * unlabelled).mean(), v.mean()]]) + ridge * np.eye(2)
+        step = np.clip(np.linalg.solve(hess, grad), -1, 1)
+        slope, offset = max(0.05, slope - step[0]), offset - step[1]
         if abs(step).max() < 1e-6:
             break
     return float(slope), float(offset)
@@ -164,30 +188,28 @@ def _sampled_features(docs: DataFrame, ids: DataFrame) -> dict[int, np.ndarray]:
     return {r.doc_id: np.frombuffer(r.x, np.float32) for r in some.mapInArrow(run, "doc_id long, x binary").toLocalIterator()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, negatives: int = NEGATIVES) -> dict:
-    """Train on at most the given numbers of rows; the model is a dict of small arrays."""
-    learn = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
-    shares = {r.quality: r.n for r in learn.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    good, bad = shares.get(1, 0), shares.get(0, 0)
-    prior = good / (good + bad) if good + bad else 1.0
-    if not good or not bad:
-        return {"constant": prior}
-    # the prior is that of all labels, the rows are those that docs holds
-    learn = checkpointed(learn.join(docs.select("doc_id"), "doc_id", "left_semi"))
-    known = {r.doc_id: r.quality for q, n in ((1, positives), (0, negatives)) for r in hash_sample(learn.where(f"quality = {q}"), "doc_id", n, 11)}
+def train(positive: np.ndarray, unlabelled: np.ndarray) -> dict:
+    """Prior, network and calibration from the features of the two samples."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return {"constant": 1.0}
+    prior = class_prior(positive, unlabelled)
+    model = train_nnpu(positive, unlabelled, prior)
+    model["slope"], model["offset"] = calibrate(margin(model, positive), margin(model, unlabelled), prior)
+    return model | {"prior": prior}
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
+    """Train on at most the given numbers of rows that docs holds; the model is a dict of small arrays."""
+    good = labels.select("doc_id").where(F.col("doc_id").isNotNull() & (F.col("quality") == 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
+    good = checkpointed(good.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    trusted = [r.doc_id for r in hash_sample(good, "doc_id", positives, 11)]
+    if not trusted:
+        return {"constant": 1.0}
     others = [r.doc_id for r in hash_sample(docs.select("doc_id").where(F.col("doc_id").isNotNull()), "doc_id", unlabelled, 12)]
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in {*known, *others}], "doc_id long")
+    ids = docs.sparkSession.createDataFrame([(i,) for i in {*trusted, *others}], "doc_id long")
     x = _sampled_features(docs, ids)
-    positive = [x[i] for i, q in known.items() if q == 1 and i in x]
-    others = [x[i] for i in others if i in x]
-    checked = [(x[i], q) for i, q in known.items() if i in x]
-    if not positive or not others or len({q for _, q in checked}) < 2:
-        return {"constant": prior}
-    model = train_nnpu(np.array(positive), np.array(others), prior)
-    values, truth = margin(model, np.array([v for v, _ in checked])), np.array([q for _, q in checked])
-    model["slope"], model["offset"] = platt(values, truth)
-    return model
+    rows = [np.array([x[i] for i in some if i in x], np.float32).reshape(-1, WIDTH) for some in (trusted, others)]
+    return train(*rows)
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
