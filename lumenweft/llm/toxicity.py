@@ -1,12 +1,14 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
 A text is read as lower-cased words in overlapping windows of ``WINDOW`` words,
-one beginning every ``STRIDE`` words, until the text is covered.  A word's
-input joins a word vector (a hashed learned embedding and the word's evidence)
-and a character vector (hashed embeddings of its leading 3 to 6 and trailing 3
-bytes and their evidence).  The evidence is the shrunk log-odds of the feature
-between toxic and other training documents; in training a document's own count
-is left out, so that evidence means the same in training and in use.
+one beginning every ``STRIDE`` words, until the text is covered.  A word longer
+than ``PIECE`` bytes (text without spaces) is read as overlapping pieces.  A
+word's input joins a word vector (a hashed learned embedding and the word's
+evidence) and a character vector: the mean of the hashed learned embeddings of
+all its byte 3-, 4- and 5-grams, its ends marked, and the greatest and the mean
+evidence of these.  Evidence is the shrunk log-odds of a feature between toxic
+and other training documents; in training a document's own count is left out, so
+that it means the same in training and in use.
 
 Two gated recurrent layers read a window forwards and backwards, attention
 pools their states, a logistic unit scores the window.  The document's score is
@@ -16,11 +18,13 @@ scores highest, other documents their highest and random ones.  All of it is
 numpy.
 
 Training rows are those whose crc32(doc_id as text) mod 3 is not 1, at most
-``TOXIC`` and ``OTHER`` of either label, drawn by a hash of doc_id.  Scoring is
+``TOXIC`` and ``OTHER`` of either label, drawn by a hash of doc_id; of these a
+text longer than ``LONGEST`` bytes is not learnt from, which bounds the driver's
+memory.  Scoring is
 one pass over whole texts without a shuffle.
 
 Defined cases: a null or empty text scores 0; repeated rows score alike; a null
-doc_id is not held out; without labels of both kinds every document scores 0.
+doc_id is not held out; without labels of both kinds, or without a word in the training texts, every document scores 0.
 Further columns are ignored by :func:`score_documents` and kept by
 :func:`keep_clean`.
 """
@@ -37,15 +41,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, hash_sample, table
-from .quality_pu import fold_of, platt
+from .quality_pu import fold_of
 
 WINDOW, STRIDE = 64, 32
 TOXIC, OTHER = 1500, 2500
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
+LONGEST = 1 << 16
 STATE = 8
-#: Features of a word: itself, its leading 3, 4, 5 and 6 bytes, its trailing 3 bytes.
-KINDS = 6
+#: Evidence of a word: its own, the greatest and the mean of its n-grams.
+KINDS = 3
+#: Bytes of the n-grams, and of the pieces of longer words and how far apart these begin.
+GRAMS = (3, 4, 5)
+PIECE, PIECE_STEP = 24, 16
 EVIDENCE_BITS, EMBED_BITS, EMBED = 18, 13, 4
 INPUT = KINDS + 2 * EMBED + 1
 #: Distinct words whose inputs one worker remembers.
@@ -61,12 +69,56 @@ _WORD_BYTES = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A els
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(_WORD_BYTES).split() if text else []
+    words = text.lower().encode().translate(_WORD_BYTES).split() if text else []
+    if len(max(words, key=len, default=b"")) <= PIECE:
+        return words
+    out = []
+    for w in words:
+        out += [w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w) - PIECE + PIECE_STEP, PIECE_STEP)]
+    return out
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).astype(np.int64) & 0x7FFFFFFF
+
+
+def hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, hashes of all their n-grams word by word, and where each word's n-grams begin."""
+    whole = np.fromiter(map(crc32, words), np.int64, len(words))
+    data = np.frombuffer(b"<" + b"><".join(words) + b">" + bytes(max(GRAMS)), np.uint8).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    n = int(size.sum())
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(n)  # bytes of the word from here on
+    value, at, found, of = np.zeros(n, np.uint64), 0, [], []
+    for length in GRAMS:
+        while at < length:
+            value = value | (data[at : at + n] << np.uint64(8 * at))
+            at += 1
+        on = left >= length
+        found.append(_mix(value[on] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(length)))
+        of.append(owner[on])
+    of_all = np.concatenate(of)
+    order = np.argsort(of_all, kind="stable")
+    return whole, np.concatenate(found)[order], np.searchsorted(of_all[order], np.arange(len(words)))
+
+
+def _pooled(grams: np.ndarray, begins: np.ndarray, values: np.ndarray, pool_: np.ufunc = np.add) -> np.ndarray:
+    """Sum (or another reduction) of the n-grams' values, word by word."""
+    return pool_.reduceat(values[grams], begins, axis=0) if len(begins) else np.zeros((0, *values.shape[1:]), values.dtype)
 
 
-def hashes(word: bytes) -> tuple[int, ...]:
-    """One 32-bit hash for each kind of feature."""
-    return crc32(word), crc32(word[:3], 3), crc32(word[:4], 4), crc32(word[:5], 5), crc32(word[:6], 6), crc32(word[-3:], 9)
+def _share(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    return (1 / np.diff(np.r_[begins, len(grams)])).astype(np.float32)
+
+
+def evidence_of(whole: np.ndarray, grams: np.ndarray, begins: np.ndarray, table_: np.ndarray) -> np.ndarray:
+    """(n, KINDS) from the table of log-odds; one n-gram is enough to stand out."""
+    mask = (1 << EVIDENCE_BITS) - 1
+    g = grams & mask
+    mean = _pooled(g, begins, table_) * _share(grams, begins)
+    return np.stack([table_[whole & mask], _pooled(g, begins, table_, np.maximum), mean], 1).astype(np.float32)
 
 
 def starts(n: int) -> list[int]:
@@ -74,13 +126,14 @@ def starts(n: int) -> list[int]:
     return list(range(0, max(1, n - WINDOW + STRIDE), STRIDE)) if n else []
 
 
-def inputs(model: dict, features: np.ndarray, evidence: np.ndarray | None = None) -> np.ndarray:
-    """Input vectors of words from their hashes, (n, KINDS) -> (n, INPUT)."""
+def inputs(model: dict, hashed: tuple, evidence: np.ndarray | None = None) -> np.ndarray:
+    """Input vectors of words from their hashes, (n, INPUT)."""
+    whole, grams, begins = hashed
     if evidence is None:
-        evidence = model["evidence"][features & ((1 << EVIDENCE_BITS) - 1)]
-    at = features & ((1 << EMBED_BITS) - 1)
-    chars = model["chars"][at[:, 1:]].mean(1)
-    return np.concatenate([evidence, model["words"][at[:, 0]], chars, np.ones((len(at), 1), np.float32)], 1).astype(np.float32)
+        evidence = evidence_of(*hashed, model["evidence"])
+    mask = (1 << EMBED_BITS) - 1
+    chars = _pooled(grams & mask, begins, model["chars"]) * _share(grams, begins)[:, None]
+    return np.concatenate([evidence, model["words"][whole & mask], chars, np.ones((len(whole), 1), np.float32)], 1).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -209,8 +262,8 @@ def _log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: flo
     return (raw * n / (n + 4)).astype(np.float32)
 
 
-def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed: int = 3) -> dict:
-    """Fit on whole documents and their labels."""
+def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed: int = 3, with_evidence: bool = True) -> dict:
+    """Fit on whole documents and their labels; ``with_evidence`` off leaves the network to its embeddings."""
     rng = np.random.default_rng(seed)
     model = new_model(seed)
     mask = (1 << EVIDENCE_BITS) - 1
@@ -219,25 +272,26 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
     counts = np.zeros((2, 1 << EVIDENCE_BITS), np.float32)
     docs = []
     memo: dict[bytes, int] = {}
-    rows: list[tuple[int, ...]] = []
-    for text, label in zip(texts, toxic, strict=True):
-        own = np.empty(len(words := words_of(text)), np.int64)
-        for i, w in enumerate(words):
-            if (k := memo.get(w)) is None:
-                k = memo[w] = len(rows)
-                rows.append(hashes(w))
-            own[i] = k
-        docs.append(own)
-    table_ = np.array(rows, np.int64).reshape(-1, KINDS)
+    for text in texts:
+        docs.append(np.array([memo.setdefault(w, len(memo)) for w in words_of(text)], np.int64))
+    if not memo:
+        return {}
+    whole, grams, begins = hashed = hashes(list(memo))
+    ends = np.r_[begins[1:], len(grams)]
     for own, label in zip(docs, toxic, strict=True):
         if len(own):
-            counts[label, np.unique(table_[np.unique(own)] & mask)] += 1
-    model["evidence"] = _log_odds(counts[1], counts[0], n1, n0)
-    spots = table_ & mask
+            some = np.unique(own)
+            size = ends[some] - begins[some]
+            at = np.arange(size.sum()) + np.repeat(begins[some] - (np.cumsum(size) - size), size)
+            counts[label, np.unique(np.concatenate([whole[some], grams[at]]) & mask)] += 1
+    if with_evidence:
+        model["evidence"] = _log_odds(counts[1], counts[0], n1, n0)
     left_out = {
-        1: _log_odds(np.maximum(counts[1] - 1, 0), counts[0], n1 - 1, n0)[spots],
-        0: _log_odds(counts[1], np.maximum(counts[0] - 1, 0), n1, n0 - 1)[spots],
+        1: evidence_of(*hashed, _log_odds(np.maximum(counts[1] - 1, 0), counts[0], n1 - 1, n0)) * with_evidence,
+        0: evidence_of(*hashed, _log_odds(counts[1], np.maximum(counts[0] - 1, 0), n1, n0 - 1)) * with_evidence,
     }
+    share = _share(grams, begins)
+    embed_mask = (1 << EMBED_BITS) - 1
     spans = [(d, s) for d, own in enumerate(docs) for s in starts(len(own))]
     by_doc: dict[int, list[int]] = {}
     for i, (d, _) in enumerate(spans):
@@ -251,10 +305,16 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
             index[: len(part), j] = part
         kinds = np.array([toxic[spans[i][0]] for i in some])
         real = index >= 0
+        words, place = np.unique(np.maximum(index, 0), return_inverse=True)
+        place = place.reshape(index.shape)
+        size = ends[words] - begins[words]
+        first = np.cumsum(size) - size
+        picked = grams[np.arange(size.sum()) + np.repeat(begins[words] - first, size)]
+        base = inputs(model, (whole[words], picked, first), np.zeros((len(words), KINDS), np.float32))
+        x = base[place]
         safe = np.maximum(index, 0)
-        evidence = np.where(kinds[None, :, None] > 0, left_out[1][safe], left_out[0][safe])
-        x = inputs(model, table_[safe.ravel()], evidence.reshape(-1, KINDS)).reshape(WINDOW, len(some), INPUT)
-        return np.where(real[:, :, None], x, 0).astype(np.float32), real, table_[safe] & ((1 << EMBED_BITS) - 1)
+        x[:, :, :KINDS] = np.where(kinds[None, :, None] > 0, left_out[1][safe], left_out[0][safe])
+        return np.where(real[:, :, None], x, 0).astype(np.float32), real, (words, place, picked, size)
 
     def scores(some: list[int]) -> np.ndarray:
         out = np.empty(len(some), np.float32)
@@ -270,7 +330,7 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
         return out
 
     # to begin with, a document's strongest window is the one of most evidence
-    strength = np.array([left_out[toxic[d]][docs[d][s : s + WINDOW]].max(1).max() for d, s in spans])
+    strength = np.array([left_out[toxic[d]][docs[d][s : s + WINDOW]].max() for d, s in spans])
     dense = [k for k in model if k not in ("evidence", "words", "chars", "slope", "offset")]
     first, second = {k: np.zeros_like(model[k]) for k in dense}, {k: np.zeros_like(model[k]) for k in dense}
     step, size = 0, 64
@@ -290,7 +350,7 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
         order = rng.permutation(len(chosen))
         for at in range(0, len(order), size):
             some = order[at : at + size]
-            x, real, hashed = gather([chosen[i] for i in some])
+            x, real, used = gather([chosen[i] for i in some])
             target = labels[some]
             grad = _gradient(model, x, real, target, np.where(target > 0, up, down))
             step += 1
@@ -300,12 +360,11 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 model[k] = (model[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-            on = real.ravel()
-            gx, hx = grad["x"].reshape(-1, INPUT)[on], hashed.reshape(-1, KINDS)[on]
-            np.add.at(model["words"], hx[:, 0], -0.5 * gx[:, KINDS : KINDS + EMBED])
-            part = -0.5 * gx[:, KINDS + EMBED : KINDS + 2 * EMBED] / (KINDS - 1)
-            for k in range(1, KINDS):
-                np.add.at(model["chars"], hx[:, k], part)
+            words, place, picked, held = used
+            gx = np.zeros((len(words), 2 * EMBED), np.float32)
+            np.add.at(gx, place[real], grad["x"][:, :, KINDS : KINDS + 2 * EMBED][real])
+            np.add.at(model["words"], whole[words] & embed_mask, -0.5 * gx[:, :EMBED])
+            np.add.at(model["chars"], picked & embed_mask, np.repeat(-0.5 * gx[:, EMBED:] * share[words][:, None], held, axis=0))
     final = scores(list(range(len(spans))))
     best = np.array([final[by_doc[d]].max() for d in by_doc])
     truth = np.array([toxic[d] for d in by_doc], np.float64)
@@ -313,6 +372,22 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
     return model
 
 
+def platt(values: np.ndarray, labels: np.ndarray, *, steps: int = 300) -> tuple[float, float]:
+    """slope >= 0 and offset of a logistic curve, by damped Newton steps."""
+    slope, offset, n = 1.0, 0.0, len(values)
+    target = np.where(labels > 0, 1 - 1 / (labels.sum() + 2), 1 / (n - labels.sum() + 2))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(slope * values + offset, -30, 30)))
+        e, v = p - target, p * (1 - p) + 1e-6
+        grad = np.array([(e * values).sum() + 1e-2 * (slope - 1), e.sum()])
+        hess = np.array([[(v * values * values).sum() + 1e-2, (v * values).sum()], [(v * values).sum(), v.sum()]]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        slope, offset = max(0.05, slope - np.clip(step[0], -1, 1)), offset - np.clip(step[1], -1, 1)
+        if abs(step).max() < 1e-6:
+            break
+    return float(slope), float(offset)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, toxic: int = TOXIC, other: int = OTHER) -> dict:
     """Train on a bounded sample of the labelled training rows that docs holds."""
     learn = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
@@ -322,7 +397,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, toxic: int = TOXIC, other: int =
         known |= {r.doc_id: kind for r in hash_sample(learn.where(f"toxic = {kind}"), "doc_id", most, 21)}
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in known], "doc_id long")
-    found = {r.doc_id: r.text for r in docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").toLocalIterator()}
+    found = {r.doc_id: r.text for r in docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(ids), "doc_id", "left_semi").toLocalIterator()}
     order = sorted(found)
     marks = [known[i] for i in order]
     if len(set(marks)) < 2:
@@ -354,8 +429,7 @@ class Scorer:
             grown = np.empty((max(2 * len(self.projected), base + len(new)), 6 * STATE), np.float32)
             grown[: len(self.projected)] = self.projected
             self.projected = grown
-        rows = np.array([hashes(w) for w in new], np.int64)
-        self.projected[base : base + len(new)] = project(self.model, inputs(self.model, rows))
+        self.projected[base : base + len(new)] = project(self.model, inputs(self.model, hashes(new)))
         self.memo.update(zip(new, range(base, base + len(new)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
