@@ -11,6 +11,10 @@ also happen in the string made of the two neighbouring tokens alone, so a list
 whose neighbouring pairs are all stable is the encoding of its text.  Pairs
 inside either half are stable already; only the borders need a test.
 
+A token whose own bytes merge to something else (it cannot be reached) is the
+encoding of a whole piece of text, as the library has it, but never of a segment
+within one.  The driver looks for such tokens once.
+
 Decoding is the free monoid: the bytes of the tokens, concatenated up a tree.
 
 Defined cases: a null text counts as empty; an empty text has no ids and both
@@ -21,6 +25,7 @@ own; a null ``doc_id`` stays null.  Other columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,20 +47,26 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, unreachable: frozenset[int] | None = None):
         import regex
 
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
         self._stable: dict[int, bool] = {}
+        self.unreachable = self.find_unreachable() if unreachable is None else unreachable
+
+    def find_unreachable(self) -> frozenset[int]:
+        """Tokens of which the bytes, merged from the beginning, give other tokens."""
+        return frozenset(i for t, i in self.ranks.items() if len(t) > 1 and self._merge(t) != [i])
 
     def _leaf(self, data: bytes) -> list[int]:
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None and whole not in self.unreachable else self._merge(data)
+
+    def _merge(self, data: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, the leftmost first."""
         ranks = self.ranks
-        whole = ranks.get(data)
-        if whole is not None:
-            return [whole]
         parts = [data[i : i + 1] for i in range(len(data))]
         pairs = [ranks.get(data[i : i + 2], 1 << 60) for i in range(len(data) - 1)]
         while pairs:
@@ -125,6 +136,11 @@ class TreeBpe:
             i = after[i]
         return out
 
+    def encode_piece(self, data: bytes) -> list[int]:
+        """The encoding of one match of the pattern: a token of its own, or the tree's."""
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else self.encode_bytes(data)
+
     def encode_bytes(self, data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
             return self._leaf(data)
@@ -132,7 +148,7 @@ class TreeBpe:
         return self.join(self.encode_bytes(data[:middle]), self.encode_bytes(data[middle:]))
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.find(text) for i in self.encode_bytes(piece.encode())]
+        return [i for piece in self.find(text) for i in self.encode_piece(piece.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 4096:
@@ -149,7 +165,7 @@ class _Memo(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> str:
-        ids = ",".join(map(str, self.bpe.encode_bytes(piece.encode())))
+        ids = ",".join(map(str, self.bpe.encode_piece(piece.encode())))
         if len(piece) <= 64:
             if len(self) >= MEMO_ENTRIES:
                 self.clear()
@@ -160,14 +176,19 @@ class _Memo(dict):
 _WORKER: dict[tuple[int, str], tuple[TreeBpe, _Memo, dict[str, bytes]]] = {}
 
 
-def _worker(ranks: bytes, pattern: str):
+def _worker(ranks: bytes, pattern: str, unreachable: frozenset[int]):
     key = (hash(ranks), pattern)
     if key not in _WORKER:
-        bpe = TreeBpe(parse_ranks(ranks), pattern)
+        bpe = TreeBpe(parse_ranks(ranks), pattern, unreachable)
         _WORKER[key] = bpe, _Memo(bpe), {str(i): t for i, t in bpe.tokens.items()}
     return _WORKER[key]
 
 
+@functools.cache
+def _unreachable(ranks: bytes, pattern: str) -> frozenset[int]:
+    return TreeBpe(parse_ranks(ranks), pattern).unreachable
+
+
 def _concat(parts: list[bytes]) -> bytes:
     """Bytes of a token list, joined up a tree of bounded fan-in."""
     while len(parts) > 1:
@@ -189,13 +210,14 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, *, with_ids: b
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    unreachable = _unreachable(ranks, pattern)
     kept = [f for f in docs.schema.fields if f.name in keep]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     ddl += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memo, spelled = _worker(shared.value, pattern)
+        bpe, memo, spelled = _worker(shared.value, pattern, unreachable)
         find = bpe.find
         for batch in batches:
             counts, digests, decoded, lists = [], [], [], []
