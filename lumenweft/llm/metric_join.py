@@ -44,6 +44,8 @@ CELL_ROWS, MOST_PIVOTS = 4096, 2048
 #: The most own vectors and guests that one join of blocks holds.
 OWN_BLOCK, GUEST_BLOCK = 16384, 65536
 _SLACK = 1e-9
+#: Distances to pivots that one step holds.
+DISTANCES = 1 << 20
 #: A dense group of so many rows in a block is counted as a ball; so many centres are tried.
 BALL_ROWS, BALL_TRIES = 512, 16
 
@@ -146,6 +148,12 @@ def link_block(ids: np.ndarray, copies: np.ndarray, units: np.ndarray, own: int,
     return links, label
 
 
+def _slices(batch: pa.RecordBatch, pivots: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts small enough for a table of distances to all pivots."""
+    step = max(1, DISTANCES // max(1, pivots))
+    return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+
 def _pivots(classes: DataFrame, most: int) -> np.ndarray:
     rows = hash_sample(classes.select("id", "unit"), "id", most, 31)
     return np.array([np.frombuffer(r.unit) for r in rows])
@@ -158,8 +166,8 @@ def _cells(classes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(batch.num_rows, -1)
+            for some in _slices(batch, len(p)):
+                x = np.frombuffer(b"".join(some.column(0).to_pylist())).reshape(some.num_rows, -1)
                 cos = x @ p.T
                 at = cos.argmax(1)
                 far = np.sqrt(np.maximum(0, 2 - 2 * cos[np.arange(len(x)), at]))
@@ -174,12 +182,10 @@ def _cells(classes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, reach = shared.value, spans.value + radius + _SLACK
         between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (some for whole in batches for some in _slices(whole, len(p))):
             x = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(batch.num_rows, -1)
-            square = np.maximum(0, 2 - 2 * x @ p.T)
             cos = x @ p.T
+            square = np.maximum(0, 2 - 2 * cos)
             own = cos.argmax(1)
             d = np.sqrt(square)
             mine = d[np.arange(len(x)), own]
