@@ -41,6 +41,23 @@ def test_long_runs():
         assert BPE.encode(text) == PLAIN.encode_ordinary(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcd ", max_size=120))
+def test_tokens_that_merges_never_make(text):
+    """dcba is a token, but its bytes merge otherwise: a whole piece takes it, an inner segment does not."""
+    assert ODD.unreachable == {261}
+    assert ODD.encode(text) == ODD_PLAIN.encode_ordinary(text)
+
+
+def test_every_token_of_the_vocabulary_is_reached():
+    assert not BPE.unreachable
+
+
+ODD_RANKS = {bytes([i]): i for i in range(256)} | {b"cd": 256, b"bc": 257, b"ab": 258, b"abcd": 259, b"ba": 260, b"dcba": 261, b"cda": 262}
+ODD = byte_bpe.TreeBpe(ODD_RANKS, r"[a-d]+| +")
+ODD_PLAIN = tiktoken.Encoding("odd", pat_str=r"[a-d]+| +", mergeable_ranks=ODD_RANKS, special_tokens={})
+
+
 def test_encode_documents(spark):
     texts = ["", None, "Hello  world\n\n!!", "x" * 50000, "same", "same"]
     rows = byte_bpe.encode_documents(docs(spark, *texts, ids=[0, 1, 2, 3, 4, None]), RANKS, public_tokenizers.PATTERN).collect()
