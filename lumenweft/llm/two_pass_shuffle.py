@@ -107,8 +107,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def scatter(df: DataFrame, key: str, shards: int, *, seed: int, bucket_rows: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Pass one: entries with their shard, bucket and part, and the sizes of the parts.
+def scatter(df: DataFrame, key: str, shards: int, *, seed: int, bucket_rows: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Pass one: entries with their shard, bucket and part, the sizes of the parts, and the columns that tell parts apart.
 
     An entry is a row, or ``n`` equal rows of a crowded bucket, with ``h1``,
     ``h2`` and ``block`` for its place; all follow from the rows alone.
@@ -131,7 +131,8 @@ def scatter(df: DataFrame, key: str, shards: int, *, seed: int, bucket_rows: int
     single = [F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("n")]
     crowded = checkpointed(crowded)
     if crowded.isEmpty():
-        return entries.select("*", *single), sizes.withColumn("part", F.lit(0).cast("long"))
+        # a constant part is no key: it would hide from the planner that rows are dealt as they are grouped
+        return entries.select("*", *single), sizes.withColumn("part", F.lit(0).cast("long")), ["shard", "bucket"]
     crowded = _small(crowded)
     calm = entries.join(crowded, ["shard", "bucket"], "left_anti").select("*", *single)
     same = entries.join(crowded, ["shard", "bucket"]).groupBy("shard", "bucket", "h1", "h2", "parts")
@@ -140,7 +141,8 @@ def scatter(df: DataFrame, key: str, shards: int, *, seed: int, bucket_rows: int
     cut = _explode(F.ceil(F.col("m") / F.col("fit")), "block", merged.withColumn("fit", fit))
     cut = cut.withColumn("n", F.least(F.col("fit"), F.col("m") - F.col("block") * F.col("fit"))).withColumn("part", F.pmod(F.xxhash64("h1", "h2", "block"), "parts"))
     entries = calm.unionByName(cut.select(*calm.columns))
-    return entries, entries.groupBy("shard", "bucket", "part").agg(F.sum("n").alias("count"), F.sum(F.col("n") * F.col("bytes")).alias("bytes"))
+    at = ["shard", "bucket", "part"]
+    return entries, entries.groupBy(*at).agg(F.sum("n").alias("count"), F.sum(F.col("n") * F.col("bytes")).alias("bytes")), at
 
 
 def _offsets(sizes: DataFrame, span: int = 4096) -> DataFrame:
@@ -157,9 +159,8 @@ def _offsets(sizes: DataFrame, span: int = 4096) -> DataFrame:
 
 def shuffle_into_shards(df: DataFrame, key: str, shards: int, *, seed: int = 17, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """shard int, slot long, grown_shard int (with one more shard) and ``row``, a struct of all columns of df."""
-    entries, sizes = scatter(df, key, shards, seed=seed, bucket_rows=bucket_rows, bucket_bytes=bucket_bytes)
-    at = ["shard", "bucket", "part"]
-    offsets = _small(checkpointed(_offsets(sizes)))
+    entries, sizes, at = scatter(df, key, shards, seed=seed, bucket_rows=bucket_rows, bucket_bytes=bucket_bytes)
+    offsets = _small(checkpointed(_offsets(sizes).select(*at, "offset")))
     # pass two: gather a part, put it in a fixed order, shuffle it, lay it at its offset
     dealt = entries.select(*at, "h1", "h2", "block", "n", "row", "grown_shard").repartitionByRange(*at)
     gathered = dealt.groupBy(*at).agg(F.collect_list(F.struct("h1", "h2", "block", "n", "row", "grown_shard")).alias("rows"))
