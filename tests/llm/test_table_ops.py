@@ -99,7 +99,7 @@ def test_shards_hold_whole_rows(spark, monkeypatch):
 def test_buckets_are_bounded_in_bytes(spark):
     rows = [(i, "t" * (20000 if i % 50 == 0 else i % 9)) for i in range(1000)] + [(3, "u" * 5000)] * 300
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    entries, sizes = two_pass_shuffle.scatter(table, "doc_id", 4, seed=17, bucket_rows=256, bucket_bytes=30000)
+    entries, sizes, _ = two_pass_shuffle.scatter(table, "doc_id", 4, seed=17, bucket_rows=256, bucket_bytes=30000)
     at = ["shard", "bucket", "part"]
     found = entries.groupBy(*at).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("b")).join(sizes, at).collect()
     assert sum(r["n"] for r in found) == len(rows)
@@ -122,7 +122,7 @@ def test_slots_do_not_depend_on_how_rows_arrive(spark):
     for shard in range(3):
         assert [r[1] for r in runs[0] if r[0] == shard] == list(range(sum(r[0] == shard for r in runs[0])))
     # no part holds more than a bucket's bound, although one row is there 900 times
-    entries, sizes = two_pass_shuffle.scatter(table, "doc_id", 3, seed=17, bucket_rows=16, bucket_bytes=1 << 20)
+    entries, sizes, _ = two_pass_shuffle.scatter(table, "doc_id", 3, seed=17, bucket_rows=16, bucket_bytes=1 << 20)
     assert entries.agg(F.max("n")).first()[0] <= 16 and sizes.agg(F.max("count")).first()[0] <= 8 * 16
 
 
