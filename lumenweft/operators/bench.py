@@ -120,7 +120,8 @@ def permutation_p(a: np.ndarray, b: np.ndarray, resamples: int = RESAMPLES, seed
         extra = 0
     else:
         rng = np.random.default_rng(seed)
-        sums = np.array([both[rng.permutation(n)[:k]].sum() for _ in range(resamples)])
+        step = max(1, (1 << 20) // n)  # rows of random numbers; the k least of a row are a random split
+        sums = np.concatenate([both[np.argpartition(rng.random((min(step, resamples - at), n)), k - 1, 1)[:, :k]].sum(1) for at in range(0, resamples, step)])
         extra = 1
     stat = sums / k - (total - sums) / (n - k)
     tails = [((stat <= seen + slack).sum() + extra) / (len(stat) + extra), ((stat >= seen - slack).sum() + extra) / (len(stat) + extra)]
@@ -182,10 +183,23 @@ def precision_of(metric: str) -> int:
     return 1 if "ms" in metric and "fps" not in metric else 2
 
 
-def report(verdict_rows: DataFrame, intervals: DataFrame, hardware: DataFrame, base: str, other: str, *, force: bool = False, rope: float = ROPE_PCT) -> str:
+def _config_lines(configs: DataFrame, base: str, other: str) -> list[str]:
+    """What the two configurations say differently, and the numbers of samples."""
+    rows = {r.run: r.asDict() for r in configs.collect()}
+    if base not in rows or other not in rows:
+        return []
+    a, b = rows[base], rows[other]
+    sizes = [f"{r['proxy_w']}x{r['proxy_h']}" for r in (a, b)]
+    pairs = [*[(k, a[k], b[k]) for k in ("tensorrt", "torch_compile")], ("proxy", *sizes), ("batch_size", a["batch_size"], b["batch_size"])]
+    samples = f"- samples: {a['n_samples']} each" if a["n_samples"] == b["n_samples"] else f"- samples: {a['n_samples']} vs {b['n_samples']} (different N)"
+    return ["**Config:**", *[f"- {k}: {x} → {y}" for k, x, y in pairs if x != y], samples, ""]
+
+
+def report(verdict_rows: DataFrame, intervals: DataFrame, hardware: DataFrame, base: str, other: str, *, force: bool = False, rope: float = ROPE_PCT, configs: DataFrame | None = None) -> str:
     """The comparison as markdown; a handful of rows, so it is written on the driver.
 
-    intervals: (run, metric, ci_half).  A fatal hardware difference raises unless forced.
+    intervals: (run, metric, ci_half); configs: run and the fields of a result's
+    configuration.  A fatal hardware difference raises unless forced.
     """
     differs = hardware.orderBy("severity", "field").collect()
     fatal = [f"{r.field}: {r.value_a} → {r.value_b}" for r in differs if r.severity == "fatal"]
@@ -194,16 +208,26 @@ def report(verdict_rows: DataFrame, intervals: DataFrame, hardware: DataFrame, b
         raise HardwareMismatch("; ".join(fatal))
     half = {(r.run, r.metric): r.ci_half for r in intervals.collect()}
     rows = {r.metric: r for r in verdict_rows.collect()}
-    out = [f"# {base} vs {other}", ""]
+    out = [f"# Benchmark: {base} vs {other}", ""]
     out += ["**ERROR: the hardware differs; the numbers cannot be compared**", *[f"- {x}" for x in fatal], ""] if fatal else []
     out += ["**Warning: these differ too**", *[f"- {x}" for x in notes], ""] if notes else []
-    out += [f"| metric | {base} | {other} | Δ | p | p (Holm) | verdict |", "|---|---:|---:|---:|---:|---:|:---|"]
+    out += _config_lines(configs, base, other) if configs is not None else []
+    out += [f"## Throughput (means ± 95% CI, ROPE=±{rope}%)", ""]
+    out += [f"| Metric | {base} | {other} | Δ | p_raw | p_holm | verdict |", "|---|---:|---:|---:|---:|---:|:---|"]
+    # How the verdicts are printed.
     labels = {"EQUIVALENT": "≈ (within ROPE)", "DIFFERENT": "**DIFFERENT**", "UNCLEAR": "unclear"}
     for m in [*[x for x in METRICS if x in rows], *sorted(rows.keys() - set(METRICS))]:
         r, d = rows[m], precision_of(m)
         cells = [m, *[f"{v:.{d}f} ± {half.get((run, m), 0):.{d}f}" for v, run in ((r.mean_a, base), (r.mean_b, other))], f"{r.delta_pct:+.1f}%", f"{r.p_raw:.3g}", f"{r.p_holm:.3g}", labels[r.verdict]]
         out.append(f"| {' | '.join(cells)} |")
-    return "\n".join([*out, "", f"Changes below ±{rope}% count as equivalent; DIFFERENT needs a corrected p below 0.01 as well."])
+    out += ["", "## Interpretation", ""]
+    out += [
+        f"- ROPE ±{rope}%: a smaller change counts as equivalent whatever its p; measure it anew on other machines.",
+        f"- p_raw: two-sided permutation test of the means; p_holm: corrected over the {len(rows)} metrics.",
+        "- DIFFERENT: p_holm below 0.01 and a change beyond the ROPE; unclear: take more samples.",
+        "- Samples of one run share heat and caches and their times are not normal, so the test assumes no distribution.",
+    ]
+    return "\n".join(out)
 
 
 def least_p(n: int, m: int, metrics: int = len(METRICS)) -> float:

@@ -12,37 +12,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Request types and the response each calls for.
+# Request types and the response each calls for; shutdown has none.
 RESPONSES = {
     "ping": "pong", "raune": "raune_result", "depth": "depth_result", "depth_batch": "depth_batch_result", "raune_depth_batch": "raune_depth_batch_result",
     "enhance": "enhance_result", "unload_maxine": "ok", "unload_raune": "ok", "load_yolo_seg": "ok", "load_raune": "ok", "load_depth": "ok",
-    "yolo_seg_batch": "yolo_seg_batch_result",
+    "yolo_seg_batch": "yolo_seg_batch_result", "shutdown": None,
 }
-REQUEST = "type string, id string, format string, width int, height int, max_size int, image_b64 string, items array<struct<id:string,width:int,height:int,image_b64:string>>"
+# Fixed value: a request that takes any response but an error.
+LENIENT = "load_yolo_seg"
+# The fields of requests and responses.
+REQUEST = (
+    "type string, id string, format string, width int, height int, max_size int, image_b64 string, no_artifact_reduce boolean, enable_maxine boolean, "
+    "weights string, models_dir string, model_path string, "
+    "items array<struct<id:string,format:string,width:int,height:int,image_b64:string,max_size:int,raune_max_size:int,depth_max_size:int>>"
+)
 RESPONSE = (
     "type string, id string, message string, width int, height int, image_b64 string, depth_f32_b64 string, mask_b64 string, "
-    "results array<struct<id:string,width:int,height:int,image_b64:string,depth_f32_b64:string,mask_b64:string>>"
+    "results array<struct<id:string,width:int,height:int,image_b64:string,enhanced_width:int,enhanced_height:int,depth_f32_b64:string,depth_width:int,depth_height:int,mask_b64:string>>"
 )
 # Fixed value: bytes of one pixel of each payload.
 PAYLOAD_BYTES = {"image_b64": 3, "depth_f32_b64": 4, "mask_b64": 1}
 
 
 def expected_response(kind: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for request, response in RESPONSES.items():
-        out = F.when(kind == request, response).otherwise(out)
-    return out
+    """The response type that a request type calls for; null for an unknown one and for shutdown."""
+    known = F.create_map(*[F.lit(x) for pair in RESPONSES.items() for x in pair])
+    return F.try_element_at(known, kind)
 
 
 def dispatch(pairs: DataFrame) -> DataFrame:
-    """outcome of each (request, response) JSON line: ok, error, unexpected, unknown or crashed (an empty line)."""
+    """Outcome of each (request, response) JSON line, and the kind of its error.
+
+    ok, error (the service says so), unexpected (another type), unknown (a
+    request that is not one) or crashed (no line).  A shutdown wants no line.
+    """
     req, res = F.from_json("request", REQUEST), F.from_json("response", RESPONSE)
-    want = expected_response(F.col("req.type"))
+    kind, said = F.col("req.type"), F.col("res.type")
+    silent = F.coalesce(F.trim("response"), F.lit("")) == ""
     outcome = (
-        F.when(F.coalesce(F.trim("response"), F.lit("")) == "", "crashed").when(F.col("res.type") == "error", "error").when(want.isNull(), "unknown")
-        .when(F.col("res.type") == want, "ok").otherwise("unexpected")
+        F.when(kind == "shutdown", F.when(silent, "ok").otherwise("unexpected")).when(silent, "crashed").when(said == "error", "error")
+        .when(~F.coalesce(kind.isin(*RESPONSES), F.lit(False)), "unknown").when((kind == LENIENT) & said.isNotNull(), "ok")
+        .when(said == expected_response(kind), "ok").otherwise("unexpected")
     )
-    return pairs.withColumns({"req": req, "res": res}).withColumn("outcome", outcome)
+    error_kind = F.when(F.col("outcome") == "error", "ServerError").when(F.col("outcome") != "ok", "Ipc")
+    return pairs.withColumns({"req": req, "res": res}).withColumn("outcome", outcome).withColumn("error_kind", error_kind)
 
 
 def explode_items(requests: DataFrame) -> DataFrame:
@@ -71,6 +84,16 @@ def rejects(responses: DataFrame, requests: DataFrame) -> DataFrame:
     return both.withColumn("reason", why).where("reason IS NOT NULL").select("msg_id", "reason")
 
 
+def batch_results(responses: DataFrame) -> DataFrame:
+    """The results of batch responses with their place, and why a payload does not fit its own size."""
+    rows = responses.select("msg_id", F.posexplode(F.from_json("response", RESPONSE)["results"]).alias("place", "r")).select("msg_id", "place", "r.*")
+    depth = payload_ok(F.col("depth_f32_b64"), F.coalesce("depth_width", "width"), F.coalesce("depth_height", "height"), PAYLOAD_BYTES["depth_f32_b64"])
+    mask = payload_ok(F.col("mask_b64"), F.col("width"), F.col("height"), PAYLOAD_BYTES["mask_b64"])
+    nothing = F.coalesce("image_b64", "depth_f32_b64", "mask_b64").isNull()
+    why = F.when(nothing, "missing").when(F.col("depth_f32_b64").isNotNull() & ~depth, "depth").when(F.col("mask_b64").isNotNull() & ~mask, "mask")
+    return rows.withColumn("reason", why)
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def f32_values(payload: pd.Series) -> pd.Series:
     """Little-endian floats of a binary column."""
@@ -99,17 +122,36 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
 def encode_png(rgb: np.ndarray, filters: list[int] | None = None) -> bytes:
-    """An 8-bit RGB image of shape (h, w, 3); filters picks 0 (none), 1 (left) or 2 (up) for each row."""
+    """An 8-bit RGB image of shape (h, w, 3); filters picks 0 (none), 1 (left), 2 (up), 3 (average) or 4 (nearest) for each row."""
     h, w, _ = rgb.shape
     flat = rgb.reshape(h, w * 3).astype(np.int16)
     left = np.concatenate([np.zeros((h, 3), np.int16), flat[:, :-3]], 1)
     up = np.concatenate([np.zeros((1, w * 3), np.int16), flat[:-1]])
+    corner = np.concatenate([np.zeros((1, w * 3), np.int16), left[:-1]])
+    gaps = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+    nearest = np.where((gaps[0] <= gaps[1]) & (gaps[0] <= gaps[2]), left, np.where(gaps[1] <= gaps[2], up, corner))
+    guesses = np.zeros_like(flat), left, up, (left + up) >> 1, nearest
     kinds = filters or [0] * h
-    rows = b"".join(bytes([k]) + ((flat[y] - (0, left[y], up[y])[k]) & 255).astype(np.uint8).tobytes() for y, k in enumerate(kinds))
+    rows = b"".join(bytes([k]) + ((flat[y] - guesses[k][y]) & 255).astype(np.uint8).tobytes() for y, k in enumerate(kinds))
     chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
     return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 0)) + chunk(b"IEND", b"")
 
 
+def _recurrence(kind: int, raw: list[int], above: list[int]) -> list[int]:
+    """A row of one channel under filter 3 (average) or 4 (nearest of left, above and the corner); above has a leading 0."""
+    out, a, c = [], 0, 0
+    for x, r in enumerate(raw):
+        b = above[x + 1]
+        if kind == 3:
+            a = (r + (a + b >> 1)) & 255
+        else:
+            da, db, dc = abs(b - c), abs(a - c), abs(a + b - c - c)
+            a = (r + (a if da <= db and da <= dc else b if db <= dc else c)) & 255
+            c = b
+        out.append(a)
+    return out
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """An 8-bit RGB non-interlaced image as (h, w, 3); checksums are not verified."""
     if data[:8] != _SIGNATURE:
@@ -142,16 +184,9 @@ def decode_png(data: bytes) -> np.ndarray:
             here[1:] = np.cumsum(raw, 0) & 255
         elif kind == 2:
             here[1:] = (raw + above[1:]) & 255
-        elif kind in (3, 4):
-            for x in range(w):  # each pixel needs the one before
-                a, b, c = here[x], above[x + 1], above[x]
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    da, db, dc = abs(p - a), abs(p - b), abs(p - c)
-                    guess = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
-                here[x + 1] = (raw[x] + guess) & 255
+        elif kind in (3, 4):  # each value needs the one before: plain numbers, a channel at a time
+            for k in range(3):
+                here[1:, k] = _recurrence(kind, raw[:, k].tolist(), above[:, k].tolist())
         else:
             raise ValueError("unknown row filter")
     return out[1:, 1:].astype(np.uint8)
@@ -180,13 +215,19 @@ class ServiceOptions:
     weights: str | None = None
     models_dir: str | None = None
     depth_model: str | None = None
+    device: str | None = None
     skip_enhance: bool = False
     skip_depth: bool = False
+    maxine: bool = False
+    maxine_upscale_factor: int = 2
     startup_timeout_s: int = 120
 
     def arguments(self) -> list[str]:
-        """The command; leaving a model out goes before naming it."""
+        """The command; leaving a model out goes before naming it, the folder of models is named either way."""
+        named = lambda flag, value: [flag, str(value)] if value else []
         out = [self.python, "-m", self.module]
-        out += ["--no-enhance"] if self.skip_enhance else [x for k, v in (("--weights", self.weights), ("--models-dir", self.models_dir)) if v for x in (k, v)]
-        out += ["--no-depth"] if self.skip_depth else ["--depth-model", self.depth_model] if self.depth_model else []
-        return out
+        out += ["--no-raune"] if self.skip_enhance else named("--raune-weights", self.weights)
+        out += named("--raune-models-dir", self.models_dir)
+        out += ["--no-depth"] if self.skip_depth else named("--depth-model", self.depth_model)
+        out += named("--device", self.device)
+        return out + (["--maxine", *named("--maxine-upscale-factor", self.maxine_upscale_factor)] if self.maxine else [])

@@ -63,10 +63,10 @@ def gamma_model(gamma: float) -> Model:
     return lambda batch: 2 * np.clip((batch + 1) / 2, 0, 1) ** gamma - 1
 
 
-def run_model(frames: DataFrame, model: Model, *, batch_size: int = 8) -> DataFrame:
+def run_model(frames: DataFrame, model: Model, *, batch_size: int = 8, key: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     """Apply a batch function (n, 3, h, w) -> (n, 3, h', w') in [-1, 1] to packed frames.
 
-    frames: frame_id, width, height, planes (array<double>, planar r then g then
+    frames: the key, width, height, planes (array<double>, planar r then g then
     b, in [0, 1]).  Arrow batches bound what a worker holds; frames of one size
     are stacked, at most ``batch_size`` at a time.
     """
@@ -78,9 +78,10 @@ def run_model(frames: DataFrame, model: Model, *, batch_size: int = 8) -> DataFr
                     some = same.iloc[at : at + batch_size]
                     x = np.stack([np.asarray(p, np.float64).reshape(3, h, w) for p in some.planes])
                     y = np.clip((model((x - 0.5) / 0.5) + 1) / 2, 0, 1)
-                    yield pd.DataFrame({"frame_id": some.frame_id.to_numpy(), "width": y.shape[3], "height": y.shape[2], "planes": [f.ravel() for f in y]})
+                    yield pd.DataFrame({**{k: some[k].to_numpy() for k in key}, "width": y.shape[3], "height": y.shape[2], "planes": [f.ravel() for f in y]})
 
-    return frames.mapInPandas(run, "frame_id long, width int, height int, planes array<double>")
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*key).schema)
+    return frames.select(*key, "width", "height", "planes").mapInPandas(run, f"{names}, width int, height int, planes array<double>")
 
 
 def _plane(channel: str):
@@ -111,29 +112,34 @@ def check_capacity(frames: DataFrame, width: int, height: int) -> DataFrame:
     return frames.withColumn("width", F.when(fits, F.col("width")).otherwise(F.raise_error(F.lit("frame beyond the capacity")).cast("int")))
 
 
-def pack_frames(pixels: DataFrame) -> DataFrame:
+def pack_frames(pixels: DataFrame, key: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     """Planar frames out of pixel rows with r, g, b; a frame is bounded, so a row may hold one."""
     cell = F.struct("y", "x", "r", "g", "b")
-    frames = pixels.groupBy("frame_id").agg(F.sort_array(F.collect_list(cell)).alias("px"), (F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
+    frames = pixels.groupBy(*key).agg(F.sort_array(F.collect_list(cell)).alias("px"), (F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
     planes = F.concat(*[_plane(c) for c in "rgb"])
-    return frames.select("frame_id", "width", "height", planes.alias("planes"))
+    return frames.select(*key, "width", "height", planes.alias("planes"))
 
 
-def unpack_frames(frames: DataFrame) -> DataFrame:
+def unpack_frames(frames: DataFrame, key: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     """Pixel rows out of planar frames."""
     n = F.col("width") * F.col("height")
     at = F.posexplode(F.slice("planes", F.lit(1), n)).alias("i", "r")
-    rows = frames.select("frame_id", "width", n.alias("n"), "planes", at)
+    rows = frames.select(*key, "width", n.alias("n"), "planes", at)
     plane = lambda k: F.element_at("planes", F.col("i") + 1 + F.col("n") * k)
     y = F.floor(F.col("i") / F.col("width")).cast("int")
-    return rows.select("frame_id", y.alias("y"), (F.col("i") % F.col("width")).alias("x"), "r", plane(1).alias("g"), plane(2).alias("b"))
+    return rows.select(*key, y.alias("y"), (F.col("i") % F.col("width")).alias("x"), "r", plane(1).alias("g"), plane(2).alias("b"))
 
 
-def grade(pixels: DataFrame, size: tuple[int, int], proxy: tuple[int, int], model: Model = identity_model, *, batch_size: int = 8) -> DataFrame:
-    """16-bit pixels (frame_id, y, x, r16, g16, b16) of ``size`` graded through a model at ``proxy`` size."""
+def grade(pixels: DataFrame, size: tuple[int, int], proxy: tuple[int, int], model: Model = identity_model, *, batch_size: int = 8, key: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """Z02 over pixel rows (key, y, x, r16, g16, b16), all steps as relational operators.
+
+    It shuffles every pixel: it is for small frames and for checking
+    :func:`packed.grade_frames`, which grades packed frames without a shuffle.
+    """
+    at = [*key, "y", "x"]
     unit = to_unit(pixels)
-    small = resize(unit, size, proxy, ["r", "g", "b"])
-    done = unpack_frames(run_model(pack_frames(small), model, batch_size=batch_size))
-    delta = oklab_delta(small, done)
-    full = resize(delta, proxy, size, ["d_l", "d_a", "d_b"])
-    return add_delta(unit.join(full, PIXEL)).select(*PIXEL, "r16", "g16", "b16")
+    small = resize(unit, size, proxy, ["r", "g", "b"], key=key)
+    done = unpack_frames(run_model(pack_frames(small, key), model, batch_size=batch_size, key=key), key)
+    delta = oklab_delta(small, done, at)
+    full = resize(delta, proxy, size, ["d_l", "d_a", "d_b"], key=key)
+    return add_delta(unit.join(full, at)).select(*at, "r16", "g16", "b16")

@@ -31,7 +31,12 @@ def encoded(c: np.ndarray) -> np.ndarray:
 
 def oklab(rgb: np.ndarray) -> np.ndarray:
     """(n, 3) sRGB in [0, 1] to rescaled OKLab."""
-    return np.cbrt(np.maximum(linear(rgb) @ _TO_LMS.T, 0)) @ _TO_LAB.T * _SCALE
+    return oklab_of_linear(linear(rgb))
+
+
+def oklab_of_linear(rgb: np.ndarray) -> np.ndarray:
+    """(..., 3) linear light to rescaled OKLab."""
+    return np.cbrt(np.maximum(rgb @ _TO_LMS.T, 0)) @ _TO_LAB.T * _SCALE
 
 
 def srgb(lab: np.ndarray) -> np.ndarray:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import argparse
 import datetime
-import json
 import math
 import re
 import statistics
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -41,33 +41,52 @@ def check_run(samples: int, frames: int, warmup: int) -> None:
         raise ValueError(f"{frames} frames do not outlast {warmup} of warm-up")
 
 
-def _seconds(df: DataFrame) -> float:
+def _seconds(df: DataFrame, limit_s: float | None = None) -> float:
+    """How long a whole read of df takes; its jobs are cancelled at the limit."""
+    context = df.sparkSession.sparkContext
+    tag = f"timed-{time.monotonic_ns()}"
+    over = threading.Event()
+
+    def cancel() -> None:
+        over.set()
+        context.cancelJobsWithTag(tag)
+
+    watch = threading.Timer(limit_s, cancel) if limit_s else None
+    context.addJobTag(tag)
     began = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
+    try:
+        if watch:
+            watch.start()
+        df.write.format("noop").mode("overwrite").save()
+    except Exception as e:
+        if over.is_set():
+            raise TimeoutError(f"a sample took more than {limit_s:g} s") from e
+        raise
+    finally:
+        if watch:
+            watch.cancel()
+        context.removeJobTag(tag)
     return time.perf_counter() - began
 
 
-def time_once(spark: SparkSession, query, sf_dir: str, frames: int, source: str = "events", limit_s: float = 300.0) -> dict[str, float]:
-    """One timed run; reading alone is its decode time and what is left its kernel time."""
-    read = _seconds(spark.read.parquet(f"{sf_dir}/{source}.parquet"))
-    wall = _seconds(query(spark, sf_dir))
-    if wall > limit_s:
-        raise TimeoutError(f"a sample took {wall:.0f} s")
-    ms = 1000.0 / frames
-    work = max(0.0, wall - read)
-    return dict(zip(bench.METRICS, (frames / wall, work * ms, work * ms, wall * ms, read * ms, 0.0), strict=True))
+def time_once(spark: SparkSession, query, sf_dir: str, frames: int, limit_s: float | None = 300.0) -> dict[str, float | None]:
+    """One timed run.  Spark overlaps reading, work and writing, so only the whole is measured; the stages' metrics are null."""
+    wall = _seconds(query(spark, sf_dir), limit_s)
+    return dict.fromkeys(bench.METRICS) | {"steady_state_fps": frames / wall, "wall_ms_per_frame": wall * 1000.0 / frames}
 
 
-def aggregate(values: list[float]) -> dict:
-    """A03 for a handful of values on the driver."""
-    if len(values) < 2 or not all(map(math.isfinite, values)):
+def aggregate(values: list[float | None]) -> dict | None:
+    """A03 for a handful of values on the driver; None for a metric that was not measured."""
+    if values and all(v is None for v in values):
+        return None
+    if len(values) < 2 or not all(v is not None and math.isfinite(v) for v in values):
         raise ValueError("an aggregate needs at least two samples, all finite")
     mean, dev = statistics.fmean(values), statistics.stdev(values)
     half = bench.student_t(len(values) - 1) * dev / math.sqrt(len(values))
     return {"n_samples": len(values), "mean": mean, "stddev": dev, "median": statistics.median(values), "ci95_lo": mean - half, "ci95_hi": mean + half, "raw": values}
 
 
-def run(spark: SparkSession, query_name: str, sf_dir: str, output_dir: str, *, label: str = "", samples: int = 5, warmup: int = 8, proxy: tuple[int, int] = (8, 8)) -> Path:
+def run(spark: SparkSession, query_name: str, sf_dir: str, output_dir: str, *, label: str = "", samples: int = 5, warmup: int = 8, proxy: tuple[int, int] = (8, 8), batch_size: int = 8, limit_s: float = 300.0) -> Path:
     """Timed samples after one untimed run, saved under the usual name."""
     from .catalog import QUERIES
 
@@ -75,20 +94,21 @@ def run(spark: SparkSession, query_name: str, sf_dir: str, output_dir: str, *, l
     check_run(samples, frames, warmup)
     query = QUERIES[query_name]
     _seconds(query(spark, sf_dir))
-    timed = [time_once(spark, query, sf_dir, frames) for _ in range(samples)]
+    timed = [time_once(spark, query, sf_dir, frames, limit_s) for _ in range(samples)]
     sha, dirty = results.git_state()
-    state = results.system_state()
-    doc = {
-        "schema_version": bench.SCHEMA_VERSION,
-        "config": {"label": label, "git_sha": sha, "git_dirty": dirty, "input_path": sf_dir, "total_frames": frames, "frame_w": 8, "frame_h": 8, "proxy_w": proxy[0], "proxy_h": proxy[1], "batch_size": 8, "n_samples": samples, "warmup_frames": warmup, "tensorrt": False, "torch_compile": False, "system_state": state},
-        "throughput": {m: aggregate([t[m] for t in timed]) for m in bench.METRICS},
-        "nvtx_spans": [],
+    config = {
+        "schema_version": bench.SCHEMA_VERSION, "git_sha": sha, "git_dirty": dirty, "label": label, "clip_path": sf_dir, "clip_frames_total": frames, "clip_frames_warmup": warmup,
+        "clip_frames_measured": frames - warmup, "proxy_w": proxy[0], "proxy_h": proxy[1], "full_w": 8, "full_h": 8, "batch_size": batch_size, "tensorrt": False, "torch_compile": False,
+        "n_samples": samples, "system_state": results.system_state(), "pinning_applied": None,
     }
-    name = spark.createDataFrame([(doc["config"],)], "config struct<label:string,git_sha:string>")
+    slots = ("top_ops", "dmon_samples", "dram_throughput_pct", "sm_throughput_pct", "pyspy_flamegraph_path", "torch_trace_path", "nsys_trace_path", "ncu_report_path")
+    throughput = {m: aggregate([t[m] for t in timed]) for m in bench.METRICS}
+    doc = {"schema_version": bench.SCHEMA_VERSION, "config": config, "throughput": throughput, "nvtx_spans": [], **dict.fromkeys(slots)}
+    name = spark.createDataFrame([(config,)], "config struct<label:string,git_sha:string>")
     file_name = results.named(name, F.lit(datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)).cast("timestamp")).first().file_name
     Path(output_dir).mkdir(parents=True, exist_ok=True)
     out = Path(output_dir) / file_name
-    out.write_text(json.dumps(doc, indent=2, allow_nan=False) + "\n")
+    out.write_text(results.document(doc) + "\n")
     return out
 
 
@@ -104,7 +124,8 @@ def compare(spark: SparkSession, base: str, other: str, *, force: bool = False,
     half = both.select(F.col("config.label").alias("run"), F.explode(entries).alias("e")).select("run", "e.*")
     states = both.select(F.col("config.label").alias("run"), "config.system_state.*")
     verdicts = bench.verdicts(bench.compare_runs(samples, *labels), rope)
-    return bench.report(verdicts, half, bench.hardware_diff(states, *labels), *labels, force=force, rope=rope)
+    configs = both.select(F.col("config.label").alias("run"), "config.proxy_w", "config.proxy_h", "config.batch_size", "config.tensorrt", "config.torch_compile", "config.n_samples")
+    return bench.report(verdicts, half, bench.hardware_diff(states, *labels), *labels, force=force, rope=rope, configs=configs)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -118,6 +139,8 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--samples", type=int, default=5)
     r.add_argument("--warmup", type=int, default=8)
     r.add_argument("--proxy", type=proxy_size, default=(8, 8))
+    r.add_argument("--batch-size", type=int, default=8)
+    r.add_argument("--timeout", type=float, default=300.0)
     c = sub.add_parser("compare")
     c.add_argument("baseline")
     c.add_argument("candidate")
@@ -127,7 +150,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("bench").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.what == "run":
-        print(run(spark, a.query, a.sf_dir, a.output_dir, label=a.label, samples=a.samples, warmup=a.warmup, proxy=a.proxy))
+        print(run(spark, a.query, a.sf_dir, a.output_dir, label=a.label, samples=a.samples, warmup=a.warmup, proxy=a.proxy, batch_size=a.batch_size, limit_s=a.timeout))
         return 0
     try:
         text = compare(spark, a.baseline, a.candidate, force=a.force, rope=a.rope)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, media
-from ..operators import bench, diagnostics, lut, protocol, resample, scene, sequence, transfer, transfer_arrow
+from ..operators import bench, diagnostics, lut, packed, protocol, resample, scene, sequence, transfer, transfer_arrow
 from ..sources import frames as frame_files
 from . import fixtures as fx
 
@@ -127,14 +127,50 @@ def _(spark, d):
     return r6(transfer.oklab_delta(unit, model), "d_l", "d_a", "d_b", digits=4)
 
 
-@query("q_grade_identity", f"WITH {fx.FULL_PX} SELECT frame_id, y, x, 0 AS beyond FROM full_px")
+def _axis_sql(name: str, source: int, target: int, convention: str) -> str:
+    """R01-R04 in SQL: name(s, d, w), the weight with which target d reads source s."""
+    if convention == resample.NEAREST:
+        return f"{name} AS (SELECT least({source - 1}, d * {source} // {target})::INT AS s, d::INT AS d, 1.0::DOUBLE AS w FROM range({target}) t(d))"
+    at = f"greatest((d + 0.5::DOUBLE) * {source} / {target} - 0.5::DOUBLE, 0)" if convention == resample.HALF_PIXEL else f"d::DOUBLE * {source - 1} / {max(target - 1, 1)}"
+    low = f"SELECT d::INT AS d, pos, least(floor(pos), {source - 1})::INT AS low FROM (SELECT d, {at} AS pos FROM range({target}) t(d))"
+    return f"{name} AS (SELECT low AS s, d, 1 - (pos - low) AS w FROM ({low}) UNION ALL SELECT least(low + 1, {source - 1}) AS s, d, pos - low AS w FROM ({low}) WHERE pos > low)"
+
+
+def _grade_sql(source: str, size: int, proxy: int, modelled: str, key: str = "frame_id") -> str:
+    """CTEs from ``source`` (key, y, x, r16, g16, b16) to ``graded``: proxy, model, change, back, transfer."""
+    down = ", ".join(f"sum({c}16 / 65535.0::DOUBLE * tx.w * ty.w) AS {c}" for c in "rgb")
+    up = ", ".join(f"sum(d_{c} * ux.w * uy.w) AS d_{c}" for c in "lab")
+    at = f"{key}, y, x"
+    return (
+        f"{_axis_sql('tx', size, proxy, resample.HALF_PIXEL)}, {_axis_sql('ty', size, proxy, resample.HALF_PIXEL)}, {_axis_sql('ux', proxy, size, resample.HALF_PIXEL)}, {_axis_sql('uy', proxy, size, resample.HALF_PIXEL)}, "
+        f"small AS (SELECT {key}, ty.d AS y, tx.d AS x, {down} FROM {source} p JOIN tx ON tx.s = p.x JOIN ty ON ty.s = p.y GROUP BY {key}, ty.d, tx.d), "
+        f"done AS (SELECT {at}, {', '.join(f'{modelled.format(c)} AS {c}' for c in 'rgb')} FROM small), {lab_ctes('small', at, 'before')}, {lab_ctes('done', at, 'after')}, "
+        f"change AS (SELECT {at}, {', '.join(f'b.lab_{c} - a.lab_{c} AS d_{c}' for c in 'lab')} FROM before a JOIN after b USING ({at})), "
+        f"whole AS (SELECT {key}, uy.d AS y, ux.d AS x, {up} FROM change p JOIN ux ON ux.s = p.x JOIN uy ON uy.s = p.y GROUP BY {key}, uy.d, ux.d), "
+        f"unit AS (SELECT {at}, r16 / 65535.0::DOUBLE AS r, g16 / 65535.0::DOUBLE AS g, b16 / 65535.0::DOUBLE AS b FROM {source}), {lab_ctes('unit', at, 'lab')}, "
+        f"moved AS (SELECT {at}, lab_l + d_l AS lab_l, lab_a + d_a AS lab_a, lab_b + d_b AS lab_b FROM lab JOIN whole USING ({at})), {rgb_ctes('moved', at, 'graded')}"
+    )
+
+
+_POWER = "pow(least(greatest({}, 0), 1), 0.8::DOUBLE)"
+
+
+@query("q_grade", f"WITH {fx.TILE_PX}, {_grade_sql('px', 8, 4, _POWER, 'clip_id, frame_id')} SELECT clip_id, frame_id, y, x, {U16} FROM graded")
+def _(spark, d):
+    """Packed frames of two clips graded through a model that changes them, one pass over Arrow batches."""
+    return packed.pixels_of(packed.grade_frames(fx.tile_frames(spark, d), (4, 4), transfer.gamma_model(0.8)))
+
+
+@query("q_grade_rows", f"WITH {fx.FULL_PX}, {_grade_sql('full_px', 8, 4, _POWER)} SELECT frame_id, y, x, {U16} FROM graded")
 def _(spark, d):
-    """The whole path with the identity model: every channel within 128 of the input."""
-    px = fx.full_px(spark, d)
-    graded = transfer.grade(px, (8, 8), (4, 4)).select(*KEY, *[F.col(f"{c}16").alias(f"o{c}") for c in "rgb"])
-    far = px.join(graded, KEY)
-    beyond = sum((F.abs(F.col(f"{c}16") - F.col(f"o{c}")) > 128).cast("int") for c in "rgb")
-    return far.select(*KEY, beyond.alias("beyond"))
+    """Z02 by relational operators over pixel rows, with the same model."""
+    return transfer.grade(fx.full_px(spark, d), (8, 8), (4, 4), transfer.gamma_model(0.8))
+
+
+@query("q_grade_identity", f"WITH {fx.TILE_PX} SELECT * FROM px")
+def _(spark, d):
+    """With the identity model nothing changes, whatever the proxy's size."""
+    return packed.pixels_of(packed.grade_frames(fx.tile_frames(spark, d), 5))
 
 
 _LINE = (
@@ -190,14 +226,9 @@ def _(spark, d):
 # ---- resampling -------------------------------------------------------------
 
 
-def _taps_sql(source: int, target: int, convention: str, name: str) -> str:
-    rows = [f"({i}, {d}, {w!r}::DOUBLE)" for i, pairs in enumerate(resample.taps(source, target, convention)) for d, w in pairs]
-    return f"{name}(s, d, w) AS (VALUES {', '.join(rows)})"
-
-
 def _resize_sql(size: int, convention: str, source: str, value: str, digits: int = 6) -> str:
     s = f"round(sum({value} * tx.w * ty.w), {digits}) + 0.0"
-    return f"{_taps_sql(8, size, convention, 'tx')}, {_taps_sql(8, size, convention, 'ty')} SELECT frame_id, ty.d AS y, tx.d AS x, {s} AS {value} FROM {source} p JOIN tx ON tx.s = p.x JOIN ty ON ty.s = p.y GROUP BY frame_id, ty.d, tx.d"
+    return f"{_axis_sql('tx', 8, size, convention)}, {_axis_sql('ty', 8, size, convention)} SELECT frame_id, ty.d AS y, tx.d AS x, {s} AS {value} FROM {source} p JOIN tx ON tx.s = p.x JOIN ty ON ty.s = p.y GROUP BY frame_id, ty.d, tx.d"
 
 
 for _name, _size, _convention in (("q_resize_half_pixel", 5, resample.HALF_PIXEL), ("q_upscale_half_pixel", 13, resample.HALF_PIXEL), ("q_resize_corner_aligned", 5, resample.CORNERS), ("q_resize_nearest", 5, resample.NEAREST)):
@@ -214,7 +245,7 @@ def _(spark, d):
 
 @query(
     "q_resize_rgb8",
-    f"WITH {fx.SCENE_PX}, f AS (SELECT * FROM scene_px WHERE frame_id < (SELECT (max(event_id) + 1) // 64 FROM events)), {_taps_sql(8, 5, resample.CORNERS, 'tx')}, {_taps_sql(8, 5, resample.CORNERS, 'ty')} "
+    f"WITH {fx.SCENE_PX}, f AS (SELECT * FROM scene_px WHERE frame_id < (SELECT (max(event_id) + 1) // 64 FROM events)), {_axis_sql('tx', 8, 5, resample.CORNERS)}, {_axis_sql('ty', 8, 5, resample.CORNERS)} "
     "SELECT frame_id, ty.d AS y, tx.d AS x, " + ", ".join(f"least(greatest(round(round(sum({c} * tx.w * ty.w), 9)), 0), 255)::INT AS {c}" for c in "rgb") + " FROM f JOIN tx ON tx.s = f.x JOIN ty ON ty.s = f.y GROUP BY frame_id, ty.d, tx.d",
 )
 def _(spark, d):
@@ -518,7 +549,15 @@ def _(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("digest"))
 
 
-@query("q_crc32")
+# bytes from the text's hex, and the polynomial's table from eight single steps
+_CRC = """WITH RECURSIVE t(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS steps FROM t WHERE k = 8),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) AS crc,
+  (1 + coalesce(list_sum(b), 0)::BIGINT) % 65521 + 65536 * ((len(b) + coalesce(list_sum(list_transform(b, lambda x, i: x * (len(b) - i + 1))), 0)::BIGINT) % 65521) AS adler FROM bytes, crc_table"""
+
+
+@query("q_crc32", _CRC)
 def _(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.crc32(F.encode("text", "utf-8")).alias("crc"), protocol.adler32(F.encode("text", "utf-8")).alias("adler"))
 
@@ -602,16 +641,23 @@ def _(spark, d):
 def _messages(spark, d) -> DataFrame:
     e = F.col("event_id")
     pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (e % len(xs) + 1).cast("int"))
-    req = F.concat(F.lit('{"type":"'), pick(*protocol.RESPONSES), F.lit('","id":"r'), e.cast("string"), F.lit('"}'))
-    res = F.concat(F.lit('{"type":"'), pick(*protocol.RESPONSES.values()), F.lit('","message":"m"}'))
+    known = {k: v for k, v in protocol.RESPONSES.items() if v}
+    req = F.concat(F.lit('{"type":"'), pick(*known), F.lit('","id":"r'), e.cast("string"), F.lit('"}'))
+    res = F.concat(F.lit('{"type":"'), pick(*known.values()), F.lit('","message":"m"}'))
     res = F.when(e % 13 == 0, F.lit('{"type":"error","message":"bad"}')).when(e % 17 == 0, F.lit("")).when(e % 19 == 0, F.lit('{"type":"odd"}')).otherwise(res)
-    req = F.when(e % 23 == 0, F.lit('{"type":"what"}')).otherwise(req)
+    req = F.when(e % 23 == 0, F.lit('{"type":"what"}')).when(e % 29 == 0, F.lit('{"type":"shutdown"}')).when(e % 31 == 0, F.lit('{"type":"load_yolo_seg","model_path":"m"}')).otherwise(req)
     return fx.table(spark, d, "events").select(e.alias("msg_id"), req.alias("request"), res.alias("response"))
 
 
-@query("q_protocol_dispatch", "SELECT event_id AS msg_id, CASE WHEN event_id % 13 = 0 THEN 'error' WHEN event_id % 17 = 0 THEN 'crashed' WHEN event_id % 23 = 0 THEN 'unknown' WHEN event_id % 19 = 0 THEN 'unexpected' ELSE 'ok' END AS outcome FROM events")
+_OUTCOME = (
+    "CASE WHEN event_id % 23 <> 0 AND event_id % 29 = 0 THEN CASE WHEN event_id % 13 <> 0 AND event_id % 17 = 0 THEN 'ok' ELSE 'unexpected' END WHEN event_id % 13 = 0 THEN 'error' WHEN event_id % 17 = 0 THEN 'crashed' "
+    "WHEN event_id % 23 = 0 THEN 'unknown' WHEN event_id % 31 = 0 OR event_id % 12 = 8 THEN 'ok' WHEN event_id % 19 = 0 THEN 'unexpected' ELSE 'ok' END"
+)
+
+
+@query("q_protocol_dispatch", f"SELECT msg_id, outcome, CASE WHEN outcome = 'error' THEN 'ServerError' WHEN outcome <> 'ok' THEN 'Ipc' END AS error_kind FROM (SELECT event_id AS msg_id, {_OUTCOME} AS outcome FROM events)")
 def _(spark, d):
-    return protocol.dispatch(_messages(spark, d)).select("msg_id", "outcome")
+    return protocol.dispatch(_messages(spark, d)).select("msg_id", "outcome", "error_kind")
 
 
 @query("q_protocol_correlate", "SELECT event_id AS msg_id, i AS place, 'x' || i AS id, (event_id + i) % 5 = 0 AS missing, CASE WHEN (event_id + i) % 5 <> 0 THEN event_id + i END AS out_v FROM events, (SELECT unnest([0, 1, 2])::INT AS i)")

@@ -77,6 +77,26 @@ TILE = """tile AS (
 )"""
 
 
+def tile_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed 16-bit 8 x 8 frames out of embeddings, one a row: clip_id (two clips), frame_id, width, height, pixels."""
+    from ..operators.protocol import u16_bytes
+
+    v = lambda i: F.element_at("embedding", i).cast("double")
+    value = lambda i, k: (F.floor(F.abs(v(i)) * k).cast("long") % 65536).cast("int")
+    px16 = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.array(value(i, 400000.0), value(65 - i, 300000.0), value((i * 7) % 64 + 1, 200000.0)))
+    clip = F.concat(F.lit("clip"), (F.col("vec_id") % 2).cast("string"))
+    rows = table(spark, sf_dir, "embeddings").select(clip.alias("clip_id"), F.expr("vec_id div 2").alias("frame_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.flatten(px16).alias("v"))
+    return rows.select("clip_id", "frame_id", "width", "height", u16_bytes("v").alias("pixels"))
+
+
+TILE_PX = """px AS (
+  SELECT 'clip' || (vec_id % 2) AS clip_id, vec_id // 2 AS frame_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x,
+    (floor(abs(embedding[i]::DOUBLE) * 400000)::BIGINT % 65536)::INT AS r16, (floor(abs(embedding[65 - i]::DOUBLE) * 300000)::BIGINT % 65536)::INT AS g16,
+    (floor(abs(embedding[(i * 7) % 64 + 1]::DOUBLE) * 200000)::BIGINT % 65536)::INT AS b16
+  FROM embeddings, (SELECT unnest(range(1, 65)) AS i)
+)"""
+
+
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles spread over [0, 1], rounded so that both engines hold the same numbers."""
     from pyspark.sql import Window

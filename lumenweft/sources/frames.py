@@ -2,18 +2,23 @@
 
 A file holds frames of w * h pixels, 3 bytes each (rgb24) or 6 (rgb48, little
 endian).  The reader plans ranges of frames as partitions, so one large file is
-read by many tasks; a short last frame is dropped.  The sink writes one file per
-task under a temporary name and the driver's commit renames them, so an aborted
-write leaves nothing behind.  Paths must be visible to all executors.
+read by many tasks, and hands over Arrow batches of bounded size; a short last
+frame is dropped.  The sink writes a file for each task and clip, named by the
+clip and its first frame, under a temporary name that the driver's commit
+renames, so an aborted write leaves nothing behind, a repeated task replaces its
+own file and the files of a clip sort in frame order.  Paths are plain ones that
+all executors see, or URIs of a store (hdfs, s3, gs) that pyarrow opens.
 """
 
 from __future__ import annotations
 
-import os
+import posixpath
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -21,6 +26,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..operators import sequence
 
 SCHEMA = "clip_id string, frame_id long, width int, height int, pixels binary"
+ARROW_SCHEMA = pa.schema([("clip_id", pa.string()), ("frame_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
+#: Bytes of frames in one batch on its way; a larger frame goes alone.
+BATCH_BYTES = 32 << 20
 
 
 @dataclass
@@ -32,7 +40,7 @@ class FrameRange(InputPartition):
 
 class _Layout:
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.given = options["path"]
         self.width, self.height = int(options["width"]), int(options["height"])
         self.pixel = int(options.get("bytes_per_pixel", "3"))
         self.step = int(options.get("frames_per_partition", "64"))
@@ -40,50 +48,74 @@ class _Layout:
             raise ValueError("width, height and 3 or 6 bytes_per_pixel are needed")
         self.size = self.width * self.height * self.pixel
 
-    def files(self) -> list[str]:
-        if os.path.isdir(self.path):
-            return [f"{self.path}/{f}" for f in sorted(os.listdir(self.path)) if f.endswith(".raw")]
-        return [self.path]
-
-    def read(self, part: FrameRange) -> Iterator[tuple]:
-        clip = os.path.basename(part.path).removesuffix(".raw")
-        with open(part.path, "rb") as file:
-            file.seek(part.first * self.size)
-            for index in range(part.first, part.last):
-                data = file.read(self.size)
-                if len(data) < self.size:
-                    return  # the file ends within a frame
-                yield clip, index, self.width, self.height, data
+    def store(self) -> tuple[fs.FileSystem, str]:
+        """The file system and the path within it; opened where it is used, since it does not travel."""
+        if "://" in self.given:
+            return fs.FileSystem.from_uri(self.given)
+        return fs.LocalFileSystem(), self.given.removeprefix("file:")
+
+    def files(self) -> list[fs.FileInfo]:
+        store, path = self.store()
+        info = store.get_file_info(path)
+        if info.type == fs.FileType.Directory:
+            inside = store.get_file_info(fs.FileSelector(path))
+            return sorted((f for f in inside if f.is_file and f.path.endswith(".raw") and not f.base_name.startswith(".")), key=lambda f: f.path)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.given)
+        return [info]
+
+    def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
+        clip, _, first = posixpath.basename(part.path).removesuffix(".raw").rpartition("@")
+        base = int(first) if clip and first.isdigit() else 0
+        clip = clip if clip and first.isdigit() else posixpath.basename(part.path).removesuffix(".raw")
+        many = max(1, BATCH_BYTES // self.size)
+        with self.store()[0].open_input_file(part.path) as file:
+            for at in range(part.first, part.last, many):
+                data = [file.read_at(self.size, k * self.size) for k in range(at, min(part.last, at + many))]
+                data = [d for d in data if len(d) == self.size]  # the file may end within a frame
+                n = len(data)
+                if n:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([clip] * n), pa.array(range(base + at, base + at + n), pa.int64()), pa.array([self.width] * n, pa.int32()), pa.array([self.height] * n, pa.int32()), pa.array(data, pa.binary())],
+                        schema=ARROW_SCHEMA,
+                    )
 
 
 class _Reader(_Layout, DataSourceReader):
     def partitions(self):
         out = []
-        for path in self.files():
-            n = os.path.getsize(path) // self.size
-            out += [FrameRange(path, at, min(n, at + self.step)) for at in range(0, n, self.step)]
+        for f in self.files():
+            n = f.size // self.size
+            out += [FrameRange(f.path, at, min(n, at + self.step)) for at in range(0, n, self.step)]
         return out
 
 
 class _StreamReader(_Layout, DataSourceStreamReader):
-    """One file as a stream; a trigger takes at most ``frames_per_trigger`` frames."""
+    """One file as a stream.
+
+    A new reader, at the start as after a restart, is not told how far the
+    stream came: its first batch offers all that the file holds, in tasks of
+    ``frames_per_partition``, which never lies before the last committed frame.
+    What arrives later is taken ``frames_per_trigger`` frames at a time.
+    """
 
     def __init__(self, options: dict):
         super().__init__(options)
         self.most = int(options.get("frames_per_trigger", "16"))
-        self.seen = 0
+        self.seen: int | None = None
 
     def initialOffset(self) -> dict:
         return {"frame": 0}
 
     def latestOffset(self) -> dict:
-        n = os.path.getsize(self.path) // self.size
-        self.seen = min(n, self.seen + self.most)
-        return {"frame": self.seen}
+        (info,) = self.files()
+        n = info.size // self.size
+        return {"frame": n if self.seen is None else max(self.seen, min(n, self.seen + self.most))}
 
     def partitions(self, start: dict, end: dict):
-        self.seen = max(self.seen, end["frame"])
-        return [FrameRange(self.path, at, min(end["frame"], at + self.step)) for at in range(start["frame"], end["frame"], self.step)]
+        self.seen = end["frame"]
+        path = self.store()[1]
+        return [FrameRange(path, at, min(end["frame"], at + self.step)) for at in range(start["frame"], end["frame"], self.step)]
 
     def commit(self, end: dict) -> None:
         return None
@@ -91,32 +123,45 @@ class _StreamReader(_Layout, DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    temporary: str
-    final: str
+    files: list[tuple[str, str]] = field(default_factory=list)
 
 
 class _Writer(_Layout, DataSourceWriter):
     def write(self, rows) -> Written:
-        os.makedirs(self.path, exist_ok=True)
-        name = uuid.uuid4().hex
-        done = Written(f"{self.path}/.{name}.tmp", f"{self.path}/{name}.raw")
-        with open(done.temporary, "wb") as file:
+        store, path = self.store()
+        store.create_dir(path, recursive=True)
+        done, out, clip = Written(), None, None
+        try:
             for row in rows:  # in the order given: sort within partitions before writing
                 if len(row.pixels) != self.size:
-                    os.unlink(done.temporary)
                     raise ValueError(f"frame {row.frame_id} has {len(row.pixels)} bytes, not {self.size}")
-                file.write(row.pixels)
+                if out is None or row.clip_id != clip:
+                    if out is not None:
+                        out.close()
+                    clip = row.clip_id
+                    temporary = f"{path}/.{uuid.uuid4().hex}.tmp"
+                    done.files.append((temporary, f"{path}/{clip or 'clip'}@{row.frame_id:012d}.raw"))
+                    out = store.open_output_stream(temporary)
+                out.write(row.pixels)
+        except BaseException:
+            if out is not None:
+                out.close()
+            self.abort([done])
+            raise
+        if out is not None:
+            out.close()
         return done
 
     def commit(self, messages) -> None:
-        for m in messages:
-            if m is not None:
-                os.replace(m.temporary, m.final)
+        store = self.store()[0]
+        for temporary, final in (f for m in messages if m is not None for f in m.files):
+            store.move(temporary, final)
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.temporary):
-                os.unlink(m.temporary)
+        store = self.store()[0]
+        for temporary, _ in (f for m in messages if m is not None for f in m.files):
+            if store.get_file_info(temporary).is_file:
+                store.delete_file(temporary)
 
 
 class RawFrames(DataSource):
@@ -149,6 +194,12 @@ def read_frames(spark: SparkSession, path: str, width: int, height: int, bytes_p
     return spark.read.format("raw_frames").options(path=path, width=width, height=height, bytes_per_pixel=bytes_per_pixel).load()
 
 
+def write_frames(frames: DataFrame, path: str, width: int, height: int, bytes_per_pixel: int = 6) -> None:
+    """Frames in the order of their partitions, such as they are read and graded."""
+    register(frames.sparkSession)
+    frames.select("clip_id", "frame_id", "width", "height", "pixels").write.format("raw_frames").options(path=path, width=width, height=height, bytes_per_pixel=bytes_per_pixel).mode("append").save()
+
+
 def frame_at(frames: DataFrame, seconds: float, fps: float) -> DataFrame:
     """Of each clip the first frame at or after the moment (to the millisecond)."""
     wanted = round(seconds, 3) * fps

@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import time
 
 import numpy as np
 import pytest
@@ -187,30 +188,126 @@ def test_raw_frames(spark, tmp_path):
         frames.check_sizes(df, 6).collect()
 
 
-def test_raw_frame_stream(spark, tmp_path):
-    (tmp_path / "c.raw").write_bytes(bytes(range(240)) * 1)
+def test_raw_frame_stream_restarts(spark, tmp_path):
     frames.register(spark)
-    stream = spark.readStream.format("raw_frames").options(path=str(tmp_path / "c.raw"), width=4, height=2, frames_per_trigger=3).load()
-    q = stream.writeStream.format("memory").queryName("raw_stream").option("checkpointLocation", str(tmp_path / "s")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.frame_id for r in spark.table("raw_stream").collect()) == list(range(10))
+    done = 0
+    for _ in range(2):  # the file grows, also while the stream runs, and the stream begins anew from its checkpoint
+        grow = lambda: open(tmp_path / "c.raw", "ab").write(bytes(range(240)))
+        grow()
+        stream = spark.readStream.format("raw_frames").options(path=str(tmp_path / "c.raw"), width=4, height=2, frames_per_trigger=3).load()
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "s")).start(str(tmp_path / "out"))
+        q.processAllAvailable()
+        first = q.lastProgress.batchId
+        grow()
+        q.processAllAvailable()
+        assert q.lastProgress.batchId >= first + 4  # ten frames, three at a time
+        q.stop()
+        done += 20
+        assert sorted(r.frame_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(done))
+
+
+def test_offsets_of_a_new_reader_never_go_back(tmp_path):
+    (tmp_path / "c.raw").write_bytes(bytes(24 * 100))
+    reader = frames._StreamReader({"path": str(tmp_path / "c.raw"), "width": "4", "height": "2", "frames_per_trigger": "16"})
+    assert reader.initialOffset() == {"frame": 0} and reader.latestOffset() == {"frame": 100}
+    reader.partitions({"frame": 0}, {"frame": 40})
+    assert reader.latestOffset() == reader.latestOffset() == {"frame": 56}
+
+
+def test_folder_of_clips(spark, tmp_path):
+    for name, n in (("b", 5), ("a", 3)):
+        (tmp_path / f"{name}.raw").write_bytes(bytes([n]) * 24 * n)
+    read = frames.read_frames(spark, str(tmp_path), 4, 2)
+    assert sorted((r.clip_id, r.frame_id) for r in read.collect()) == [("a", i) for i in range(3)] + [("b", i) for i in range(5)]
+    frames.write_frames(read, str(tmp_path / "out"), 4, 2, 3)
+    again = frames.read_frames(spark, str(tmp_path / "out"), 4, 2)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, read.collect()))
+    with pytest.raises(Exception, match="none.raw"):
+        frames.read_frames(spark, str(tmp_path / "none.raw"), 4, 2).collect()
+
+
+@pytest.mark.parametrize("engine", ["arrow", "sql"])
+def test_grading_job(spark, tmp_path, engine):
+    """Two clips of a folder, a proxy smaller than they are and a model that changes them."""
+    from lumenweft.operators import packed, transfer
 
-
-def test_grading_job(spark, tmp_path):
     rng = np.random.default_rng(2)
-    raw = rng.integers(0, 65536, (3, 4, 6, 3)).astype("<u2")
+    clips = {c: rng.integers(0, 65536, (3, 4, 6, 3)).astype("<u2") for c in "pq"}
+    (tmp_path / "in").mkdir()
+    for c, raw in clips.items():
+        (tmp_path / "in" / f"{c}.raw").write_bytes(raw.tobytes())
+    clip, model = plans.Clip(str(tmp_path / "in"), 6, 4, 6), transfer.gamma_model(0.7)
+    assert plans.run(spark, clip, results.Options(proxy_size=3), model, str(tmp_path / "out"), engine=engine) == 6
+    back = {(r.clip_id, r.frame_id): np.frombuffer(bytes(r.pixels), "<u2").reshape(4, 6, 3) for r in frames.read_frames(spark, str(tmp_path / "out"), 6, 4, 6).collect()}
+    assert set(back) == {(c, i) for c in "pq" for i in range(3)}
+    for (c, i), got in back.items():
+        want = packed.grade_stack(clips[c][i][None], (3, 2), model)[0]
+        assert np.abs(got.astype(int) - want.astype(int)).max() <= 1
+        assert np.abs(got.astype(int) - clips[c][i].astype(int)).max() > 2000
+
+
+def test_grading_job_reports_missing_frames(spark, tmp_path):
+    raw = np.random.default_rng(2).integers(0, 256, (3, 4, 6, 3)).astype(np.uint8)
     (tmp_path / "in.raw").write_bytes(raw.tobytes())
-    clip = plans.Clip(str(tmp_path / "in.raw"), 6, 4, 6)
-    assert plans.run(spark, clip, results.Options(proxy_size=6), output=str(tmp_path / "out")) == 3
-    back = frames.read_frames(spark, str(tmp_path / "out"), 6, 4, 6).collect()
-    got = sorted(np.frombuffer(bytes(r.pixels), "<u2").tolist() for r in back)
-    want = sorted(f.ravel().tolist() for f in raw)
-    assert np.abs(np.array(got) - np.array(want)).max() <= 1
+    clip = plans.Clip(str(tmp_path / "in.raw"), 6, 4, 3)
+    with pytest.warns(UserWarning, match="3 frames written, 5 expected"):
+        assert plans.run(spark, clip, results.Options(proxy_size=3), output=str(tmp_path / "out"), frame_count=5) == 3
+    back = frames.read_frames(spark, str(tmp_path / "out"), 6, 4, 6).orderBy("frame_id").collect()
+    got = np.stack([np.frombuffer(bytes(r.pixels), "<u2") for r in back])
+    assert np.abs(got - raw.reshape(3, -1).astype(int) * 257).max() <= 128
     what = plans.plan(plans.Clip("/v/clip.mp4", 3840, 2160, codec="hevc", bits=10), results.Options())
     assert what == {"encoding": "dlog-m", "codec": "prores", "encoder": "prores_ks", "proxy": (1440, 810), "output": "/v/clip_graded.mov"}
 
 
+def test_packed_grading_needs_no_shuffle(spark, tmp_path):
+    from lumenweft.operators import packed
+
+    (tmp_path / "c.raw").write_bytes(bytes(6 * 4 * 6))
+    plan = packed.grade_frames(frames.read_frames(spark, str(tmp_path / "c.raw"), 6, 4, 6), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+# Frame goldens of the grading path
+@pytest.mark.parametrize("value,shape,proxy,low,high", [(32768, (16, 16), (8, 8), 32640, 32896), (60000, (16, 16), (8, 8), 50001, 65535), (32896, (16, 16), (8, 8), 32768, 33024), (0, (8, 8), (4, 4), 0, 128), (65535, (8, 8), (4, 4), 65000, 65535)])
+def test_constant_frames(value, shape, proxy, low, high):
+    from lumenweft.operators import packed
+
+    got = packed.grade_stack(np.full((1, *shape, 3), value, np.uint16), proxy)
+    assert got.shape == (1, *shape, 3) and got.dtype == np.uint16 and low <= got.min() <= got.max() <= high
+
+
+def test_strips_and_stacks_do_not_matter(monkeypatch):
+    from lumenweft.operators import packed, transfer
+
+    rng = np.random.default_rng(5)
+    frames_ = rng.integers(0, 65536, (3, 31, 17, 3)).astype(np.uint16)
+    model = transfer.gamma_model(0.6)
+    whole = packed.grade_stack(frames_, (9, 13), model)
+    monkeypatch.setattr(packed, "PIXELS", 40)
+    assert (packed.grade_stack(frames_, (9, 13), model, batch_size=2) == whole).all()
+    assert (np.concatenate([packed.grade_stack(f[None], (9, 13), model) for f in frames_]) == whole).all()
+
+
+def test_model_of_another_size_is_brought_back():
+    from lumenweft.operators import packed
+
+    f = np.full((1, 6, 8, 3), 30000, np.uint16)
+    got = packed.grade_stack(f, (4, 3), lambda x: np.repeat(np.repeat(x, 2, 2), 2, 3))
+    assert np.abs(got.astype(int) - 30000).max() <= 128
+
+
+def test_weights_and_models_are_required(tmp_path):
+    with pytest.raises(ValueError, match="weights required"):
+        results.require_model(results.Options())
+    with pytest.raises(ValueError, match="models_dir required"):
+        results.require_model(results.Options(weights="w"))
+    (tmp_path / "models").mkdir()
+    name, build = results.require_model(results.Options(weights="w", models_dir=str(tmp_path / "models")))
+    assert name.endswith("models:w")
+    with pytest.raises(NotImplementedError):
+        build()
+
+
 def test_config(tmp_path):
     (tmp_path / "lumenweft.toml").write_text("[grade]\nbatch_size = 4\nunknown = 1\n")
     assert results.load_config({}, str(tmp_path)) == {"grade": {"batch_size": 4, "unknown": 1}}
@@ -231,31 +328,72 @@ def test_config(tmp_path):
         results.check_input(str(tmp_path / "none.mov"))
 
 
-def document(label="x", version=2, value=1.0):
+# A result document of schema version 2 with every field
+def document(label="x", version=2, value=1.0, **config):
     agg = {"n_samples": 2, "mean": value, "stddev": 0.1, "median": 1.0, "ci95_lo": 0.5, "ci95_hi": 1.5, "raw": [1.0, 1.2]}
-    return {"schema_version": version, "config": {"label": label, "git_sha": "abc", "system_state": {"gpu_name": "g", "trt_version": None}}, "throughput": {m: agg for m in bench.METRICS}, "nvtx_spans": []}
+    state = {
+        "kernel_version": "6.17.0", "cpu_governor": "performance", "cpu_turbo_enabled": False, "thp_enabled": "madvise", "swappiness": 10, "gpu_name": "g", "gpu_compute_cap": "8.6",
+        "driver_version": "550.54.14", "cuda_version": "12.4", "gpu_clock_graphics_mhz": 1777, "gpu_clock_memory_mhz": 7501, "gpu_clock_graphics_max_mhz": 2100, "gpu_clock_memory_max_mhz": 7501,
+        "gpu_power_limit_w": 170, "gpu_persistence_mode": True, "gpu_ecc_enabled": False, "pcie_link_gen_current": 3, "pcie_link_width_current": 16, "pcie_link_gen_max": 4, "pcie_link_width_max": 16,
+        "pcie_health_gbps": 11.8, "in_container": False, "python_version": "3.13.0", "torch_version": "2.7.0", "trt_version": None,
+    }
+    pinning = {"gpu_clocks_locked": True, "gpu_mem_clocks_locked": True, "persistence_mode": True, "cpu_governor_set": None, "page_caches_dropped": True, "clip_prewarmed": True}
+    run = {
+        "schema_version": 2, "git_sha": "abc", "git_dirty": False, "label": label, "clip_path": "c.mp4", "clip_frames_total": 30, "clip_frames_warmup": 8, "clip_frames_measured": 22, "proxy_w": 1440, "proxy_h": 810,
+        "full_w": 3840, "full_h": 2160, "batch_size": 4, "tensorrt": True, "torch_compile": False, "n_samples": 2, "system_state": state, "pinning_applied": pinning,
+    }
+    slots = {"top_ops": None, "dmon_samples": None, "dram_throughput_pct": None, "sm_throughput_pct": agg, "pyspy_flamegraph_path": None, "torch_trace_path": "t", "nsys_trace_path": None, "ncu_report_path": None}
+    spans = [{"name": "upload", "count_per_sample": agg, "p50_ms": agg, "p95_ms": agg, "total_ms": agg}]
+    return {"schema_version": version, "config": run | config, "throughput": {m: agg for m in bench.METRICS}, "nvtx_spans": spans, **slots}
 
 
 def test_results(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(document(), indent=2))
     docs = results.read_results(spark, str(tmp_path / "a.json"))
-    assert docs.first().config.system_state.gpu_name == "g"
+    assert docs.first().asDict(recursive=True) == document()
     assert results.long_metrics(docs).count() == 12
     at = F.to_timestamp(F.lit("2026-01-02 03:04:05"))
     assert results.named(docs, at).first().file_name == "2026-01-02T03-04-05Z_abc_x.json"
     results.write_results(docs, str(tmp_path / "out"))
     assert results.read_results(spark, str(tmp_path / "out")).first() == docs.first()
+    (written,) = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".json"]
+    assert json.loads(written.read_text()) == document()
+    assert json.loads(results.document(document())) == document() and "\n  " in results.document(document())
     for wrong in (document(version=999), {k: v for k, v in document().items() if k != "schema_version"}):
         (tmp_path / "b.json").write_text(json.dumps(wrong))
         with pytest.raises(Exception, match="result of version"):
             results.read_results(spark, str(tmp_path / "b.json")).collect()
-    bad = docs.withColumn("throughput", F.col("throughput").withField("steady_state_fps.mean", F.lit(float("nan"))))
-    with pytest.raises(Exception, match="NaN"):
-        results.write_results(bad, str(tmp_path / "nan"))
+    for bad in ({"mean": float("nan")}, {"raw": [1.0, float("inf")]}):
+        (name, value) = next(iter(bad.items()))
+        held = F.lit(value) if name == "mean" else F.array(*map(F.lit, value))
+        broken = docs.withColumn("throughput", F.col("throughput").withField(f"steady_state_fps.{name}", held))
+        with pytest.raises(Exception, match="NaN"):
+            results.write_results(broken, str(tmp_path / "nan"))
+
+
+def test_documents_compare(spark, tmp_path):
+    from lumenweft.plans import bench_cli
+
+    (tmp_path / "a.json").write_text(json.dumps(document("base")))
+    (tmp_path / "b.json").write_text(json.dumps(document("new", batch_size=8, n_samples=5, proxy_w=960, proxy_h=540, tensorrt=False)))
+    text = bench_cli.compare(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"))
+    for line in ("# Benchmark: base vs new", "- tensorrt: True → False", "- proxy: 1440x810 → 960x540", "- batch_size: 4 → 8", "- samples: 2 vs 5 (different N)", "## Interpretation"):
+        assert line in text
+
+
+def test_a_timed_run_is_cancelled_at_its_limit(spark):
+    from lumenweft.plans import bench_cli
+
+    began = time.perf_counter()
+    with pytest.raises(TimeoutError):
+        bench_cli._seconds(spark.range(0, 10**13, numPartitions=4).selectExpr("sum(sin(id))"), 2.0)
+    assert time.perf_counter() - began < 15
 
 
 def test_state(spark):
-    assert results.system_state_frame(spark).count() == 1
+    state = results.system_state_frame(spark, probe=False)
+    assert state.count() == 1 and len(state.columns) == 25
+    assert results.copy_bandwidth(1, 1) > 0
     sha, dirty = results.git_state("/")
     assert sha == "unknown" and dirty is False
 
@@ -287,7 +425,7 @@ def test_timed_runs_and_their_comparison(spark, tmp_path):
     paths = [bench_cli.run(spark, "q_to_8bit", "/root/testdata/sf0.001", str(tmp_path), label=f"run {k}", samples=2) for k in range(2)]
     assert paths[0].name.endswith("_run_0.json")
     text = bench_cli.compare(spark, *map(str, paths))
-    assert "run 0" in text and text.count("\n|") == 8
+    assert "run 0" in text and text.count("\n|") == 4  # the two metrics that a run measures
     assert bench_cli.proxy_size("960x540 and more") == (960, 540)
     for bad in ((1, 30, 8), (5, 8, 8)):
         with pytest.raises(ValueError):
@@ -297,7 +435,9 @@ def test_timed_runs_and_their_comparison(spark, tmp_path):
 def test_service_options():
     o = protocol.ServiceOptions(depth_model="d", skip_depth=True)
     assert "--no-depth" in o.arguments() and "--depth-model" not in o.arguments()
-    assert protocol.ServiceOptions(weights="w", depth_model="d").arguments()[3:] == ["--weights", "w", "--depth-model", "d"]
+    # The flags of the service
+    assert protocol.ServiceOptions(weights="w", depth_model="d").arguments()[3:] == ["--raune-weights", "w", "--depth-model", "d"]
+    assert protocol.ServiceOptions(skip_enhance=True, weights="w", models_dir="m", device="cpu", maxine=True).arguments()[3:] == ["--no-raune", "--raune-models-dir", "m", "--device", "cpu", "--maxine", "--maxine-upscale-factor", "2"]
 
 
 def test_environment_numbers():
