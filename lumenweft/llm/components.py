@@ -2,8 +2,8 @@
 
 Edges live in tables only.  A star step needs the least neighbour of every
 node, an aggregate that combines before its shuffle, and a join that adaptive
-execution may split where one node has very many edges.  Lineage is cut through
-the shared checkpoint folder once a round; O(log^2 n) rounds suffice.
+execution may split where one node has very many edges.  Each round is written
+to the shared folder and the one before is deleted; O(log^2 n) rounds suffice.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import dropped, stored
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -37,10 +37,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the least node that it reaches) for each node with an edge to another."""
     u, v = F.col(a), F.col(b)
     now = edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
-    now = checkpointed(now)
+    now = stored(now)
     seen = _fingerprint(now)
     while seen[0]:
-        now = checkpointed(_small_star(_large_star(now)))
+        before, now = now, stored(_small_star(_large_star(now)))
+        dropped(before)
         after = _fingerprint(now)
         if after == seen:
             break

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import dropped, stored, table
 from .components import components
 from .decontaminate import words_of
 from .metric_join import _forest
@@ -228,9 +228,9 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, weights, threshold: float) -> DataFrame:
-    """Of the pairs (a, b: nodes) those whose texts are similar enough."""
+    """Of the pairs (a, b: nodes) those whose texts are similar enough; a stored table."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = checkpointed(_texts(docs, classes, wanted))
+    texts = stored(_texts(docs, classes, wanted))
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
     salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
@@ -254,7 +254,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, weights, th
                 keep.append(similarity(weighed, known(tb.as_py())) >= threshold)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    edges = stored(both.mapInArrow(run, "a long, b long"))
+    dropped(texts)
+    return edges
 
 
 def packed(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -299,12 +301,12 @@ def similarities(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _open_again(banded: DataFrame, linked: DataFrame, docs: DataFrame, classes: DataFrame, weights, threshold: float) -> DataFrame:
-    """Edges (a, b), a spanning forest in each block, between members of unlike components of one bucket."""
+    """Edges (a, b), a spanning forest in each block, between members of unlike components of one bucket; a stored table."""
     labelled = banded.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     # two members were compared already; of buckets with the same members one is enough
     buckets = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("first"))
     mixed = buckets.where("m > 2 AND lo < hi").groupBy("m", "x", "first").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    rest = checkpointed(labelled.join(mixed, "key"))
+    rest = stored(labelled.join(mixed, "key"))
     texts = _texts(docs, classes, rest.select("node").distinct())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,37 +334,42 @@ def _open_again(banded: DataFrame, linked: DataFrame, docs: DataFrame, classes:
         return pa.table({"a": nodes[label[on]], "b": nodes[on]})
 
     compared = spread.select("key", "i", "j", "k", "node", "c", "set")
-    return compared.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    edges = stored(compared.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+    dropped(rest)
+    return edges
 
 
 def _texts_judged(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id and digest of each text of a doc_id, class_id (least doc_id of the texts near it) and whether the row stays."""
+    """doc_id and digest of each text of a doc_id, class_id (least doc_id of the texts near it) and whether the row stays; a stored table."""
     counts, documents = df_counts(docs)
     weights = docs.sparkSession.sparkContext.broadcast(df_weights(counts, documents))
-    sketches = checkpointed(_sketches(docs, weights))
+    sketches = stored(_sketches(docs, weights))
     # a text is a node, numbered in the order of its least doc_id and its digest
-    classes = sketches.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    classes = checkpointed(classes.repartitionByRange("id", "digest").sortWithinPartitions("id", "digest").withColumn("node", F.monotonically_increasing_id()))
+    numbered = sketches.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    classes = stored(numbered.repartitionByRange("id", "digest").sortWithinPartitions("id", "digest").withColumn("node", F.monotonically_increasing_id()))
     banded = classes.select("node", F.explode("keys").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
-    banded = checkpointed(banded.join(hubs, "key"))
+    banded = stored(banded.join(hubs, "key"))
     stars = banded.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    edges = checkpointed(_verified(stars, docs, classes, weights, threshold))
-    linked = checkpointed(components(edges))
-    more = checkpointed(_open_again(banded.select("key", "node"), linked, docs, classes, weights, threshold))
+    edges = _verified(stars, docs, classes, weights, threshold)
+    linked = stored(components(edges))
+    more = _open_again(banded.select("key", "node"), linked, docs, classes, weights, threshold)
     if not more.isEmpty():
-        linked = components(edges.unionByName(more))
+        first, linked = linked, stored(components(edges.unionByName(more)))
+        dropped(first)
     firsts = classes.select(F.col("node").alias("component"), F.col("id").alias("class_id"))
     moved = linked.where("node <> component").join(firsts, "component").select("node", "class_id")
     rooted = classes.select("node", "digest", "id").join(moved, "node", "left").select("digest", "id", "class_id")
     copies = sketches.select(F.col("id").alias("doc_id"), "digest").distinct().join(rooted, "digest")
     first = F.col("class_id").isNull() & (F.col("doc_id") == F.col("id"))
-    return copies.select("doc_id", "digest", F.coalesce("class_id", "id").alias("class_id"), first.alias("stays"))
+    judged = stored(copies.select("doc_id", "digest", F.coalesce("class_id", "id").alias("class_id"), first.alias("stays")))
+    dropped(sketches, classes, banded, edges, linked, more)
+    return judged
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of the group) and kept, one row per doc_id of the input."""
-    judged = checkpointed(_texts_judged(docs, threshold))
+    judged = _texts_judged(docs, threshold)
     by_doc = judged.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("most"), F.max("stays").alias("stays"))
     # a doc_id whose texts are of unlike classes links them
     several = by_doc.where("class_id < most").select("doc_id")
