@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenweft.llm import byte_bpe, decontaminate, near_dup, quality_pu, toxicity
-from lumenweft.llm.common import shared_folder, table
+from lumenweft.llm.common import remove_folder, shared_folder, table
 from lumenweft.sources.shipping import shipped
 
 
@@ -64,11 +64,13 @@ _RUNS = itertools.count()
 
 @shipped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each is written as Parquet in the shared folder and read again."""
+    """Apply the stages to documents; each is written as Parquet in the shared folder and read again, and deleted after the next."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{next(_RUNS)}"
     for k, (_, stage) in enumerate(STAGES):
         out = f"{base}/{k}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            remove_folder(spark, f"{base}/{k - 1}")
     return docs
