@@ -94,7 +94,9 @@ def parse_logs(logs: DataFrame, text: str = "text", warmup: int = 8, *, strict:
 
 
 def tail_lines(lines: DataFrame, n: int = 50, by: list[str] | None = None, order: str = "line_no") -> DataFrame:
-    """The last n lines of each log."""
+    """The last n lines of each log; of one log alone, each task keeps its own n before they meet."""
+    if not by:
+        return lines.orderBy(F.desc(order)).limit(n)
     last = Window.partitionBy(*(by or [])).orderBy(F.desc(order))
     return lines.withColumn("__rn", F.row_number().over(last)).where(F.col("__rn") <= n).drop("__rn")
 

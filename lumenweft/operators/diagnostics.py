@@ -9,11 +9,10 @@ from ..functions.color import gray
 
 
 def minmax_u8(df: DataFrame, value: str, key: list[str], *, eps: float = 0.0, out: str = "u8") -> DataFrame:
-    """A frame's values spread over 0..255, truncated."""
-    frame = Window.partitionBy(*key)
-    low, high = F.min(value).over(frame), F.max(value).over(frame)
-    span = high - low + F.lit(eps)
-    return df.withColumn(out, F.when(span == 0, F.lit(0)).otherwise(F.floor((F.col(value) - low) / F.nullif(span, F.lit(0.0)) * 255.0)).cast("int"))
+    """A frame's values spread over 0..255, truncated.  The range of a frame is an aggregate that combines before its shuffle; no frame is sorted."""
+    low, span = F.col("__low"), F.col("__high") - F.col("__low") + F.lit(eps)
+    ranged = df.join(df.groupBy(*key).agg(F.min(value).alias("__low"), F.max(value).alias("__high")), key)
+    return ranged.withColumn(out, F.when(span == 0, F.lit(0)).otherwise(F.floor((F.col(value) - low) / F.nullif(span, F.lit(0.0)) * 255.0)).cast("int")).select(*df.columns, out)
 
 
 def abs_diff(a: DataFrame, b: DataFrame, key: list[str], channels: str = "rgb", gain: int = 5) -> DataFrame:
@@ -96,8 +95,13 @@ def accuracy(a: DataFrame, b: DataFrame, key: list[str], value: str, by: list[st
     return out.select(*by, "max_diff", p99.alias("p99"), "mse", (10.0 * F.log10(4.0 / F.greatest("mse", F.lit(1e-10)))).alias("psnr"))
 
 
+def unlike_pixels(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that one of two relations holds more often: key, side (a or b) and how many times more."""
+    counted = a.select(*key, F.lit(1).alias("__n")).unionByName(b.select(*key, F.lit(-1).alias("__n"))).groupBy(*key).agg(F.sum("__n").alias("__n"))
+    return counted.where("__n <> 0").select(*key, F.when(F.col("__n") > 0, "a").otherwise("b").alias("side"), F.abs("__n").alias("n"))
+
+
 def check_same_pixels(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """one row that says so, or an error, where two relations do not hold the same keys."""
-    alone = a.select(*key).exceptAll(b.select(*key)).unionByName(b.select(*key).exceptAll(a.select(*key)))
-    n = alone.agg(F.count("*").alias("n"))
+    n = unlike_pixels(a, b, key).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return n.select(F.when(F.col("n") == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("frames differ in "), F.col("n").cast("string"), F.lit(" pixels"))).cast("boolean")).alias("same"))

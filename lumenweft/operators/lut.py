@@ -57,12 +57,47 @@ def corners(size: int, rgb: tuple[str, str, str] = ("r", "g", "b")) -> Column:
     return F.array(*points)
 
 
+#: Lattice points that are looked up in one broadcast row of arrays; a larger table is joined.
+LOOKUP_POINTS = 1 << 18
+
+
+def lookup_row(lut: DataFrame, size: int, zones: int = 1) -> DataFrame:
+    """One row: the values of every lattice point as three arrays in the order of :func:`lattice`; an error where points are missing."""
+    place = (F.col("ri") * size + F.col("gi")) * size + F.col("bi")
+    place = F.col("zone") * size**3 + place if "zone" in lut.columns else place
+    points = lut.agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), "lr", "lg", "lb"))).alias("p"))
+    whole = F.when((F.size("p") == zones * size**3) & (F.element_at("p", -1)["at"] == zones * size**3 - 1), F.col("p")).otherwise(F.raise_error(F.lit("a lattice point is missing")))
+    return points.select(whole.alias("p")).select(*[F.col(f"p.l{c}").alias(f"__t{c}") for c in "rgb"])
+
+
+def _placed(pixels: DataFrame, size: int) -> DataFrame:
+    """The lower lattice index and the part beyond it, of each channel."""
+    staged = {}
+    for c in "rgb":
+        at = F.col(c) * F.lit(float(size - 1))
+        staged[f"__i{c}"] = F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(size - 2)).cast("int")
+    placed = pixels.withColumns(staged)
+    return placed.withColumns({f"__f{c}": color.clamp(F.col(c) * F.lit(float(size - 1)) - F.col(f"__i{c}")) for c in "rgb"})
+
+
+def _trilinear(channel: str, size: int, zone: int) -> Column:
+    """Seven mixes of the eight points about a placed colour."""
+    first = (F.col("__ir") * size + F.col("__ig")) * size + F.col("__ib") + zone * size**3 + 1
+    mix = lambda low, high, part: low + (high - low) * F.col(part)
+    edge = lambda r, g: mix(*[F.element_at(f"__t{channel}", first + (r * size + g) * size + b) for b in (0, 1)], "__fb")
+    return mix(*[mix(edge(r, 0), edge(r, 1), "__fg") for r in (0, 1)], "__fr")
+
+
 def sample_lut(pixels: DataFrame, lut: DataFrame, size: int, key: list[str], extra: list[str] = []) -> DataFrame:  # noqa: B006
     """Trilinear samples of a table (extra, ri, gi, bi, lr, lg, lb) at r, g, b; key must be unique per row.
 
-    The join is left to the planner: a small table is broadcast under its size
-    threshold, a large one is shuffled.
+    A table of up to ``LOOKUP_POINTS`` points is one broadcast row of arrays
+    that a projection indexes.  A larger one, or one with further columns, is
+    joined point by point.
     """
+    if not extra and size**3 <= LOOKUP_POINTS:
+        placed = _placed(pixels.select(*key, "r", "g", "b").crossJoin(F.broadcast(lookup_row(lut.select("ri", "gi", "bi", "lr", "lg", "lb"), size))), size)  # one row
+        return placed.withColumns({f"__s{c}": _trilinear(c, size, 0) for c in "rgb"}).select(*key, *[F.col(f"__s{c}").alias(c) for c in "rgb"])
     taps = pixels.select(*key, *extra, F.explode(corners(size)).alias("p")).select(*key, *extra, "p.*").where("w > 0")
     joined = taps.join(lut, [*extra, "ri", "gi", "bi"])
     return joined.groupBy(*key, *extra).agg(*[F.sum(F.col(f"l{c}") * F.col("w")).alias(c) for c in "rgb"])
@@ -79,8 +114,27 @@ def zone_weights(depth: Column, bounds: list[float]) -> Column:
     return F.filter(F.array(*cells), lambda c: c["zw"] >= 1e-6)
 
 
+def _looked_up(pixels: DataFrame, lut: DataFrame, size: int, bounds: list[float]) -> DataFrame:
+    """H01 as a projection over the broadcast row of all zones' points."""
+    zones = len(bounds) - 1
+    df = _placed(pixels.crossJoin(F.broadcast(lookup_row(lut, size, zones))), size)  # one row
+    total, sums = F.lit(0.0), dict.fromkeys("rgb", F.lit(0.0))
+    for z, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        if high - low < 1e-6:
+            continue
+        w = color.triangle(F.abs(F.col("depth") - F.lit((low + high) / 2)), F.lit(high - low))
+        df = df.withColumn(f"__w{z}", F.when(w >= 1e-6, w).otherwise(F.lit(0.0)))
+        total = total + F.col(f"__w{z}")
+        sums = {c: sums[c] + F.when(F.col(f"__w{z}") > 0, F.col(f"__w{z}") * _trilinear(c, size, z)).otherwise(F.lit(0.0)) for c in "rgb"}
+    df = df.withColumns({"__w": total, **{f"__s{c}": v for c, v in sums.items()}})
+    done = df.withColumns({c: F.when(F.col("__w") > 1e-6, F.col(f"__s{c}") / F.col("__w")).otherwise(F.col(c)) for c in "rgb"})
+    return done.select(*[F.col(f"`{c}`") for c in pixels.columns])
+
+
 def apply_zone_lut(pixels: DataFrame, lut: DataFrame, size: int, bounds: list[float], key: list[str]) -> DataFrame:
     """Weighted mean of the zones' samples; a pixel of no zone keeps its colour."""
+    if (len(bounds) - 1) * size**3 <= LOOKUP_POINTS:
+        return _looked_up(pixels, lut, size, bounds)
     zoned = pixels.select(*key, "r", "g", "b", F.explode(zone_weights(F.col("depth"), bounds)).alias("z")).select(*key, "r", "g", "b", "z.zone", "z.zw")
     sampled = sample_lut(zoned, lut, size, key, ["zone"]).withColumnsRenamed({c: f"s{c}" for c in "rgb"})
     mean = sampled.join(zoned.select(*key, "zone", "zw"), [*key, "zone"]).groupBy(*key).agg(

@@ -9,9 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import color, media
+from ..functions import color, media, registered as functions
 from ..operators import bench, diagnostics, lut, packed, protocol, resample, scene, sequence, transfer, transfer_arrow
 from ..sources import frames as frame_files
+from ..sources.results import resolve
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -452,11 +453,9 @@ def _(spark, d):
     return r6(bench.parse_logs(_log_frame(spark, d)).select("run_id", "steady_state_fps"), "steady_state_fps", digits=4)
 
 
-_Z = 1.959963984540054
-_TCRIT = (
-    "CASE n_samples - 1 " + " ".join(f"WHEN {k} THEN {bench.student_t(k)!r}::DOUBLE" for k in range(1, 101))
-    + f" ELSE {_Z} + {(_Z**3 + _Z) / 4!r}::DOUBLE / (n_samples - 1) + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r}::DOUBLE / ((n_samples - 1) * (n_samples - 1)) END"
-)
+# Published 0.975 quantiles of Student's t for 1 to 10 degrees of freedom.
+_T975 = (12.7062047362, 4.30265272991, 3.18244630528, 2.7764451052, 2.57058183661, 2.44691184879, 2.36462425101, 2.30600413503, 2.26215716274, 2.22813885196)
+_FEW = "few AS (SELECT event_id // 16 AS run, 'value' AS metric, value FROM events WHERE event_id % 16 < 2 + event_id // 16 % 10)"
 _AGG = f"WITH {fx.SAMPLES}, a AS (SELECT run, metric, count(*)::INT AS n_samples, avg(value) AS mean, stddev_samp(value) AS stddev, median(value) AS median FROM samples GROUP BY run, metric)"
 
 
@@ -466,9 +465,12 @@ def _(spark, d):
     return r6(agg.drop("ci95_lo", "ci95_hi"), "mean", "stddev", "median")
 
 
-@query("q_ci95", _AGG + f" SELECT run, metric, round(mean - t * stddev / sqrt(n_samples), 5) AS ci95_lo, round(mean + t * stddev / sqrt(n_samples), 5) AS ci95_hi FROM (SELECT *, {_TCRIT} AS t FROM a)")
+@query("q_ci95", f"WITH {_FEW}, a AS (SELECT run, metric, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s FROM few GROUP BY run, metric HAVING count(*) > 1), h AS (SELECT *, [{', '.join(f'{t}::DOUBLE' for t in _T975)}][n - 1] * s / sqrt(n) AS half FROM a) SELECT run, metric, round(mean - half, 5) AS ci95_lo, round(mean + half, 5) AS ci95_hi FROM h")
 def _(spark, d):
-    return r6(bench.aggregate_samples(fx.samples(spark, d), ["run", "metric"]).select("run", "metric", "ci95_lo", "ci95_hi"), "ci95_lo", "ci95_hi", digits=5)
+    """Intervals of 2 to 11 samples; groups of fewer are left out."""
+    e = F.col("event_id")
+    few = fx.table(spark, d, "events").where(e % 16 < 2 + F.expr("event_id div 16") % 10).select(F.expr("event_id div 16").alias("run"), F.lit("value").alias("metric"), "value")
+    return r6(bench.aggregate_samples(few, ["run", "metric"], strict=False).select("run", "metric", "ci95_lo", "ci95_hi"), "ci95_lo", "ci95_hi", digits=5)
 
 
 @query(
@@ -510,11 +512,35 @@ def _(spark, d):
     return h.select("family", "i", media.verdict((F.col("i") % 7 - 3) / 2.0, F.col("p_holm")).alias("verdict"))
 
 
-@query("q_hw_diff", "SELECT field, value_a, value_b, severity FROM (VALUES ('gpu_name', 'G1', 'G2', 'fatal'), ('driver_patch', '550.54.14', '550.54.15', 'advisory'), ('trt_version', NULL, '10.9', 'advisory')) v(field, value_a, value_b, severity)")
+_STATES = """states AS (SELECT event_type AS run, 'G' || (count(*) % 2) AS gpu_name, '8.' || (sum(event_id)::BIGINT % 2) AS gpu_compute_cap, (550 + count(*) % 2) || '.' || (sum(event_id)::BIGINT % 3) || '.' || (max(event_id) % 5) AS driver_version,
+  '12.' || (min(event_id) % 2) AS cuda_version, '2.' || (max(user_id) % 2) AS torch_version, CASE WHEN count(*) % 3 = 0 THEN '10.' || (count(*) % 7) END AS trt_version FROM events GROUP BY event_type)"""
+_HW = f"""WITH {_STATES}, p AS (SELECT a.run AS run_a, b.run AS run_b, a AS x, b AS y FROM states a JOIN states b ON a.run < b.run),
+f AS (SELECT run_a, run_b, unnest(['gpu_name', 'gpu_compute_cap', 'driver_major', 'driver_patch', 'cuda_version', 'torch_version', 'trt_version']) AS field,
+  unnest([x.gpu_name, x.gpu_compute_cap, regexp_extract(x.driver_version, '^\\d+\\.\\d+'), x.driver_version, x.cuda_version, x.torch_version, x.trt_version]) AS value_a,
+  unnest([y.gpu_name, y.gpu_compute_cap, regexp_extract(y.driver_version, '^\\d+\\.\\d+'), y.driver_version, y.cuda_version, y.torch_version, y.trt_version]) AS value_b,
+  regexp_extract(x.driver_version, '^\\d+\\.\\d+') = regexp_extract(y.driver_version, '^\\d+\\.\\d+') AS major FROM p)
+SELECT run_a, run_b, field, value_a, value_b, CASE WHEN field IN ('gpu_name', 'gpu_compute_cap', 'driver_major') THEN 'fatal' ELSE 'advisory' END AS severity
+FROM f WHERE value_a IS DISTINCT FROM value_b AND (field <> 'driver_patch' OR major)"""
+
+
+@query("q_hw_diff", _HW)
 def _(spark, d):
-    schema = "run string, gpu_name string, gpu_compute_cap string, driver_version string, cuda_version string, torch_version string, trt_version string"
-    states = spark.createDataFrame([("a", "G1", "8.6", "550.54.14", "12.4", "2.6", None), ("b", "G2", "8.6", "550.54.15", "12.4", "2.6", "10.9")], schema)
-    return bench.hardware_diff(states, "a", "b").select("field", "value_a", "value_b", "severity")
+    """The machines of every two of five runs, made from the events of each type."""
+    e = fx.table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(
+        F.count("*").alias("n"), F.sum("event_id").alias("s"), F.max("event_id").alias("hi"), F.min("event_id").alias("lo"), F.max("user_id").alias("u")
+    )
+    states = e.select(
+        "run", F.format_string("G%d", F.col("n") % 2).alias("gpu_name"), F.format_string("8.%d", F.col("s") % 2).alias("gpu_compute_cap"),
+        F.format_string("%d.%d.%d", 550 + F.col("n") % 2, F.col("s") % 3, F.col("hi") % 5).alias("driver_version"), F.format_string("12.%d", F.col("lo") % 2).alias("cuda_version"),
+        F.format_string("2.%d", F.col("u") % 2).alias("torch_version"), F.when(F.col("n") % 3 == 0, F.format_string("10.%d", F.col("n") % 7)).alias("trt_version"),
+    )
+    runs = sorted(r.run for r in states.select("run").collect())  # one row a run
+    out = None
+    for i, a in enumerate(runs):
+        for b in runs[i + 1 :]:
+            found = bench.hardware_diff(states, a, b).select(F.lit(a).alias("run_a"), F.lit(b).alias("run_b"), "field", "value_a", "value_b", "severity")
+            out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("q_pct_delta", "SELECT event_id, CASE WHEN event_id % 5 = 0 AND event_id % 3 = 0 THEN 0.0::DOUBLE WHEN event_id % 5 = 0 THEN 1e300::DOUBLE ELSE round((event_id % 3 - event_id % 5) / (event_id % 5)::DOUBLE * 100, 6) + 0.0 END AS delta_pct FROM events")
@@ -626,13 +652,20 @@ def _(spark, d):
     return fx.table(spark, d, "events").groupBy("event_type").agg(F.min_by("props", "ts").alias("props"))
 
 
-@query("q_config_resolve", "SELECT 12 AS batch_size, 960 AS proxy_size, 'h264' AS output_codec, 0.15::DOUBLE AS scene_threshold")
+@query("q_config_resolve", """SELECT c.i AS cli, f.i AS file, coalesce(c.batch_size, f.batch_size, 8)::INT AS batch_size, coalesce(c.proxy_size, f.proxy_size, 1440)::INT AS proxy_size, coalesce(c.output_codec, f.output_codec) AS output_codec, coalesce(c.scene_threshold, f.scene_threshold, 0.15)::DOUBLE AS scene_threshold
+FROM (VALUES (0, NULL, NULL, NULL, NULL), (1, 6, NULL, NULL, 0.5), (2, NULL, 960, 'h264', NULL), (3, 1, 518, 'prores', 0.25)) c(i, batch_size, proxy_size, output_codec, scene_threshold),
+  (VALUES (0, NULL, NULL, NULL, NULL), (1, 4, NULL, 'hevc10', NULL), (2, NULL, 720, NULL, 0.125), (3, 2, 640, 'h264', 0.75)) f(i, batch_size, proxy_size, output_codec, scene_threshold)""")
 def _(spark, d):
-    """J11 as data: one row of each source, null where it is silent."""
-    schema = "batch_size int, proxy_size int, output_codec string, scene_threshold double"
-    rows = spark.createDataFrame([(0, 12, None, None, None), (1, 4, 960, "h264", None), (2, 8, 1440, None, 0.15)], f"rank int, {schema}")
-    names = [f.split()[0] for f in schema.split(", ")]
-    return rows.agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rank"))).alias(c) for c in names])
+    """Every two of four command lines and four files, resolved."""
+    names = ("batch_size", "proxy_size", "output_codec", "scene_threshold")
+    cli = [(None, None, None, None), (6, None, None, 0.5), (None, 960, "h264", None), (1, 518, "prores", 0.25)]
+    file = [(None, None, None, None), (4, None, "hevc10", None), (None, 720, None, 0.125), (2, 640, "h264", 0.75)]
+    rows = []
+    for i, c in enumerate(cli):
+        for k, f in enumerate(file):
+            got = resolve(dict(zip(names, c, strict=True)), {n: v for n, v in zip(names, f, strict=True) if v is not None} | {"unknown": 1})
+            rows.append((i, k, got.batch_size, got.proxy_size, got.output_codec, got.scene_threshold))
+    return spark.createDataFrame(rows, "cli int, file int, batch_size int, proxy_size int, output_codec string, scene_threshold double")
 
 
 # ---- messages ---------------------------------------------------------------
@@ -689,23 +722,19 @@ def _(spark, d):
     return protocol.rejects(events.select(e.alias("msg_id"), res.alias("response")), events.select(e.alias("msg_id"), F.lit(4).alias("width"), F.lit(2).alias("height")))
 
 
-@query("q_png_decode", "SELECT vec_id AS frame_id, 8 AS width, 8 AS height, 192 AS n_bytes, true AS same FROM embeddings")
+@query("q_png_decode", f"WITH {fx.TILE}, g AS (SELECT frame_id, y, x, floor(least(greatest(v * 200 + 128, 0), 255))::INT AS r FROM tile) SELECT frame_id, y, x, r * 257 AS r16, (255 - r) * 257 AS g16, (r * 7 % 256) * 257 AS b16 FROM g")
 def _(spark, d):
-    """Tiles written as images with mixed row filters and read back."""
+    """Tiles written as images with every row filter and read back."""
     import numpy as np
     import pandas as pd
 
     @F.pandas_udf("binary")
     def image(v: pd.Series) -> pd.Series:
-        gray = v.map(lambda x: np.clip(np.asarray(x) * 200 + 128, 0, 255).astype(np.uint8).reshape(8, 8, 1).repeat(3, 2))
-        return gray.map(lambda g: protocol.encode_png(g, [0, 1, 2] * 2 + [1, 2]))
+        red = v.map(lambda x: np.clip(np.asarray(x, np.float64) * 200 + 128, 0, 255).astype(np.uint8).reshape(8, 8))
+        return red.map(lambda r: protocol.encode_png(np.stack([r, 255 - r, r * np.uint8(7)], 2), [4, 3, 1, 2, 0, 3, 4, 4]))
 
-    @F.pandas_udf("binary")
-    def raw(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: np.clip(np.asarray(x) * 200 + 128, 0, 255).astype(np.uint8).repeat(3).tobytes())
-
-    made = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), protocol.png_pixels(image("embedding")).alias("i"), raw("embedding").alias("raw"))
-    return made.select("frame_id", "i.width", "i.height", F.octet_length("i.pixels").alias("n_bytes"), (F.col("i.pixels") == F.col("raw")).alias("same"))
+    made = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), protocol.png_pixels(image("embedding")).alias("i"))
+    return packed.pixels_of(made.select(F.lit("png").alias("clip_id"), "frame_id", "i.width", "i.height", "i.pixels")).drop("clip_id")
 
 
 @query("q_f32_values", "SELECT vec_id, round(list_sum([x::DOUBLE FOR x IN embedding]), 4) + 0.0 AS total FROM embeddings")
@@ -725,43 +754,76 @@ def _(spark, d):
 # ---- streams ----------------------------------------------------------------
 
 
-def _staged(spark, df: DataFrame, name: str, parts: int) -> tuple[str, str]:
-    """A shared folder with the rows as files, and one for the stream's state."""
+def _staged(spark, df: DataFrame, name: str, parts: int, order: str = "frame_id") -> tuple[str, str]:
+    """A shared folder with the rows as files, written one after another in order, and one for the stream's state."""
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     root = f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    df.repartitionByRange(parts, "frame_id").sortWithinPartitions("frame_id").write.parquet(f"{root}/in")
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        df.write.parquet(f"{root}/in")
+    else:
+        step = (hi - lo) / parts
+        for k in range(parts):
+            later = F.col(order) >= F.lit(lo + k * step) if k else F.lit(True)
+            before = F.col(order) < F.lit(lo + (k + 1) * step) if k < parts - 1 else F.lit(True)
+            df.where(later & before).sort(order).coalesce(1).write.mode("append").parquet(f"{root}/in")
     return root, f"{root}/state"
 
 
 @query("q_stream_transfer", SQL["q_oklab_transfer"])
 def _(spark, d):
-    """The flagship in micro-batches of files."""
+    """The flagship in micro-batches of files; each batch meets the delta in the stream's own join."""
     from ..streaming import frames as streams
 
-    rows = transfer.to_unit(fx.px(spark, d)).join(fx.delta(spark, d), KEY)
-    root, state = _staged(spark, rows, "transfer", 4)
-    stream = streams.stream_rows(spark, f"{root}/in", rows.schema)
-    streams.run_to_end(stream, streams.parquet_sink(f"{root}/out", lambda b: transfer.add_delta(b).select(*KEY, "r16", "g16", "b16")), state)
+    px = fx.px(spark, d)
+    root, state = _staged(spark, px, "transfer", 4)
+    stream = transfer.transfer(streams.stream_rows(spark, f"{root}/in", px.schema), fx.delta(spark, d))
+    streams.run_to_end(stream.select(*KEY, "r16", "g16", "b16"), streams.parquet_sink(f"{root}/out"), state)
     return spark.read.parquet(f"{root}/out").drop("batch")
 
 
-@query("q_stream_scene_cuts", SQL["q_hist_distance"].replace("SELECT frame_id, round(distance, 6) AS distance FROM dist", "SELECT 'c' AS clip_id, frame_id, round(distance, 6) AS distance FROM dist WHERE distance > 0.15"))
+_CLIPS = SQL["q_hist_distance"].replace("FROM events", "FROM events WHERE event_id // 64 % 3 = {k}").replace("SELECT frame_id, round(distance, 6) AS distance FROM dist", "SELECT 'c{k}' AS clip_id, frame_id, round(distance, 6) AS distance FROM dist WHERE distance > 0.15")
+
+
+@query("q_stream_scene_cuts", " UNION ALL ".join(f"({_CLIPS.format(k=k)})" for k in range(3)))
 def _(spark, d):
-    """Stateful distances; one trigger takes every file, so no state crosses batches here."""
+    """Three clips, a file of each stretch of time at a trigger; every clip's last histogram is carried from batch to batch."""
     from ..streaming import frames as streams
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = scene.histogram_arrays(fx.scene_px(spark, d)).withColumn("clip_id", F.lit("c"))
+    rows = scene.histogram_arrays(fx.scene_px(spark, d)).withColumn("clip_id", F.concat(F.lit("c"), (F.col("frame_id") % 3).cast("string")))
     root, state = _staged(spark, rows, "cuts", 3)
-    # a trigger of one file could see the files out of frame order, and late frames are left out
-    stream = streams.stream_rows(spark, f"{root}/in", rows.schema, files_per_trigger=1000)
-    cuts = streams.stream_cuts(stream)
+    cuts = streams.stream_cuts(streams.stream_rows(spark, f"{root}/in", rows.schema, files_per_trigger=1))
     streams.run_to_end(cuts, streams.parquet_sink(f"{root}/out"), state)
     return r6(spark.read.schema("clip_id string, frame_id long, distance double").parquet(f"{root}/out").drop("batch"), "distance")
 
 
+# a day's count is final once the watermark, a day behind the greatest time seen, has passed its end; what comes for it later is left out
+_LATE = """e AS (SELECT ts, event_type, event_id % 40 = 0 AND ts < (SELECT min(ts) + INTERVAL 5 DAY FROM events) AS late FROM events)
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, event_type, count(*) AS n FROM e WHERE NOT late GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM e)"""
+
+
+@query("x_stream_windows", "WITH " + _LATE)
+def _(spark, d):
+    """Daily counts by event time under a watermark; rows of the first days that come last are late."""
+    from ..streaming import frames as streams
+
+    e = fx.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    first = e.agg(F.min("ts")).first()[0]
+    late = (F.col("event_id") % 40 == 0) & (F.col("ts") < F.lit(first) + F.expr("interval 5 days"))
+    at = F.when(late, F.lit(2.0**40)).otherwise(F.unix_micros("ts") / 1e6)
+    rows = e.withColumn("at", F.when(late, F.lit(None).cast("double")).otherwise(at))
+    last = rows.agg(F.max("at")).first()[0]
+    arriving = rows.withColumn("at", F.coalesce("at", F.lit(last + (last - first.timestamp()) / 3)))
+    root, state = _staged(spark, arriving, "windows", 4, "at")
+    stream = streams.stream_rows(spark, f"{root}/in", arriving.schema)
+    counts = streams.event_counts(stream, "ts", ["event_type"], "1 day", "1 day")
+    streams.run_to_end(counts.select(F.col("w.start").cast("timestamp_ntz").alias("w"), "event_type", "n"), streams.parquet_sink(f"{root}/out"), state)
+    return spark.read.schema("w timestamp_ntz, event_type string, n long").parquet(f"{root}/out").drop("batch")
+
+
 # ---- historical grading -----------------------------------------------------
 
 SIZE, BOUNDS = 3, [0.0, 0.3, 0.6, 1.0]
@@ -827,18 +889,31 @@ def _(spark, d):
     return r6(staged.select(*KEY, r.alias("r"), g.alias("g"), b.alias("b")), "r", "g", "b", digits=5)
 
 
-@query("h_cielab_roundtrip", f"WITH {fx.PX} SELECT frame_id, y, x, false AS far FROM px")
+_CIE = (
+    "c2 AS (SELECT frame_id, y, x, " + ", ".join(f"{_sum(row, ['lr', 'lg', 'lb'])} / {w} AS t{i}" for i, (row, w) in enumerate(zip(color.RGB_TO_XYZ, color.WHITE, strict=True)))
+    + " FROM (SELECT frame_id, y, x, " + ", ".join(f"{_lin(c)} AS l{c}" for c in "rgb") + " FROM unit)), c3 AS (SELECT frame_id, y, x, "
+    + ", ".join(f"CASE WHEN t{i} > 0.008856 THEN cbrt(t{i}) ELSE t{i} / 0.128419 + 4.0 / 29 END AS f{i}" for i in range(3)) + " FROM c2)"
+)
+
+
+@query("h_cielab", f"WITH {fx.PX}, {UNIT}, {_CIE} SELECT frame_id, y, x, round(116 * f1 - 16, 4) + 0.0 AS l, round(500 * (f0 - f1), 4) + 0.0 AS a, round(200 * (f1 - f2), 4) + 0.0 AS b FROM c3")
+def _(spark, d):
+    """X24's space: CIELab of every pixel."""
+    u = transfer.to_unit(fx.px(spark, d)).select(*KEY, "r", "g", "b")
+    return r6(color.with_cielab(u, ("r", "g", "b"), ("l_", "a_", "b_")).select(*KEY, F.col("l_").alias("l"), F.col("a_").alias("a"), F.col("b_").alias("b")), "l", "a", "b", digits=4)
+
+
+@query("h_cielab_roundtrip", f"WITH {fx.PX}, {UNIT} SELECT frame_id, y, x, round(r * 255)::INT AS r, round(g * 255)::INT AS g, round(b * 255)::INT AS b FROM unit")
 def _(spark, d):
-    """Whether a pixel comes back from CIELab more than a thousandth away."""
+    """There and back, to the nearest 8-bit value of the pixel itself."""
     u = transfer.to_unit(fx.px(spark, d)).select(*KEY, "r", "g", "b")
     there = color.with_cielab(u, ("r", "g", "b"), ("l_", "a_", "b_"))
-    back = color.with_rgb_from_cielab(there, ("l_", "a_", "b_"), ("r2", "g2", "b2"))
-    gap = back.withColumns({f"d{c}": F.abs(F.col(c) - F.col(f"{c}2")) for c in "rgb"})
-    return gap.select(*KEY, (F.greatest("dr", "dg", "db") > 1e-3).alias("far"))
+    back = color.with_rgb_from_cielab(there.select(*KEY, "l_", "a_", "b_"), ("l_", "a_", "b_"), ("r", "g", "b"))
+    return back.select(*KEY, *[F.round(F.col(c) * 255).cast("int").alias(c) for c in "rgb"])
 
 
-def _tone_sql() -> str:
-    """H03 and H04 in SQL over p (key, r, g, b, depth): warmth 1.1, strength 0.9, contrast 1.1."""
+def _tone_sql(strength: float = 0.9, digits: int = 4) -> str:
+    """H03 and H04 in SQL over p (key, r, g, b, depth): warmth 1.1, contrast 1.1."""
     shape = lambda t: f"CASE WHEN {t} > 0.008856 THEN cbrt({t}) ELSE {t} / 0.128419 + 4.0 / 29 END"
     back = lambda t: f"CASE WHEN {t} > 6.0 / 29 THEN {t} * {t} * {t} ELSE 0.128419 * ({t} - 4.0 / 29) END"
     keep = "frame_id, y, x, r AS r0, g AS g0, b AS b0, depth"
@@ -859,7 +934,7 @@ def _tone_sql() -> str:
         f"b2 AS (SELECT {key}, (l + 16) / 116 AS f1, a / 500 + (l + 16) / 116 AS f0, (l + 16) / 116 - b / 200 AS f2 FROM b1), "
         f"b3 AS (SELECT {key}, 0.95047 * ({back('f0')}) AS cx, {back('f1')} AS cy, 1.08883 * ({back('f2')}) AS cz FROM b2), b4 AS (SELECT {key}, {lin} FROM b3), "
         f"b5 AS (SELECT {key}, {', '.join(f'least(greatest({_srgb("v" + c)}, 0), 1) AS {c}' for c in 'rgb')} FROM b4) "
-        f"SELECT frame_id, y, x, {', '.join(f'round({c}0 * 0.1 + least(greatest({knee(c)}, 0), 1) * 0.9, 4) AS {c}' for c in 'rgb')} FROM b5"
+        f"SELECT frame_id, y, x, {', '.join(f'round({c}0 * {1 - strength:.12g} + least(greatest({knee(c)}, 0), 1) * {strength}, {digits}) AS {c}' for c in 'rgb')} FROM b5"
     )
 
 
@@ -874,16 +949,24 @@ def _(spark, d):
     return r6(toned.select(*KEY, "r", "g", "b"), "r", "g", "b", digits=4)
 
 
-@query("h_combined_lut", f"WITH {fx.FULL_PX} SELECT frame_id, y, x, 0 AS beyond FROM full_px")
+_GRID = """g AS (SELECT i // 125 AS zone, i // 25 % 5 AS ri, i // 5 % 5 AS gi, i % 5 AS bi, [0.15, 0.45, 0.8][i // 125 + 1]::DOUBLE AS depth FROM range(375) t(i)),
+gw AS (SELECT *, ri / 4.0::DOUBLE AS r, gi / 4.0::DOUBLE AS g, bi / 4.0::DOUBLE AS b, greatest(1 - abs(depth - 0.15) / 0.3, 0)::DOUBLE AS w0, greatest(1 - abs(depth - 0.45) / 0.3, 0)::DOUBLE AS w1, greatest(1 - abs(depth - 0.8) / 0.4, 0)::DOUBLE AS w2 FROM g),
+gm AS (SELECT *, w0 + w1 + w2 AS tw, (w0 * 1 + w1 * 2 + w2 * 3) / nullif(w0 + w1 + w2, 0) AS m FROM gw),
+p AS (SELECT zone AS frame_id, ri AS y, gi * 5 + bi AS x, CASE WHEN tw > 1e-6 THEN r * (1 - m * 0.02) ELSE r END AS r, CASE WHEN tw > 1e-6 THEN g * (1 - m * 0.05) ELSE g END AS g, CASE WHEN tw > 1e-6 THEN b * (1 - m * 0.08) ELSE b END AS b, depth FROM gm)"""
+
+
+@query(
+    "h_combined_lut",
+    f"WITH {_GRID}, toned AS ({{tone}}) SELECT t.frame_id::INT AS zone, t.y::INT AS ri, (t.x // 5)::INT AS gi, (t.x % 5)::INT AS bi, "
+    "round(t.y / 4.0 * 0.1 + t.r * 0.9, 4) AS lr, round(t.x // 5 / 4.0 * 0.1 + t.g * 0.9, 4) AS lg, round(t.x % 5 / 4.0 * 0.1 + t.b * 0.9, 4) AS lb FROM toned t",
+)
 def _(spark, d):
-    """A precomputed table against the direct way, at the zone's centre depth: within 0.05 of it on a 17-point grid."""
-    qualifiers = [lut.Qualifier(weight=0.0)] * 6
-    px = transfer.to_unit(fx.full_px(spark, d)).select(*KEY, "r", "g", "b", F.lit(0.45).alias("depth"))
-    direct = lut.grade_zoned(px, _lut(spark), SIZE, BOUNDS, qualifiers, PARAMS, KEY).select(*KEY, *[F.col(c).alias(f"{c}d") for c in "rgb"])
-    whole = lut.build_combined(spark, _lut(spark), SIZE, 17, BOUNDS, qualifiers, PARAMS).where("zone = 1").drop("zone")
-    sampled = lut.sample_lut(px.select(*KEY, "r", "g", "b"), whole, 17, KEY)
-    far = sum((F.abs(F.col(c) - F.col(f"{c}d")) > 0.05).cast("int") for c in "rgb")
-    return sampled.join(direct, KEY).select(*KEY, far.alias("beyond"))
+    """The whole grading at every point of a 5-point grid and each zone's centre, as one table."""
+    made = lut.build_combined(spark, _lut(spark), SIZE, 5, BOUNDS, [lut.Qualifier(weight=0.0)] * 6, PARAMS)
+    return r6(made.select("zone", "ri", "gi", "bi", "lr", "lg", "lb"), "lr", "lg", "lb", digits=4)
+
+
+SQL["h_combined_lut"] = SQL["h_combined_lut"].replace("{tone}", f"WITH {_tone_sql(1.0, 12)}")
 
 
 _BLUR = "WITH {}, a AS (SELECT frame_id, y, x, avg(v) OVER (PARTITION BY frame_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM tile) "
@@ -894,10 +977,12 @@ def _(spark, d):
     return r6(lut.box_blur(fx.tile(spark, d), "v", 2), "v", digits=9)
 
 
-@query("q_same_pixels", "SELECT true AS same")
+@query("q_same_pixels", f"WITH {fx.PX}, a AS (SELECT frame_id, y, x FROM px WHERE frame_id % 7 <> 3), b AS (SELECT frame_id, y, x FROM px WHERE x <> 5 OR frame_id % 11 <> 0 UNION ALL SELECT frame_id, y, x FROM px WHERE frame_id % 13 = 0), c AS (SELECT frame_id, y, x, sum(n) AS n FROM (SELECT *, 1 AS n FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY ALL HAVING sum(n) <> 0) SELECT frame_id, y, x, CASE WHEN n > 0 THEN 'a' ELSE 'b' END AS side, abs(n)::BIGINT AS n FROM c")
 def _(spark, d):
-    px = fx.px(spark, d)
-    return diagnostics.check_same_pixels(px, transfer.transfer(px, fx.delta(spark, d)), KEY)
+    """which pixels two clips do not share, repeated ones counted."""
+    px = fx.px(spark, d).select(*KEY)
+    b = px.where("x <> 5 OR frame_id % 11 <> 0").unionByName(px.where("frame_id % 13 = 0"))
+    return diagnostics.unlike_pixels(px.where("frame_id % 7 <> 3"), b, KEY)
 
 
 # ---- relational surface -----------------------------------------------------
@@ -948,7 +1033,7 @@ def _(spark, d):
     e = fx.table(spark, d, "events")
     a = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("t0"), F.col("event_id").alias("click_id"))
     b = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("t1"), F.col("event_id").alias("buy_id"))
-    return a.join(b, "user_id").where(F.col("t1").between(F.col("t0"), F.col("t0") + F.expr("interval 6 hours"))).select("click_id", "buy_id")
+    return sequence.within(a, b, ["user_id"], "t0", "t1", 6 * 3600).select("click_id", "buy_id")
 
 
 @query("x_cube", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag)::INT AS g1, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -1002,6 +1087,51 @@ def _(spark, d):
     return e.select(F.col("w.start").cast("timestamp_ntz").alias("w"), "event_type", "n")
 
 
+@query("x_stream_join", SQL["x_interval_join"])
+def _(spark, d):
+    """The interval join of two streams; state older than the interval is dropped by watermarks."""
+    from ..streaming import frames as streams
+
+    e = fx.table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    root, state = _staged(spark, e, "join", 3, "at")
+    side = lambda kind: streams.stream_rows(spark, f"{root}/in", e.schema).where(F.col("event_type") == kind)
+    pairs = streams.joined_within(side("click"), side("purchase"), ["user_id"], "ts", "6 hours")
+    streams.run_to_end(pairs.select(F.col("a.event_id").alias("click_id"), F.col("b.event_id").alias("buy_id")), streams.parquet_sink(f"{root}/out"), state)
+    return spark.read.schema("click_id long, buy_id long").parquet(f"{root}/out").drop("batch")
+
+
+@query("x_sessions", "WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER w >= INTERVAL 12 HOUR) IS NOT FALSE AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) + INTERVAL 12 HOUR AS end_ts, count(*) AS n FROM s GROUP BY user_id, session")
+def _(spark, d):
+    """Sessions that end after twelve hours without an event."""
+    e = fx.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = e.groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("first_ts"), F.col("w.end").cast("timestamp_ntz").alias("end_ts"), "n")
+
+
+@query("x_functions", "WITH w AS (SELECT event_id, event_type, unnest([event_id % 7, event_id % 5]) AS part, unnest([0, 1])::INT AS nth FROM events) SELECT event_type, nth, round(sqrt(avg(part * part)), 6) AS rms FROM w GROUP BY event_type, nth")
+def _(spark, d):
+    """A table function and an aggregate function of one's own, registered and called from SQL."""
+    functions.register(spark)
+    fx.table(spark, d, "events").createOrReplaceTempView("x_events")
+    return spark.sql("SELECT event_type, nth, round(root_mean_square(cast(part AS double)), 6) AS rms FROM x_events, LATERAL remainders(event_id, array(7, 5)) GROUP BY event_type, nth")
+
+
+@query("x_subqueries", "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.2 * avg(o_totalprice) FROM orders) AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+def _(spark, d):
+    for name in ("orders", "lineitem"):
+        fx.table(spark, d, name).createOrReplaceTempView(f"x_{name}")
+    return spark.sql("SELECT o_orderkey, o_totalprice FROM x_orders o WHERE o_totalprice > (SELECT 1.2 * avg(o_totalprice) FROM x_orders) AND EXISTS (SELECT 1 FROM x_lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+
+
+@query("x_maps", "SELECT event_type, sum(event_id % 3)::BIGINT AS a, sum(event_id % 4)::BIGINT AS b FROM events GROUP BY event_type")
+def _(spark, d):
+    """Map functions: built, transformed, filtered and taken apart."""
+    m = F.create_map(F.lit("a"), F.col("event_id") % 3, F.lit("b"), F.col("event_id") % 4, F.lit("c"), F.lit(-1).cast("long"))
+    kept = F.map_filter(F.transform_values(m, lambda k, v: v * 2), lambda k, v: v >= 0)
+    each = fx.table(spark, d, "events").select("event_type", F.explode(kept).alias("k", "v"))
+    return each.groupBy("event_type").pivot("k", ["a", "b"]).agg((F.sum("v") / 2).cast("long"))
+
+
 @query("x_json", "SELECT event_id, (props->>'k')::INT AS k FROM events")
 def _(spark, d):
     return fx.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))

@@ -79,8 +79,22 @@ def stream_cuts(histograms: DataFrame, threshold: float = scene.THRESHOLD) -> Da
     return stream_distances(histograms).where(F.col("distance") > threshold)
 
 
+def event_counts(stream: DataFrame, at: str, by: list[str], width: str, delay: str) -> DataFrame:
+    """Counts of tumbling windows of event time; a window is given out once, when the watermark has passed it."""
+    return stream.withWatermark(at, delay).groupBy(F.window(at, width).alias("w"), *by).agg(F.count("*").alias("n"))
+
+
+def joined_within(left: DataFrame, right: DataFrame, by: list[str], at: str, interval: str, delay: str = "0 seconds") -> DataFrame:
+    """Pairs (a, b) of two streams where b follows a within the interval; watermarks bound what is kept."""
+    a, b = left.withWatermark(at, delay).alias("a"), right.withWatermark(at, delay).alias("b")
+    near = F.col(f"b.{at}").between(F.col(f"a.{at}"), F.col(f"a.{at}") + F.expr(f"interval {interval}"))
+    for c in by:
+        near = near & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, near)
+
+
 class Progress(StreamingQueryListener):
-    """Rows and rates of each trigger, kept for whoever asks."""
+    """Rows, rates, late rows and the time of each phase of a trigger, kept for whoever asks."""
 
     def __init__(self) -> None:
         self.seen: list[dict] = []
@@ -90,7 +104,7 @@ class Progress(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.seen.append({"batch": p.batchId, "rows": p.numInputRows, "rows_per_s": p.processedRowsPerSecond})
+        self.seen.append({"batch": p.batchId, "rows": p.numInputRows, "rows_per_s": p.processedRowsPerSecond, "late": sum(o.numRowsDroppedByWatermark for o in p.stateOperators), **{f"{k}_ms": v for k, v in (p.durationMs or {}).items()}})
 
     def onQueryIdle(self, event) -> None:
         return None
