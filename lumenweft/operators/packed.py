@@ -8,12 +8,15 @@ of one size travel through numpy together as far as ``PIXELS`` allows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..errors import FrameSizeError, MediaKind
 from . import transfer_arrow as arithmetic
 from .transfer import Model, identity_model
 
@@ -67,12 +70,34 @@ def modelled(small: np.ndarray, model: Model, batch_size: int) -> np.ndarray:
     return done
 
 
-def grade_stack(frames: np.ndarray, proxy: tuple[int, int], model: Model = identity_model, batch_size: int = 8) -> np.ndarray:
+# The spans of one batch, in order.
+SPANS = ("upload", "proxy_downscale", "trt_inference", "oklab_delta", "apply_transfer", "download")
+
+
+class Clock:
+    """Seconds spent in each span; ``mark`` ends one."""
+
+    def __init__(self) -> None:
+        self.spent = dict.fromkeys(SPANS, 0.0)
+        self.last = time.perf_counter()
+
+    def mark(self, span: str) -> None:
+        now = time.perf_counter()
+        self.spent[span] += now - self.last
+        self.last = now
+
+
+def grade_stack(frames: np.ndarray, proxy: tuple[int, int], model: Model = identity_model, batch_size: int = 8, clock: Clock | None = None) -> np.ndarray:
     """16-bit frames (n, h, w, 3) graded through the model at ``proxy`` size."""
+    clock = clock or Clock()
     n, h, w, _ = frames.shape
     small = shrink(frames, proxy)
-    delta = arithmetic.oklab(modelled(small, model, batch_size)) - arithmetic.oklab(small)
+    clock.mark("proxy_downscale")
+    done = modelled(small, model, batch_size)
+    clock.mark("trt_inference")
+    delta = arithmetic.oklab(done) - arithmetic.oklab(small)
     across = delta if proxy[0] == w else _along(delta, 2, axis(proxy[0], w))
+    clock.mark("oklab_delta")
     low, high, part = axis(proxy[1], h)
     out = np.empty(frames.shape, np.uint16)
     rows = max(1, PIXELS // (n * w))
@@ -81,6 +106,7 @@ def grade_stack(frames: np.ndarray, proxy: tuple[int, int], model: Model = ident
         change = across[:, strip] if proxy[1] == h else _along(across, 1, (low[strip], high[strip], part[strip]))
         lab = arithmetic.oklab_of_linear(_LINEAR[frames[:, strip]]) + change
         out[:, strip] = arithmetic.srgb(lab) * 65535 + 0.5  # whole part
+    clock.mark("apply_transfer")
     return out
 
 
@@ -90,7 +116,33 @@ def _as_u16(data: memoryview, width: int, height: int) -> np.ndarray:
         return np.frombuffer(data, "<u2").reshape(height, width, 3)
     if len(data) == width * height * 3:
         return np.frombuffer(data, np.uint8).reshape(height, width, 3).astype(np.uint16) * 257
-    raise ValueError(f"a frame of {width} x {height} has {len(data)} bytes")
+    raise FrameSizeError(MediaKind.DECODE_FAILED, f"a frame of {width} x {height} has {len(data)} bytes")
+
+
+def _graded(batch: pa.RecordBatch, proxy: int | tuple[int, int], model: Model, batch_size: int, clock: Clock) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(first row, bytes of graded frames) for stretches of a batch that hold frames of one size."""
+    sizes = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+    pixels, at = batch.column(4), 0
+    while at < len(sizes):
+        w, h = sizes[at]
+        end = at + 1
+        if not (pixels[at].is_valid and w and h):
+            yield at, [None]
+        else:
+            most = max(1, PIXELS // (w * h))
+            while end < len(sizes) and end - at < most and sizes[end] == (w, h) and pixels[end].is_valid:
+                end += 1
+            stack = np.stack([_as_u16(memoryview(pixels[i].as_buffer()), w, h) for i in range(at, end)])
+            size = proxy_of(w, h, proxy) if isinstance(proxy, int) else proxy
+            clock.mark("upload")
+            graded = grade_stack(stack, size, model, batch_size, clock)
+            done = [f.astype("<u2", copy=False).tobytes() for f in graded]
+            clock.mark("download")
+            yield at, done
+        at = end
+
+
+_NAMES = ["clip_id", "frame_id", "width", "height", "pixels"]
 
 
 def grade_frames(frames: DataFrame, proxy: int | tuple[int, int], model: Model = identity_model, *, batch_size: int = 8) -> DataFrame:
@@ -98,29 +150,27 @@ def grade_frames(frames: DataFrame, proxy: int | tuple[int, int], model: Model =
 
     ``proxy`` is a size or the longest side.  A null frame stays null.
     """
-    names = ["clip_id", "frame_id", "width", "height", "pixels"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-            at = 0
-            while at < len(sizes):
-                w, h = sizes[at]
-                end = at + 1
-                if batch.column(4)[at].is_valid and w and h:
-                    most = max(1, PIXELS // (w * h))
-                    while end < len(sizes) and end - at < most and sizes[end] == (w, h) and batch.column(4)[end].is_valid:
-                        end += 1
-                    stack = np.stack([_as_u16(memoryview(batch.column(4)[i].as_buffer()), w, h) for i in range(at, end)])
-                    size = proxy_of(w, h, proxy) if isinstance(proxy, int) else proxy
-                    graded = [f.astype("<u2", copy=False).tobytes() for f in grade_stack(stack, size, model, batch_size)]
-                else:
-                    graded = [None]
-                some = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(graded, pa.binary())], names)
-                at = end
-
-    return frames.select(*names).mapInArrow(run, "clip_id string, frame_id long, width int, height int, pixels binary")
+            for at, done in _graded(batch, proxy, model, batch_size, Clock()):
+                some = batch.slice(at, len(done))
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(done, pa.binary())], _NAMES)
+
+    return frames.select(*_NAMES).mapInArrow(run, "clip_id string, frame_id long, width int, height int, pixels binary")
+
+
+def profile_frames(frames: DataFrame, proxy: int | tuple[int, int], model: Model = identity_model, *, batch_size: int = 8) -> DataFrame:
+    """Span, frames and busy ms_per_frame of a grading whose frames are thrown away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clock = Clock()
+            n = sum(len(done) for _, done in _graded(batch, proxy, model, batch_size, clock))
+            yield pa.RecordBatch.from_arrays([pa.array(SPANS), pa.array([n] * len(SPANS), pa.int64()), pa.array([clock.spent[x] * 1000 for x in SPANS])], ["span", "frames", "ms"])
+
+    spent = frames.select(*_NAMES).mapInArrow(run, "span string, frames long, ms double").groupBy("span").agg(F.sum("frames").alias("frames"), F.sum("ms").alias("ms"))
+    return spent.select("span", "frames", (F.col("ms") / F.col("frames")).alias("ms_per_frame"))
 
 
 def pixels_of(frames: DataFrame) -> DataFrame:

@@ -561,6 +561,55 @@ def _(spark, d):
     return fx.table(spark, d, "events").select("event_id", media.pcie_healthy(F.col("event_id") % 5, F.col("value")).alias("healthy"))
 
 
+_FAN = ", ".join(f"'{m}'" for m in bench.METRICS)
+
+
+@query(
+    "q_metric_fanout",
+    f"WITH w AS (SELECT event_type AS run, [{', '.join(f'round(value * {k}, 6)' for k in range(1, 7))}] AS vs FROM events), l AS (SELECT run, unnest([{_FAN}]) AS metric, unnest(vs) AS value FROM w) "
+    "SELECT run, metric, count(*)::INT AS n_samples, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM l GROUP BY run, metric",
+)
+def _(spark, d):
+    """Wide samples, one column a metric, fanned out and aggregated in one go."""
+    wide = fx.table(spark, d, "events").select("event_id", F.col("event_type").alias("run"), *[F.round(F.col("value") * k, 6).alias(m) for k, m in enumerate(bench.METRICS, 1)])
+    agg = bench.aggregate_samples(bench.long_samples(wide, ["event_id", "run"]), ["run", "metric"])
+    return r6(agg.select("run", "metric", "n_samples", "mean", "median"), "mean", "median")
+
+
+@query("q_sample_refusals", "WITH g AS (SELECT user_id AS run, count(*)::INT AS n_samples, avg(value) AS mean, bool_or(event_id % 97 = 0 OR event_id % 89 = 0) AS odd FROM events GROUP BY user_id) SELECT run, n_samples, round(mean, 6) AS mean FROM g WHERE n_samples > 1 AND NOT odd")
+def _(spark, d):
+    """groups of one sample, or with one that is no finite number, are left out."""
+    e = F.col("event_id")
+    value = F.when(e % 97 == 0, F.lit(float("nan"))).when(e % 89 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
+    agg = bench.aggregate_samples(fx.table(spark, d, "events").select(F.col("user_id").alias("run"), value.alias("value")), ["run"], strict=False)
+    return r6(agg.select("run", "n_samples", "mean"), "mean")
+
+
+@query("q_permutation_random", "SELECT 'm' || event_id // 40 AS metric, CASE WHEN event_id // 40 % 2 = 0 THEN 0.0002 ELSE 1.0 END::DOUBLE AS p_raw FROM events GROUP BY event_id // 40 HAVING count(*) = 40")
+def _(spark, d):
+    """U07 beyond 9,999 splits: of 20 samples a side, far apart (no random split comes near) or all alike (all do)."""
+    e = F.col("event_id")
+    rows = fx.table(spark, d, "events")
+    value = F.when(F.expr("event_id div 40") % 2 == 0, F.col("value") + F.when(e % 2 == 0, 1e6).otherwise(0.0)).otherwise(F.lit(1.0))
+    pairs = rows.select(F.concat(F.lit("m"), F.expr("event_id div 40").cast("string")).alias("metric"), F.when(e % 2 == 0, "a").otherwise("b").alias("run"), value.alias("value"))
+    whole = pairs.groupBy("metric").count().where("count = 40").select("metric")
+    return bench.compare_runs(pairs.join(whole, "metric"), "a", "b").select("metric", "p_raw")
+
+
+@query("q_bandwidth", "SELECT event_id, round((event_id + 1) * 4096.0::DOUBLE / (user_id + 1) / 1e9::DOUBLE, 12) AS gbps FROM events")
+def _(spark, d):
+    """P24."""
+    rate = media.bandwidth_gbps((F.col("event_id") + 1) * 4096.0, (F.col("user_id") + 1).cast("double"))
+    return fx.table(spark, d, "events").select("event_id", F.round(rate, 12).alias("gbps"))
+
+
+@query("q_verdict_label", _HOLM + " SELECT family, i, CASE WHEN abs(i % 7 - 3) / 2.0 < 1.5 THEN '≈ (within ROPE)' WHEN p_holm < 0.01 AND abs(i % 7 - 3) / 2.0 > 1.5 THEN '**DIFFERENT**' ELSE 'unclear' END AS label FROM h")
+def _(spark, d):
+    """X16."""
+    h = bench.holm(_pvalues(spark, d), "p", "i", ["family"])
+    return h.select("family", "i", media.verdict_label(media.verdict((F.col("i") % 7 - 3) / 2.0, F.col("p_holm"))).alias("label"))
+
+
 # ---- strings, hashes, bytes -------------------------------------------------
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..errors import FrameSizeError, MediaKind, MediaNotFound
 from ..operators import sequence
 
 SCHEMA = "clip_id string, frame_id long, width int, height int, pixels binary"
@@ -45,7 +46,7 @@ class _Layout:
         self.pixel = int(options.get("bytes_per_pixel", "3"))
         self.step = int(options.get("frames_per_partition", "64"))
         if self.pixel not in (3, 6) or self.width < 1 or self.height < 1:
-            raise ValueError("width, height and 3 or 6 bytes_per_pixel are needed")
+            raise FrameSizeError(MediaKind.INVALID_METADATA, "width, height and 3 or 6 bytes_per_pixel are needed")
         self.size = self.width * self.height * self.pixel
 
     def store(self) -> tuple[fs.FileSystem, str]:
@@ -61,7 +62,7 @@ class _Layout:
             inside = store.get_file_info(fs.FileSelector(path))
             return sorted((f for f in inside if f.is_file and f.path.endswith(".raw") and not f.base_name.startswith(".")), key=lambda f: f.path)
         if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.given)
+            raise MediaNotFound(self.given)
         return [info]
 
     def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
@@ -134,7 +135,7 @@ class _Writer(_Layout, DataSourceWriter):
         try:
             for row in rows:  # in the order given: sort within partitions before writing
                 if len(row.pixels) != self.size:
-                    raise ValueError(f"frame {row.frame_id} has {len(row.pixels)} bytes, not {self.size}")
+                    raise FrameSizeError(MediaKind.ENCODE_FAILED, f"frame {row.frame_id} has {len(row.pixels)} bytes, not {self.size}")
                 if out is None or row.clip_id != clip:
                     if out is not None:
                         out.close()
@@ -194,6 +195,12 @@ def read_frames(spark: SparkSession, path: str, width: int, height: int, bytes_p
     return spark.read.format("raw_frames").options(path=path, width=width, height=height, bytes_per_pixel=bytes_per_pixel).load()
 
 
+def count_frames(path: str, width: int, height: int, bytes_per_pixel: int = 3) -> int:
+    """Whole frames of a raw file or folder, counted without reading pixels."""
+    layout = _Layout({"path": path, "width": str(width), "height": str(height), "bytes_per_pixel": str(bytes_per_pixel)})
+    return sum(f.size // layout.size for f in layout.files())
+
+
 def write_frames(frames: DataFrame, path: str, width: int, height: int, bytes_per_pixel: int = 6) -> None:
     """Frames in the order of their partitions, such as they are read and graded."""
     register(frames.sparkSession)

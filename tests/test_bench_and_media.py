@@ -449,3 +449,96 @@ def test_image_column(spark):
     df = spark.createDataFrame([(bytes(range(12)), 2, 2), (None, 1, 1)], "p binary, w int, h int")
     out = df.select(protocol.png_of("p", "w", "h").alias("png")).collect()
     assert protocol.decode_png(bytes(out[0].png)).ravel().tolist() == list(range(12)) and out[1].png is None
+
+
+def test_spans_of_a_grading(spark, tmp_path):
+    from lumenweft.operators import packed, transfer
+
+    (tmp_path / "c.raw").write_bytes(np.random.default_rng(1).integers(0, 256, 64 * 48 * 6 * 3).astype(np.uint8).tobytes())
+    spans = packed.profile_frames(frames.read_frames(spark, str(tmp_path / "c.raw"), 64, 48, 6), 16, transfer.gamma_model(0.8)).collect()
+    assert {r.span for r in spans} == set(packed.SPANS) and all(r.frames == 3 and r.ms_per_frame >= 0 for r in spans)
+    assert frames.count_frames(str(tmp_path / "c.raw"), 64, 48, 6) == 3
+
+
+def test_errors_have_kinds(tmp_path):
+    from lumenweft import errors
+
+    with pytest.raises(errors.MediaError) as e:
+        frames.count_frames(str(tmp_path / "none.raw"), 4, 2)
+    assert e.value.kind == "NotFound" and isinstance(e.value, FileNotFoundError)
+    with pytest.raises(errors.MediaError) as e:
+        frames.count_frames(str(tmp_path), 0, 2)
+    assert e.value.kind == "InvalidMetadata"
+
+
+def test_surface():
+    import lumenweft
+
+    assert all(callable(getattr(lumenweft, name)) for name in lumenweft.__all__)
+    with pytest.raises(AttributeError):
+        lumenweft.nothing
+
+
+def test_a_failing_batch_is_raised_once_and_comes_again(spark, tmp_path):
+    """The stream stops at the error of a sink, and a restart writes the batch that failed, once."""
+    from lumenweft.streaming import frames as streams
+
+    spark.range(10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.range(10, 20).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    good = streams.parquet_sink(str(tmp_path / "out"))
+    calls = []
+
+    def failing(rows, number):
+        calls.append(number)
+        if number == 1:
+            raise RuntimeError("the sink broke")
+        good(rows, number)
+
+    rows = lambda: streams.stream_rows(spark, str(tmp_path / "in"), "id long")
+    with pytest.raises(Exception, match="the sink broke"):
+        streams.run_to_end(rows(), failing, str(tmp_path / "state"))
+    assert calls == [0, 1]
+    streams.run_to_end(rows(), good, str(tmp_path / "state"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(20))
+
+
+def test_a_key_is_many_ranges(spark):
+    """The as-of and interval joins against plain loops, with gaps longer than a range and ties."""
+    import datetime
+    import random
+
+    from lumenweft.operators import sequence
+
+    rng = random.Random(3)
+    t = lambda: datetime.datetime(2020, 1, 1) + datetime.timedelta(seconds=rng.choice([rng.randrange(400), rng.randrange(10**6)]))
+    lefts = [(rng.randrange(2), t(), i) for i in range(150)]
+    rights = [(rng.randrange(2), t(), 1000 + i) for i in range(40)]
+    left, right = (spark.createDataFrame(rows, f"k int, ts timestamp, {v} int") for rows, v in ((lefts, "i"), (rights, "v")))
+    got = {r.i: r.v for r in sequence.as_of(left, right, ["k"], "ts", ["v"], span=100.0).collect()}
+    for k, ts, i in lefts:
+        want = [(u, v) for j, u, v in rights if j == k and u <= ts]
+        assert got[i] == (max(want)[1] if want else None)
+    pairs = {(r.i, r.v) for r in sequence.within(left, right.withColumnRenamed("ts", "us"), ["k"], "ts", "us", 300).collect()}
+    assert pairs == {(i, v) for k, ts, i in lefts for j, u, v in rights if j == k and 0 <= (u - ts).total_seconds() <= 300}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from lumenweft.streaming import frames as streams
+
+    day = lambda n: f"2020-01-{n:02d} 12:00:00"
+    for days in ((1, 2, 3), (9, 10), (1, 11)):
+        spark.createDataFrame([(day(n), "x") for n in days], "t string, kind string").selectExpr("to_timestamp(t) AS ts", "kind").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    listener = streams.Progress()
+    spark.streams.addListener(listener)
+    try:
+        counts = streams.event_counts(streams.stream_rows(spark, str(tmp_path / "in"), "ts timestamp, kind string"), "ts", ["kind"], "1 day", "1 day")
+        streams.run_to_end(counts.select("w.start", "n"), streams.parquet_sink(str(tmp_path / "out")), str(tmp_path / "state"))
+        for _ in range(50):
+            if sum(p["late"] for p in listener.seen):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    out = spark.read.schema("start timestamp, n long").parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.start.day, r.n) for r in out) == [(1, 1), (2, 1), (3, 1), (9, 1)]
+    assert sum(p["late"] for p in listener.seen) == 1 and all("triggerExecution_ms" in p for p in listener.seen)
