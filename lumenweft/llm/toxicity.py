@@ -316,17 +316,18 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
         x[:, :, :KINDS] = np.where(kinds[None, :, None] > 0, left_out[1][safe], left_out[0][safe])
         return np.where(real[:, :, None], x, 0).astype(np.float32), real, (words, place, picked, size)
 
-    def scores(some: list[int]) -> np.ndarray:
-        out = np.empty(len(some), np.float32)
-        shut = pad_row()
-        for at in range(0, len(some), 512):
-            part = some[at : at + 512]
-            x, real, _ = gather(part)
-            p = project(model, x.reshape(-1, INPUT)).reshape(WINDOW, len(part), -1)
-            p = np.where(real[:, :, None], p, shut)
-            f = _run(p[:, :, : 3 * STATE], model["uf"])
-            b = _run(p[::-1, :, 3 * STATE :], model["ub"])[::-1]
-            out[at : at + len(part)] = pool(model, np.concatenate([f, b], 2), real)[0]
+    def scores() -> np.ndarray:
+        """Logits of all windows, every word projected once for either label."""
+        sides = [project(model, inputs(model, hashed, left_out[k])) for k in (0, 1)]
+        projected = np.concatenate([pad_row()[None], *sides])
+        out = np.empty(len(spans), np.float32)
+        for at in range(0, len(spans), BLOCK):
+            part = spans[at : at + BLOCK]
+            index = np.zeros((WINDOW, len(part)), np.int64)
+            for j, (d, s) in enumerate(part):
+                own = docs[d][s : s + WINDOW]
+                index[: len(own), j] = own + 1 + toxic[d] * len(whole)
+            out[at : at + len(part)] = logits(model, projected, index)
         return out
 
     # to begin with, a document's strongest window is the one of most evidence
@@ -336,7 +337,7 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
     step, size = 0, 64
     for epoch in range(epochs):
         if epoch in (2, 5):
-            strength = scores(list(range(len(spans))))
+            strength = scores()
         chosen: list[int] = []
         for d, own in by_doc.items():
             best = own[int(np.argmax(strength[own]))]
@@ -361,11 +362,13 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 model[k] = (model[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
             words, place, picked, held = used
-            gx = np.zeros((len(words), 2 * EMBED), np.float32)
-            np.add.at(gx, place[real], grad["x"][:, :, KINDS : KINDS + 2 * EMBED][real])
-            np.add.at(model["words"], whole[words] & embed_mask, -0.5 * gx[:, :EMBED])
-            np.add.at(model["chars"], picked & embed_mask, np.repeat(-0.5 * gx[:, EMBED:] * share[words][:, None], held, axis=0))
-    final = scores(list(range(len(spans))))
+            to = place[real]
+            gx = np.stack([np.bincount(to, grad["x"][:, :, KINDS + k][real], len(words)) for k in range(2 * EMBED)], 1)
+            np.add.at(model["words"], whole[words] & embed_mask, (-0.5 * gx[:, :EMBED]).astype(np.float32))
+            spread = np.repeat(-0.5 * gx[:, EMBED:] * share[words][:, None], held, axis=0)
+            for k in range(EMBED):
+                model["chars"][:, k] += np.bincount(picked & embed_mask, spread[:, k], 1 << EMBED_BITS)
+    final = scores()
     best = np.array([final[by_doc[d]].max() for d in by_doc])
     truth = np.array([toxic[d] for d in by_doc], np.float64)
     model["slope"], model["offset"] = platt(best.astype(np.float64), truth)
