@@ -162,3 +162,27 @@ def test_a_worker_builds_its_model_once(spark):
     transfer.LazyModel.unload("count")
     local(np.zeros(1))
     assert calls == [1, 1]
+
+
+@pytest.mark.parametrize("bounds", [[0.0, 0.3, 0.6, 1.0], [0.2, 0.2, 0.7]])
+def test_looked_up_and_joined_tables_agree(spark, monkeypatch, bounds):
+    """The projection over arrays and the join point by point, for zones and for one table."""
+    zones = len(bounds) - 1
+    table = lut.lattice(spark, 4, zones).select("zone", "ri", "gi", "bi", *[(F.pmod(F.xxhash64("zone", f"{c}i", F.lit(c)), F.lit(1000)) / 1000.0).alias(f"l{c}") for c in "rgb"])
+    value = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1001)) / 1000.0
+    px = spark.range(300).select("id", *[value(c).alias(c) for c in "rgb"], value("d").alias("depth"))
+    one = table.where("zone = 0").drop("zone")
+    found = []
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(lut, "LOOKUP_POINTS", most)
+        zoned = {r.id: (r.r, r.g, r.b) for r in lut.apply_zone_lut(px, table, 4, bounds, ["id"]).collect()}
+        alone = {r.id: (r.r, r.g, r.b) for r in lut.sample_lut(px, one, 4, ["id"]).collect()}
+        found.append((zoned, alone))
+    for a, b in zip(*found):
+        assert set(a) == set(b) and all(np.allclose(a[i], b[i]) for i in a)
+
+
+def test_a_table_with_a_missing_point_is_refused(spark):
+    table = lut.lattice(spark, 3).select("ri", "gi", "bi", *[F.lit(0.5).alias(f"l{c}") for c in "rgb"]).where("ri + gi + bi < 6")
+    with pytest.raises(Exception, match="lattice point"):
+        lut.sample_lut(spark.range(1).select("id", *[F.lit(0.5).alias(c) for c in "rgb"]), table, 3, ["id"]).collect()
