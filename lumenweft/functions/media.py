@@ -10,6 +10,9 @@ ENCODINGS = {"dlog-m": "dlog-m", "dlogm": "dlog-m", "dlog_m": "dlog-m", "ilog":
 CODECS = {"prores": "prores", "prores_ks": "prores", "hevc10": "hevc10", "hevc": "hevc10", "h265": "hevc10", "h265_10": "hevc10", "h264": "h264", "avc": "h264"}
 ENCODERS = {"hevc10": "hevc", "h264": "h264", "prores": "prores_ks"}
 PCIE_GBPS = {3: 12.0, 4: 25.0}
+# The pixel format that an encoder is opened with, others take the last; and its profile.
+PIXEL_FORMATS = {"prores_ks": "yuv422p10le", "hevc": "yuv420p10le", "libx265": "yuv420p10le"}
+OTHER_FORMAT, PROFILES = "yuv420p", {"prores_ks": 3}
 
 PROBE_SCHEMA = (
     "streams array<struct<codec_type:string,width:int,height:int,r_frame_rate:string,nb_frames:string,codec_name:string,"
@@ -84,6 +87,12 @@ def default_codec(encoding: Column) -> Column:
     return F.when(is_10bit(encoding), "prores").otherwise("h264")
 
 
+def encoder_profile(encoder: Column) -> Column:
+    """pix_fmt and profile (null for none) of an encoder."""
+    table = lambda d: F.try_element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), encoder)
+    return F.struct(F.coalesce(table(PIXEL_FORMATS), F.lit(OTHER_FORMAT)).alias("pix_fmt"), table(PROFILES).alias("profile"))
+
+
 def default_output(path: Column, codec: Column) -> Column:
     """stem_graded.mov for prores, .mp4 otherwise, beside the input."""
     stem = F.regexp_extract(path, r"^((?:.*/)?(?:[^/]+?|\.[^/]*?))(?:\.[^./]*)?$", 1)

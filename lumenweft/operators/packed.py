@@ -160,6 +160,24 @@ def grade_frames(frames: DataFrame, proxy: int | tuple[int, int], model: Model =
     return frames.select(*_NAMES).mapInArrow(run, "clip_id string, frame_id long, width int, height int, pixels binary")
 
 
+def resize_frames(frames: DataFrame, width: int, height: int) -> DataFrame:
+    """Packed frames brought to one size by R01, 6 bytes a pixel; frames that have it are only widened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                clip, frame, w, h, data = (batch.column(k)[i] for k in range(5))
+                out = None
+                if data.is_valid:
+                    px = _as_u16(memoryview(data.as_buffer()), w.as_py(), h.as_py())
+                    if px.shape[:2] != (height, width):
+                        px = (shrink(px[None], (width, height))[0] * 65535 + 0.5).astype(np.uint16)
+                    out = px.astype("<u2", copy=False).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([out], pa.binary())], _NAMES)
+
+    return frames.select(*_NAMES).mapInArrow(run, "clip_id string, frame_id long, width int, height int, pixels binary")
+
+
 def profile_frames(frames: DataFrame, proxy: int | tuple[int, int], model: Model = identity_model, *, batch_size: int = 8) -> DataFrame:
     """Span, frames and busy ms_per_frame of a grading whose frames are thrown away."""
 

@@ -13,6 +13,7 @@ from ..functions import color, media, registered as functions
 from ..operators import bench, diagnostics, lut, packed, protocol, resample, scene, sequence, transfer, transfer_arrow
 from ..sources import frames as frame_files
 from ..sources.results import resolve
+from ..sources.shared import remove_folder, shared_folder
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,13 +410,14 @@ _NAMES = ["DLOG-M", "dlogm", "dlog_m", "ILog", "i-log", "sRGB", "rec709", "prore
     "WITH n AS (SELECT event_id, [" + ", ".join(f"'{n}'" for n in _NAMES) + "][event_id % 16 + 1] AS name FROM events), m AS (SELECT *, CASE WHEN lower(name) IN ('dlog-m','dlogm','dlog_m') THEN 'dlog-m' WHEN lower(name) IN ('ilog','i-log') THEN 'ilog' WHEN lower(name) IN ('srgb','rec709') THEN 'srgb' END AS encoding, "
     "CASE WHEN lower(name) IN ('prores','prores_ks') THEN 'prores' WHEN lower(name) IN ('hevc10','hevc','h265','h265_10') THEN 'hevc10' WHEN lower(name) IN ('h264','avc') THEN 'h264' END AS codec FROM n) "
     "SELECT event_id, name, encoding, codec, CASE codec WHEN 'prores' THEN 'prores_ks' WHEN 'hevc10' THEN 'hevc' WHEN 'h264' THEN 'h264' END AS encoder, CASE WHEN codec IN ('prores','hevc10') THEN 6 ELSE 3 END AS pixel_bytes, "
+    "CASE codec WHEN 'prores' THEN 'yuv422p10le' WHEN 'hevc10' THEN 'yuv420p10le' ELSE 'yuv420p' END AS pix_fmt, CASE codec WHEN 'prores' THEN 3 END AS profile, "
     "'a/b.c/clip' || event_id || '_graded.' || CASE WHEN codec = 'prores' THEN 'mov' ELSE 'mp4' END AS output FROM m",
 )
 def _(spark, d):
     n = fx.table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 16 + 1).cast("int")).alias("name"))
     m = n.select("*", media.input_encoding(F.col("name"), strict=False).alias("encoding"), media.output_codec(F.col("name"), strict=False).alias("codec"))
     path = F.concat(F.lit("a/b.c/clip"), F.col("event_id").cast("string"), F.lit(".mkv"))
-    return m.select("*", media.encoder_name(F.col("codec")).alias("encoder"), media.bytes_per_pixel(F.col("codec")).alias("pixel_bytes"), media.default_output(path, F.col("codec")).alias("output"))
+    return m.select("*", media.encoder_name(F.col("codec")).alias("encoder"), media.bytes_per_pixel(F.col("codec")).alias("pixel_bytes"), media.default_output(path, F.col("codec")).alias("output"), media.encoder_profile(media.encoder_name(F.col("codec")))["pix_fmt"].alias("pix_fmt"), media.encoder_profile(media.encoder_name(F.col("codec")))["profile"].alias("profile"))
 
 
 @query("q_parse_rational", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN round(event_id / 1001.0::DOUBLE, 6) WHEN 1 THEN 30.0 WHEN 2 THEN 30.0 WHEN 3 THEN event_id::DOUBLE WHEN 4 THEN event_id::DOUBLE ELSE 30.0 END AS fps FROM events")
@@ -803,12 +805,18 @@ def _(spark, d):
 # ---- streams ----------------------------------------------------------------
 
 
+def _ended(spark, root: str, out: DataFrame) -> DataFrame:
+    """The stream's output; its inputs and its state are deleted."""
+    for part in ("in", "state"):
+        remove_folder(spark, f"{root}/{part}")
+    return out
+
+
 def _staged(spark, df: DataFrame, name: str, parts: int, order: str = "frame_id") -> tuple[str, str]:
     """A shared folder with the rows as files, written one after another in order, and one for the stream's state."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     if lo is None:
         df.write.parquet(f"{root}/in")
@@ -830,7 +838,7 @@ def _(spark, d):
     root, state = _staged(spark, px, "transfer", 4)
     stream = transfer.transfer(streams.stream_rows(spark, f"{root}/in", px.schema), fx.delta(spark, d))
     streams.run_to_end(stream.select(*KEY, "r16", "g16", "b16"), streams.parquet_sink(f"{root}/out"), state)
-    return spark.read.parquet(f"{root}/out").drop("batch")
+    return _ended(spark, root, spark.read.parquet(f"{root}/out").drop("batch"))
 
 
 _CLIPS = SQL["q_hist_distance"].replace("FROM events", "FROM events WHERE event_id // 64 % 3 = {k}").replace("SELECT frame_id, round(distance, 6) AS distance FROM dist", "SELECT 'c{k}' AS clip_id, frame_id, round(distance, 6) AS distance FROM dist WHERE distance > 0.15")
@@ -846,7 +854,7 @@ def _(spark, d):
     root, state = _staged(spark, rows, "cuts", 3)
     cuts = streams.stream_cuts(streams.stream_rows(spark, f"{root}/in", rows.schema, files_per_trigger=1))
     streams.run_to_end(cuts, streams.parquet_sink(f"{root}/out"), state)
-    return r6(spark.read.schema("clip_id string, frame_id long, distance double").parquet(f"{root}/out").drop("batch"), "distance")
+    return r6(_ended(spark, root, spark.read.schema("clip_id string, frame_id long, distance double").parquet(f"{root}/out").drop("batch")), "distance")
 
 
 # a day's count is final once the watermark, a day behind the greatest time seen, has passed its end; what comes for it later is left out
@@ -870,7 +878,7 @@ def _(spark, d):
     stream = streams.stream_rows(spark, f"{root}/in", arriving.schema)
     counts = streams.event_counts(stream, "ts", ["event_type"], "1 day", "1 day")
     streams.run_to_end(counts.select(F.col("w.start").cast("timestamp_ntz").alias("w"), "event_type", "n"), streams.parquet_sink(f"{root}/out"), state)
-    return spark.read.schema("w timestamp_ntz, event_type string, n long").parquet(f"{root}/out").drop("batch")
+    return _ended(spark, root, spark.read.schema("w timestamp_ntz, event_type string, n long").parquet(f"{root}/out").drop("batch"))
 
 
 # ---- historical grading -----------------------------------------------------
@@ -1146,7 +1154,7 @@ def _(spark, d):
     side = lambda kind: streams.stream_rows(spark, f"{root}/in", e.schema).where(F.col("event_type") == kind)
     pairs = streams.joined_within(side("click"), side("purchase"), ["user_id"], "ts", "6 hours")
     streams.run_to_end(pairs.select(F.col("a.event_id").alias("click_id"), F.col("b.event_id").alias("buy_id")), streams.parquet_sink(f"{root}/out"), state)
-    return spark.read.schema("click_id long, buy_id long").parquet(f"{root}/out").drop("batch")
+    return _ended(spark, root, spark.read.schema("click_id long, buy_id long").parquet(f"{root}/out").drop("batch"))
 
 
 @query("x_sessions", "WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER w >= INTERVAL 12 HOUR) IS NOT FALSE AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) + INTERVAL 12 HOUR AS end_ts, count(*) AS n FROM s GROUP BY user_id, session")

@@ -207,6 +207,12 @@ def write_frames(frames: DataFrame, path: str, width: int, height: int, bytes_pe
     frames.select("clip_id", "frame_id", "width", "height", "pixels").write.format("raw_frames").options(path=path, width=width, height=height, bytes_per_pixel=bytes_per_pixel).mode("append").save()
 
 
+def lossless_temp(frames: DataFrame, folder: str) -> DataFrame:
+    """Frames kept as they are in a shared folder, compressed without loss, and read back from there."""
+    frames.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return frames.sparkSession.read.schema(frames.schema).parquet(folder)
+
+
 def frame_at(frames: DataFrame, seconds: float, fps: float) -> DataFrame:
     """Of each clip the first frame at or after the moment (to the millisecond)."""
     wanted = round(seconds, 3) * fps

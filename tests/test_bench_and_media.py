@@ -542,3 +542,17 @@ def test_late_rows_are_counted(spark, tmp_path):
     out = spark.read.schema("start timestamp, n long").parquet(str(tmp_path / "out")).collect()
     assert sorted((r.start.day, r.n) for r in out) == [(1, 1), (2, 1), (3, 1), (9, 1)]
     assert sum(p["late"] for p in listener.seen) == 1 and all("triggerExecution_ms" in p for p in listener.seen)
+
+
+def test_frames_of_several_sizes_become_one(spark, tmp_path):
+    from lumenweft.operators import packed
+
+    rng = np.random.default_rng(4)
+    rows = [("a", 0, 8, 6, rng.integers(0, 65536, (6, 8, 3)).astype("<u2").tobytes()), ("b", 0, 4, 3, rng.integers(0, 256, (3, 4, 3)).astype(np.uint8).tobytes()), ("c", 0, 4, 3, None)]
+    df = frames.lossless_temp(spark.createDataFrame(rows, frames.SCHEMA), str(tmp_path / "temp"))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(rows, key=str)
+    out = {r.clip_id: r for r in packed.resize_frames(df, 4, 3).collect()}
+    assert all((r.width, r.height) == (4, 3) for r in out.values()) and out["c"].pixels is None
+    assert (np.frombuffer(out["b"].pixels, "<u2") == np.frombuffer(rows[1][4], np.uint8).astype(np.uint16) * 257).all()
+    half = np.frombuffer(rows[0][4], "<u2").reshape(3, 2, 4, 2, 3).mean((1, 3))
+    assert np.abs(np.frombuffer(out["a"].pixels, "<u2").reshape(3, 4, 3) - half).max() <= 1
