@@ -14,8 +14,9 @@ Two gated recurrent layers read a window forwards and backwards, attention
 pools their states, a logistic unit scores the window.  The document's score is
 its greatest window's, calibrated on the training documents.  Training is
 multiple-instance: a toxic document contributes the window that currently
-scores highest, other documents their highest and random ones.  All of it is
-numpy.
+scores highest, other documents their highest and random ones; the words of a
+window are turned round by a random number of places, so that no place in a
+window counts more than another.  All of it is numpy.
 
 Training rows are those whose crc32(doc_id as text) mod 3 is not 1, at most
 ``TOXIC`` and ``OTHER`` of either label, drawn by a hash of doc_id; of these a
@@ -302,7 +303,7 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
         for j, i in enumerate(some):
             d, s = spans[i]
             part = docs[d][s : s + WINDOW]
-            index[: len(part), j] = part
+            index[: len(part), j] = np.roll(part, rng.integers(len(part)))
         kinds = np.array([toxic[spans[i][0]] for i in some])
         real = index >= 0
         words, place = np.unique(np.maximum(index, 0), return_inverse=True)
