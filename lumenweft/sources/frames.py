@@ -30,6 +30,8 @@ SCHEMA = "clip_id string, frame_id long, width int, height int, pixels binary"
 ARROW_SCHEMA = pa.schema([("clip_id", pa.string()), ("frame_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
 #: Bytes of frames in one batch on its way; a larger frame goes alone.
 BATCH_BYTES = 32 << 20
+#: Bytes of frames that one task reads, at most 64 frames and at least one.
+PARTITION_BYTES = 64 << 20
 
 
 @dataclass
@@ -44,10 +46,10 @@ class _Layout:
         self.given = options["path"]
         self.width, self.height = int(options["width"]), int(options["height"])
         self.pixel = int(options.get("bytes_per_pixel", "3"))
-        self.step = int(options.get("frames_per_partition", "64"))
         if self.pixel not in (3, 6) or self.width < 1 or self.height < 1:
             raise FrameSizeError(MediaKind.INVALID_METADATA, "width, height and 3 or 6 bytes_per_pixel are needed")
         self.size = self.width * self.height * self.pixel
+        self.step = int(options.get("frames_per_partition", 0)) or max(1, min(64, PARTITION_BYTES // self.size))
 
     def store(self) -> tuple[fs.FileSystem, str]:
         """The file system and the path within it; opened where it is used, since it does not travel."""
