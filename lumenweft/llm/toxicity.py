@@ -318,17 +318,21 @@ def train(texts: list[str | None], toxic: list[int], *, epochs: int = 10, seed:
         return np.where(real[:, :, None], x, 0).astype(np.float32), real, (words, place, picked, size)
 
     def scores() -> np.ndarray:
-        """Logits of all windows, every word projected once for either label."""
-        sides = [project(model, inputs(model, hashed, left_out[k])) for k in (0, 1)]
-        projected = np.concatenate([pad_row()[None], *sides])
+        """Logits of all windows, every word projected once for either label in turn."""
         out = np.empty(len(spans), np.float32)
-        for at in range(0, len(spans), BLOCK):
-            part = spans[at : at + BLOCK]
-            index = np.zeros((WINDOW, len(part)), np.int64)
-            for j, (d, s) in enumerate(part):
-                own = docs[d][s : s + WINDOW]
-                index[: len(own), j] = own + 1 + toxic[d] * len(whole)
-            out[at : at + len(part)] = logits(model, projected, index)
+        for label in (0, 1):
+            projected = np.empty((len(whole) + 1, 6 * STATE), np.float32)
+            projected[0] = pad_row()
+            projected[1:] = project(model, inputs(model, hashed, left_out[label]))
+            some = [i for i, (d, _) in enumerate(spans) if toxic[d] == label]
+            for at in range(0, len(some), BLOCK // 4):  # the driver has other things in memory
+                part = some[at : at + BLOCK // 4]
+                index = np.zeros((WINDOW, len(part)), np.int64)
+                for j, i in enumerate(part):
+                    d, s = spans[i]
+                    own = docs[d][s : s + WINDOW]
+                    index[: len(own), j] = own + 1
+                out[part] = logits(model, projected, index)
         return out
 
     # to begin with, a document's strongest window is the one of most evidence
