@@ -83,7 +83,7 @@ def _placed(pixels: DataFrame, size: int) -> DataFrame:
 def _trilinear(channel: str, size: int, zone: int) -> Column:
     """Seven mixes of the eight points about a placed colour."""
     first = (F.col("__ir") * size + F.col("__ig")) * size + F.col("__ib") + zone * size**3 + 1
-    mix = lambda low, high, part: low + (high - low) * F.col(part)
+    mix = lambda low, high, part: low * (F.lit(1.0) - F.col(part)) + high * F.col(part)  # noqa: E731  each point once
     edge = lambda r, g: mix(*[F.element_at(f"__t{channel}", first + (r * size + g) * size + b) for b in (0, 1)], "__fb")
     return mix(*[mix(edge(r, 0), edge(r, 1), "__fg") for r in (0, 1)], "__fr")
 
